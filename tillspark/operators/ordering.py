@@ -72,11 +72,26 @@ def tile(position: Column, rows: Column, tiles: int) -> Column:
 
 
 def ntile(df: DataFrame, order: Sequence[Column | str], tiles: int, out: str = "tile") -> DataFrame:
+    """Equal-sized tiles over a total order; end the order with a unique key."""
     numbered = row_number(df, order, "_position")
-    rows = df.agg(F.count(F.lit(1))).scalar()
+    rows = numbered.agg(F.count(F.lit(1))).scalar()
     return numbered.withColumn(out, tile(F.col("_position"), rows, tiles)).drop("_position")
 
 
+def ntiles(df: DataFrame, key: str, scores: dict[str, Column], tiles: int) -> DataFrame:
+    """Tiles by several ascending scores, ties by ``key`` (unique), from one range sort instead of one per score."""
+    listed = list(scores.items())
+    ranked = F.array(*(F.struct(F.lit(i).alias("_score"), v.cast("decimal(30,6)").alias("_value")) for i, (_, v) in enumerate(listed)))
+    long = df.select("*", F.inline(ranked))
+    numbered = row_number(long, ["_score", "_value", key], "_position")
+    rows = numbered.filter(F.col("_score") == 0).agg(F.count(F.lit(1))).scalar()
+    counted = numbered.withColumn("_rows", rows)
+    position = F.col("_position") - F.col("_score") * F.col("_rows")
+    tiled = counted.withColumn("_tile", tile(position, F.col("_rows"), tiles))
+    picks = [F.max(F.when(F.col("_score") == i, F.col("_tile"))).alias(name) for i, (name, _) in enumerate(listed)]
+    return tiled.groupBy(*df.columns).agg(*picks)
+
+
 # ---- exact order statistics ------------------------------------------------------------------------------------------
 
 
