@@ -276,21 +276,21 @@ def customer_ranking(sales: DataFrame) -> DataFrame:
 # ---- month comparisons -----------------------------------------------------------------------------------------------
 
 
-def year_over_year(monthly: DataFrame) -> DataFrame:
-    """Each month against the same month one year before: an equi-join on the shifted year."""
-    previous = monthly.select(
-        (F.col("year") + 1).alias("year"), "month", F.col("monthly_total").alias("prev_total")
-    )
-    joined = monthly.join(previous, ["year", "month"], "left")
+def year_over_year(monthly: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """Each month against the same month one year before, by a calendar frame: the fact is read once, nothing is joined."""
+    index = F.col("year") * 12 + F.col("month")
+    before = Window.partitionBy(*keys).orderBy(index).rangeBetween(-12, -12)
+    paired = monthly.withColumn("prev_total", F.sum("monthly_total").over(before))
     gain = F.col("monthly_total") - F.col("prev_total")
-    return joined.select(
+    return paired.select(
+        *keys,
         "year",
         "month",
         X.double("monthly_total").alias("monthly_sales"),
         X.double("prev_total").alias("prev_year_sales"),
         X.double(gain).alias("yoy_difference"),
         (X.ratio(gain, "prev_total") * 100).alias("yoy_growth_pct"),
-    ).orderBy("year", "month")
+    ).orderBy(*keys, "year", "month")
 
 
 def year_month_table(monthly: DataFrame, years: Sequence[int]) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tillspark.functions import exprs as X
 from tillspark.operators import ordering
+from tillspark.session import materialise
 
 # Segments in order of precedence; the first whose traits all hold is taken.
 SEGMENT_RULES = (
@@ -155,22 +156,26 @@ def item_pairs(
     distinct_items: bool = False,
     block: int = 1000,
 ) -> tuple[DataFrame, DataFrame]:
-    """Row pairs of different items per basket, as ``(basket sizes, pairs with their multiplicity)``.
+    """Row pairs of different items per basket, as ``(lines per basket and item, pairs with their multiplicity)``.
 
     Lines are counted per (basket, item) before they move, so a basket that holds a large share of all lines shrinks to its
-    distinct items. A basket of more than ``block`` items is cut into a grid of cells by item hash: an item of block ``i``
-    meets an item of block ``j`` only in cell ``(i, j)``, so every pair is formed once and no task holds the whole basket.
+    distinct items; these counts are read several times and are therefore checkpointed. A basket of more than ``block``
+    items is cut into a grid of cells by item hash: an item of block ``i`` meets an item of block ``j`` only in cell
+    ``(i, j)``, so every pair is formed once and no task holds the whole basket.
     """
-    lines = sales.groupBy(basket, item).agg((F.lit(1) if distinct_items else X.rows()).alias("n"))
-    sizes = lines.groupBy(basket).agg(X.rows().alias("items"))
-    parts = F.ceil(F.col("items") / block).cast("int")
-    placed = lines.join(sizes, basket).withColumn("_parts", parts)
-    placed = placed.withColumn("_own", F.pmod(F.xxhash64(item), F.col("_parts")).cast("int"))
+    lines = materialise(sales.groupBy(basket, item).agg((F.lit(1) if distinct_items else X.rows()).alias("n")))
+    sizes = lines.groupBy(basket).agg(F.ceil(X.rows() / block).cast("int").alias("_parts"))
+    placed = lines.join(sizes, basket).withColumn("_own", F.pmod(F.xxhash64(item), F.col("_parts")).cast("int"))
     every = F.explode(F.sequence(F.lit(0), F.col("_parts") - 1))
-    left = placed.select(basket, F.col("_own").alias("_i"), every.alias("_j"), F.col(item).alias("product_a"), F.col("n").alias("_na"))
-    right = placed.select(basket, every.alias("_i"), F.col("_own").alias("_j"), F.col(item).alias("product_b"), F.col("n").alias("_nb"))
+    own = F.col("_own")
+    left = placed.select(
+        basket, own.alias("_i"), every.alias("_j"), F.col(item).alias("product_a"), F.col("n").alias("_na")
+    )
+    right = placed.select(
+        basket, every.alias("_i"), own.alias("_j"), F.col(item).alias("product_b"), F.col("n").alias("_nb")
+    )
     pairs = left.join(right, [basket, "_i", "_j"]).filter(F.col("product_a") < F.col("product_b"))
-    return sizes, pairs.select(basket, "product_a", "product_b", (F.col("_na") * F.col("_nb")).alias("n"))
+    return lines, pairs.select(basket, "product_a", "product_b", (F.col("_na") * F.col("_nb")).alias("n"))
 
 
 def product_affinity(
@@ -184,9 +189,9 @@ def product_affinity(
 
     By default a repeated item counts once per line, so the frequency is the number of line pairs.
     """
-    sizes, pairs = item_pairs(sales, basket, item, distinct_items)
+    lines, pairs = item_pairs(sales, basket, item, distinct_items)
     frequency = pairs.groupBy("product_a", "product_b").agg(F.sum("n").alias("pair_frequency"))
-    baskets = sizes.agg(X.rows()).scalar()
+    baskets = lines.agg(F.count_distinct(basket)).scalar()
     return (
         frequency.filter(F.col("pair_frequency") > min_count)
         .withColumn("pct_of_transactions", X.ratio(F.col("pair_frequency") * 100, baskets))

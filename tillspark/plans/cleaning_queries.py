@@ -9,6 +9,7 @@ from tillspark.operators import anomaly, clean, kpi, segment, series
 from tillspark.plans.kpi_queries import PRICE_CASE_SQL, PRICE_LIMITS, daily, monthly
 from tillspark.plans.registry import query, rounded
 from tillspark.schemas import CSV_HEADERS, NUMERIC_COLUMNS
+from tillspark.session import materialise
 from tillspark.sources import files, star
 from tillspark.sources.star import sales
 
@@ -324,9 +325,8 @@ def sample_split_time(spark, d):
 )
 def join_align_index(spark, d):
     """Labels computed apart from the customer table and joined back by the customer key, not by position."""
-    spend = segment.customer_features(sales(spark, d, "customer_name", *NUMERIC_COLUMNS)).select("customer_name", "total_spend")
-    figures = sales(spark, d, "customer_name", "total_amount").agg(
-        X.ratio(F.sum("total_amount"), F.count_distinct("customer_name"))
-    )
-    labels = spend.select("customer_name", (F.col("total_spend") > figures.scalar()).alias("above_average"))
+    features = segment.customer_features(sales(spark, d, "customer_name", *NUMERIC_COLUMNS))
+    spend = materialise(features.select("customer_name", "total_spend"))
+    average = spend.agg(F.avg("total_spend")).scalar()
+    labels = spend.select("customer_name", (F.col("total_spend") > average).alias("above_average"))
     return spend.join(labels, "customer_name")
