@@ -82,7 +82,7 @@ def main(argv: list[str]) -> int:
             else:
                 problem, note = None, f"{len(df.collect())} rows, no SQL"
         except Exception as error:  # report and go on with the next query
-            problem = f"{type(error).__name__}: {str(error)[:1500]}"
+            problem = f"{type(error).__name__}: {str(error)[:700]}"
         bad += problem is not None
         print(f"{name:28s} {time.time() - start:6.2f}s {problem or note}", flush=True)
     print(f"{bad} of {len(names)} differ")
