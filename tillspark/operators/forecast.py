@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from itertools import product
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tillspark.functions import arima, unitroot
 from tillspark.functions import exprs as X
+from tillspark.functions.additive import AdditiveModel
+from tillspark.operators.stats import regression_metrics
 
 Keys = Sequence[str]
 
@@ -46,3 +52,255 @@ def naive_forecast(
         "forecast_30day_avg",
         blend.alias("weighted_forecast"),
     )
+
+
+# ---- models of monthly series ------------------------------------------------------------------------------------------
+#
+# A monthly series travels as one row holding its values in order: at most one value per calendar month. Spark spreads the
+# (series, candidate) rows over the cluster; numpy fits one of them at a time, and choosing and comparing is aggregation.
+
+
+def series_rows(months: DataFrame, keys: Keys = ()) -> DataFrame:
+    """One row per series: ``y`` and ``days`` (days since 1970) in time order."""
+    points = F.sort_array(F.collect_list(F.struct("t", F.unix_date("ds").cast("double").alias("day"), "y")))
+    return months.groupBy(*keys).agg(points.alias("_p")).select(
+        *keys, F.col("_p.y").alias("y"), F.col("_p.day").alias("days"), F.size("_p").alias("n")
+    )
+
+
+def _hold_out(rows: DataFrame, train_share: float) -> DataFrame:
+    """Split each series at ``floor(share * n)``."""
+    cut = F.greatest(F.floor(F.col("n") * train_share).cast("int"), F.lit(1))
+    return rows.withColumn("_cut", cut).withColumns(
+        {
+            "train": F.slice("y", 1, F.col("_cut")),
+            "train_days": F.slice("days", 1, F.col("_cut")),
+            "actual": F.slice("y", F.col("_cut") + 1, F.col("n")),
+            "actual_days": F.slice("days", F.col("_cut") + 1, F.col("n")),
+        }
+    )
+
+
+def _spread(rows: DataFrame, *by: str) -> DataFrame:
+    """Give every task its share of fits. The count is fixed because AQE would merge rows this small into one task."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *by)
+
+
+def arima_grid(
+    p: Sequence[int] = (0, 1, 2),
+    d: Sequence[int] = (0, 1),
+    q: Sequence[int] = (0, 1, 2),
+    sp: Sequence[int] = (0, 1),
+    sd: Sequence[int] = (0, 1),
+    sq: Sequence[int] = (0, 1),
+    season: int = 12,
+    limit: int = 4,
+) -> list[tuple[int, ...]]:
+    """Orders ``(p, d, q, P, D, Q, s)`` whose sum without the season is at most ``limit``."""
+    return [(*o, season) for o in product(p, d, q, sp, sd, sq) if sum(o) <= limit]
+
+
+def _fit_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Forecast every row's ``train`` with its ``order`` for ``steps`` periods; a failed fit gives no forecast."""
+    for batch in batches:
+        out = [arima.forecast(np.array(r.train), tuple(int(v) for v in r.order), int(r.steps)) for r in batch.itertuples()]
+        yield batch.drop(columns=["train"]).assign(
+            forecast=[None if o is None else list(o[0]) for o in out],
+            spread=[None if o is None else list(o[1]) for o in out],
+        )
+
+
+def _forecast_rows(rows: DataFrame) -> DataFrame:
+    numbers = F.array(F.lit(0.0))
+    schema = rows.drop("train").withColumns({"forecast": numbers, "spread": numbers}).schema
+    return rows.mapInPandas(_fit_rows, schema)
+
+
+MIN_MONTHS = 24  # fixed value: shortest series for a seasonal model or a backtest
+NORMAL_95 = 1.959963984540054
+
+
+def sarima_grid(
+    months: DataFrame, keys: Keys = (), grid: Sequence[tuple[int, ...]] | None = None, train_share: float = 0.8
+) -> DataFrame:
+    """Every candidate's forecast of the held-out months: ``keys, order, ds, y, forecast, lower_bound, upper_bound``.
+
+    One row per series and candidate is fitted; series shorter than 24 months are left out (see ``sarima_select``).
+    """
+    orders = F.array(*(F.array(*(F.lit(v) for v in o)) for o in (grid or arima_grid())))
+    held = _hold_out(series_rows(months, keys).filter(F.col("n") >= MIN_MONTHS), train_share)
+    candidates = held.select(
+        *keys, "train", "actual", "actual_days", F.size("actual").alias("steps"), F.explode(orders).alias("order")
+    )
+    fitted = _forecast_rows(_spread(candidates, *keys, "order"))
+    points = fitted.filter(F.col("forecast").isNotNull()).select(
+        *keys,
+        "order",
+        F.inline(F.arrays_zip("actual_days", F.col("actual").alias("y"), "forecast", "spread")),
+    )
+    return points.select(
+        *keys,
+        "order",
+        F.date_from_unix_date(F.col("actual_days").cast("int")).alias("ds"),
+        "y",
+        "forecast",
+        (F.col("forecast") - NORMAL_95 * F.col("spread")).alias("lower_bound"),
+        (F.col("forecast") + NORMAL_95 * F.col("spread")).alias("upper_bound"),
+    )
+
+
+def sarima_scores(grid: DataFrame, keys: Keys = ()) -> DataFrame:
+    """Errors of every candidate on the held-out months."""
+    return regression_metrics(grid, "y", "forecast", [*keys, "order"])
+
+
+def sarima_select(scores: DataFrame, months: DataFrame, keys: Keys = ()) -> DataFrame:
+    """Candidate with the smallest MAE per series, ties by order; short series come back as ``too_short``.
+
+    The months that score a candidate also choose it, so the reported error is optimistic.
+    """
+    pick = F.min_by(F.struct("order", "mae", "rmse", "mape"), F.struct("mae", "order"))
+    best = scores.groupBy(*keys).agg(pick.alias("_b")).select(*keys, "_b.*")
+    sizes = months.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+    joined = sizes.join(best, list(keys), "left") if keys else sizes.join(best, F.lit(True), "left")
+    status = F.when(F.col("n") < MIN_MONTHS, "too_short").when(F.col("order").isNull(), "no_fit").otherwise("ok")
+    return joined.withColumn("status", status)
+
+
+def sarima_future(months: DataFrame, selected: DataFrame, keys: Keys = (), horizon: int = 12) -> DataFrame:
+    """Forecast after the last month, from the chosen order refitted on the whole series."""
+    chosen = selected.filter(F.col("status") == "ok").select(*keys, "order")
+    rows = series_rows(months, keys)
+    paired = rows.join(chosen, list(keys)) if keys else rows.withColumn("order", chosen.scalar())
+    last = F.date_from_unix_date(F.element_at("days", -1).cast("int"))
+    todo = paired.select(*keys, F.col("y").alias("train"), last.alias("last"), F.lit(horizon).alias("steps"), "order")
+    fitted = _forecast_rows(_spread(todo, *keys) if keys else todo).filter(F.col("forecast").isNotNull())
+    points = fitted.select(*keys, "order", "last", F.posexplode(F.arrays_zip("forecast", "spread")).alias("_h", "_v"))
+    mean, spread = F.col("_v.forecast"), F.col("_v.spread")
+    return points.select(
+        *keys,
+        "order",
+        F.last_day(F.add_months("last", F.col("_h") + 1)).alias("ds"),
+        mean.alias("forecast"),
+        (mean - NORMAL_95 * spread).alias("lower_bound"),
+        (mean + NORMAL_95 * spread).alias("upper_bound"),
+    )
+
+
+# ---- trend and seasonality ---------------------------------------------------------------------------------------------
+
+_PARTS = ("forecast", "lower_bound", "upper_bound", "trend", "yearly", "monthly")
+
+
+def _predict_rows(rows: DataFrame, level: float, change_scale: float) -> DataFrame:
+    """Fit ``train`` at ``train_days`` and predict at ``target_days``, row by row."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = [
+                AdditiveModel(np.array(r.train_days), np.array(r.train), change_scale).predict(np.array(r.target_days), level)
+                for r in batch.itertuples()
+            ]
+            kept = batch.drop(columns=["train", "train_days"])
+            yield kept.assign(**{p: [list(o[p]) for o in out] for p in _PARTS})
+
+    schema = rows.drop("train", "train_days").withColumns({p: F.array(F.lit(0.0)) for p in _PARTS}).schema
+    return rows.mapInPandas(run, schema)
+
+
+def additive_forecast(
+    months: DataFrame,
+    keys: Keys = (),
+    horizon: int = 24,
+    freq: str = "M",
+    history: bool = False,
+    components: bool = True,
+    level: float = 0.95,
+    change_scale: float = 0.05,
+) -> DataFrame:
+    """Forecast of trend times yearly and monthly seasonality, ``horizon`` months (``M``) or days (``D``) ahead."""
+    rows = series_rows(months, keys).filter(F.col("n") >= 2)
+    last = F.date_from_unix_date(F.element_at("days", -1).cast("int"))
+    steps = F.sequence(F.lit(1), F.lit(horizon))
+    if freq == "M":
+        ahead = F.transform(steps, lambda h: F.unix_date(F.last_day(F.add_months(last, h))).cast("double"))
+    elif freq == "D":
+        ahead = F.transform(steps, lambda h: F.element_at("days", -1) + h)
+    else:
+        raise ValueError("freq must be 'M' or 'D'")
+    target = F.concat("days", ahead) if history else ahead
+    todo = rows.select(*keys, F.col("y").alias("train"), F.col("days").alias("train_days"), target.alias("target_days"))
+    points = _predict_rows(_spread(todo, *keys) if keys else todo, level, change_scale).select(
+        *keys, F.inline(F.arrays_zip("target_days", *_PARTS))
+    )
+    wanted = _PARTS if components else _PARTS[:3]
+    return points.select(*keys, F.date_from_unix_date(F.col("target_days").cast("int")).alias("ds"), *wanted)
+
+
+def additive_backtest(months: DataFrame, keys: Keys = (), train_share: float = 0.8, change_scale: float = 0.05) -> DataFrame:
+    """Held-out months against a model of the same configuration fitted on the months before them."""
+    held = _hold_out(series_rows(months, keys).filter(F.col("n") >= MIN_MONTHS), train_share)
+    todo = held.select(*keys, "train", "train_days", "actual", F.col("actual_days").alias("target_days"))
+    points = _predict_rows(_spread(todo, *keys) if keys else todo, 0.95, change_scale)
+    return points.select(*keys, F.inline(F.arrays_zip("target_days", F.col("actual").alias("y"), *_PARTS[:3]))).select(
+        *keys, F.date_from_unix_date(F.col("target_days").cast("int")).alias("ds"), "y", *_PARTS[:3]
+    )
+
+
+def compare_models(scores: dict[str, DataFrame], keys: Keys = ()) -> DataFrame:
+    """MAE per model side by side, and the better one of each series."""
+    parts = [df.select(*keys, F.lit(name).alias("model"), "mae") for name, df in scores.items()]
+    table = parts[0]
+    for part in parts[1:]:
+        table = table.unionByName(part)
+    columns = [F.max(F.when(F.col("model") == n, F.col("mae"))).alias(f"{n.lower()}_mae") for n in scores]
+    return table.groupBy(*keys).agg(*columns, F.min_by("model", "mae").alias("best_model"))
+
+
+# ---- stationarity --------------------------------------------------------------------------------------------------------
+
+_ADF = "differences int, n int, status string, statistic double, p_value double, lags int, critical_1 double, critical_5 double, critical_10 double, stationary boolean"
+
+
+def stationarity(months: DataFrame, keys: Keys = (), level: float = 0.05) -> DataFrame:
+    """Augmented Dickey-Fuller test of the series; while it is not stationary, also of its first and second difference."""
+    rows = series_rows(months, keys)
+    kept = list(keys)
+
+    def test(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for r in batch.to_dict("records"):
+                values = np.array(r["y"], dtype=float)
+                for times in range(3):
+                    found = unitroot.dickey_fuller(values)
+                    head = [r[k] for k in kept] + [times, len(values)]
+                    if found is None:
+                        out.append([*head, "too_short", None, None, None, None, None, None, None])
+                        break
+                    stationary = found["p_value"] <= level
+                    out.append([*head, "ok", found["statistic"], found["p_value"], found["lags"], *found["critical"].values(), stationary])
+                    if stationary or len(r["y"]) <= 12:
+                        break
+                    values = np.diff(values)
+            columns = [*kept, *(c.split()[0] for c in _ADF.split(", "))]
+            yield pd.DataFrame(out, columns=columns).astype({"lags": "Int64", "stationary": "boolean"})
+
+    fields = [f"`{k}` {dict(rows.dtypes)[k]}" for k in kept]
+    return (_spread(rows, *keys) if keys else rows).mapInPandas(test, ", ".join([*fields, _ADF]))
+
+
+def partial_autocorrelation(acf: DataFrame, keys: Keys = ()) -> DataFrame:
+    """Partial autocorrelations from the output of ``series.autocorrelation`` (at most 25 lags per series)."""
+    lags = acf.groupBy(*keys).agg(
+        F.first("n").alias("n"), F.sort_array(F.collect_list(F.struct("lag", "acf"))).alias("_l")
+    )
+    rows = lags.select(*keys, "n", F.col("_l.acf").alias("acf"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield batch.assign(acf=[list(unitroot.partial_autocorrelations(np.array(a))) for a in batch["acf"]])
+
+    out = rows.mapInPandas(run, rows.schema).select(*keys, "n", F.posexplode("acf").alias("lag", "pacf"))
+    width = F.when(F.col("lag") > 0, NORMAL_95 / F.sqrt("n")).otherwise(0.0)
+    return out.withColumn("half_width", width)
