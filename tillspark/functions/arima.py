@@ -46,38 +46,40 @@ def _residuals(w: np.ndarray, ar: np.ndarray, ma: np.ndarray) -> np.ndarray:
     return errors[shift:]
 
 
-def fit(y: np.ndarray, order: tuple, iterations: int = 15):
-    """Parameters and error variance minimising the conditional sum of squares (damped Gauss-Newton), or None."""
-    w = np.convolve(y, _differencing(order))[len(_differencing(order)) - 1 : len(y)]
+def fit(y: np.ndarray, order: tuple, iterations: int = 30):
+    """Parameters and error variance minimising the conditional sum of squares (Levenberg-Marquardt), or None."""
+    differencing = _differencing(order)
+    w = np.convolve(y, differencing)[len(differencing) - 1 : len(y)]
     size = order[0] + order[2] + order[3] + order[5]
     scale = np.std(w) or 1.0
     w = w / scale
 
     def errors(theta):
-        with np.errstate(all="ignore"):
-            return _residuals(w, *_unpack(theta, order))
+        return _residuals(w, *_unpack(theta, order))
 
     theta = np.zeros(size)
-    current = errors(theta)
-    if len(current) < size + 3:
-        return None
-    best = current @ current
-    for _ in range(iterations if size else 0):
-        step = 1e-5
-        jacobian = np.column_stack([(errors(theta + step * e) - current) / step for e in np.eye(size)])
-        if not np.isfinite(jacobian).all():
-            break
-        move = np.linalg.lstsq(jacobian, -current, rcond=None)[0]
-        improved = False
-        for damp in (1.0, 0.5, 0.25, 0.1, 0.02):
-            trial = errors(theta + damp * move)
-            cost = trial @ trial
-            if np.isfinite(cost) and cost < best:
-                improved = best - cost > 1e-8 * best
-                theta, current, best = theta + damp * move, trial, cost
+    with np.errstate(all="ignore"):
+        current = errors(theta)
+        if len(current) < size + 3:
+            return None
+        best, damping = current @ current, 1e-2
+        for _ in range(iterations if size else 0):
+            jacobian = np.column_stack([(errors(theta + 1e-5 * e) - current) / 1e-5 for e in np.eye(size)])
+            normal = jacobian.T @ jacobian
+            if not np.isfinite(normal).all():
+                break
+            gained = 0.0
+            while damping < 1e6:
+                move = np.linalg.solve(normal + damping * (np.diag(np.diag(normal)) + 1e-8 * np.eye(size)), -jacobian.T @ current)
+                trial = errors(theta + move)
+                cost = trial @ trial
+                if np.isfinite(cost) and cost < best:
+                    gained, damping = best - cost, damping / 5
+                    theta, current, best = theta + move, trial, cost
+                    break
+                damping *= 4
+            if gained <= 1e-8 * best:
                 break
-        if not improved:
-            break
     return theta, best / max(len(current) - size, 1) * scale * scale
 
 

@@ -9,6 +9,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tillspark.functions import arima, unitroot
 from tillspark.functions import exprs as X
@@ -111,8 +112,9 @@ def _fit_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def _forecast_rows(rows: DataFrame) -> DataFrame:
-    numbers = F.array(F.lit(0.0))
-    schema = rows.drop("train").withColumns({"forecast": numbers, "spread": numbers}).schema
+    schema = rows.drop("train").schema
+    for name in ("forecast", "spread"):
+        schema = schema.add(name, T.ArrayType(T.DoubleType()))
     return rows.mapInPandas(_fit_rows, schema)
 
 
@@ -160,9 +162,10 @@ def sarima_select(scores: DataFrame, months: DataFrame, keys: Keys = ()) -> Data
     The months that score a candidate also choose it, so the reported error is optimistic.
     """
     pick = F.min_by(F.struct("order", "mae", "rmse", "mape"), F.struct("mae", "order"))
-    best = scores.groupBy(*keys).agg(pick.alias("_b")).select(*keys, "_b.*")
+    best = scores.groupBy(*keys).agg(pick.alias("_b"))
     sizes = months.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
-    joined = sizes.join(best, list(keys), "left") if keys else sizes.join(best, F.lit(True), "left")
+    joined = sizes.join(best, list(keys), "left") if keys else sizes.withColumn("_b", best.scalar())
+    joined = joined.select(*keys, "n", "_b.*")
     status = F.when(F.col("n") < MIN_MONTHS, "too_short").when(F.col("order").isNull(), "no_fit").otherwise("ok")
     return joined.withColumn("status", status)
 
