@@ -81,7 +81,9 @@ def test_zero_denominators(spark):
     assert (last.prev_year_sales, last.yoy_difference, last.yoy_growth_pct) == (0, 5, None)
 
 
-def test_three_median_rules(spark):
+@pytest.mark.parametrize("few", [0, 1_000_000])
+def test_three_median_rules(spark, monkeypatch, few):
+    monkeypatch.setattr(ordering, "FEW_VALUES", few)
     for n, upper, between in ((4, 3, 2.5), (5, 3, 3)):
         df = spark.createDataFrame([(i,) for i in range(1, n + 1)], "v int")
         counts = ordering.value_counts(df, ["v"])
@@ -209,9 +211,12 @@ def test_date_dimension(spark):
     ]
 
 
-def test_numeric_summary_matches_pandas(spark):
+@pytest.mark.parametrize("few", [0, 1_000_000])
+def test_numeric_summary_matches_pandas(spark, monkeypatch, few):
     import pandas as pd
 
+    monkeypatch.setattr(ordering, "FEW_VALUES", few)
+
     values = [1.0, 2.0, 2.0, 3.5, 10.0, 4.0, 7.25]
     out = stats.numeric_summary(spark.createDataFrame([(v,) for v in values] + [(None,)], "v double"), ["v"]).first()
     s = pd.Series(values)
@@ -221,6 +226,16 @@ def test_numeric_summary_matches_pandas(spark):
     assert (out.missing_values, out.missing_pct) == (1, 12.5)
 
 
+def test_order_statistics_of_several_columns_distributed(spark, monkeypatch):
+    monkeypatch.setattr(ordering, "FEW_VALUES", 0)
+    df = spark.range(1001).select((F.col("id") % 10).cast("int").alias("a"), (1000 - F.col("id")).cast("int").alias("b"))
+    counts = ordering.value_counts(df.withColumn("c", F.when(F.col("a") > 4, F.col("b"))), ["a", "b", "c"])
+    out = {r.metric: (r.rows, r.m) for r in ordering.quantiles(counts, {"m": 0.5}).collect()}
+    assert out["a"] == (1001, 4) and out["b"] == (1001, 500)
+    c = sorted(1000 - i for i in range(1001) if i % 10 > 4)
+    assert out["c"] == (len(c), (c[len(c) // 2] + c[(len(c) - 1) // 2]) / 2)
+
+
 def test_split_ignores_partitioning(spark):
     df = spark.range(2000).withColumn("x", F.col("id") * 3)
     first = {r.id: r.part for r in clean.split_random(df.repartition(1)).collect()}

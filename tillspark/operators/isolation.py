@@ -127,7 +127,10 @@ def isolation_anomalies(
     ``min_rows`` asks for more than that many rows; otherwise nothing is flagged.
     """
     scored = materialise(scores(df, features, ids, trees, seed))
-    cut = ordering.quantiles(ordering.value_counts(scored, ["score"]), {"cut": 1 - contamination})
+    if scored.count() <= ordering.FEW_VALUES:
+        cut = scored.agg(F.percentile("score", F.lit(1 - contamination)).alias("cut"), X.rows().alias("rows"))
+    else:
+        cut = ordering.quantiles(ordering.value_counts(scored, ["score"]), {"cut": 1 - contamination})
     bound = cut.select(F.struct("cut", "rows")).scalar()
     flagged = scored.withColumn("_bound", bound)
     far = (F.col("score") > F.col("_bound.cut")) & (F.col("_bound.rows") > min_rows)

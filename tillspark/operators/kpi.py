@@ -303,8 +303,3 @@ def year_month_table(monthly: DataFrame, years: Sequence[int]) -> DataFrame:
 def years_present(monthly: DataFrame) -> DataFrame:
     return monthly.select("year").distinct()
 
-
-def top_per(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int) -> DataFrame:
-    """First ``n`` rows per key; Spark drops surplus rows map-side through its window group limit."""
-    w = Window.partitionBy(*keys).orderBy(*order)
-    return df.withColumn("_position", F.row_number().over(w)).filter(F.col("_position") <= n).drop("_position")

@@ -14,12 +14,13 @@ from pyspark.sql import functions as F
 
 from tillspark.session import materialise
 
+FEW_VALUES = 1_000_000  # distinct values up to which one task may order those of a metric
 _LOCAL_BITS = 33  # monotonically_increasing_id keeps the in-partition row number in its lower 33 bits
 
 
 def _ranges(df: DataFrame, order: Sequence[Column | str]) -> DataFrame:
-    partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = df.repartitionByRange(partitions, *order).sortWithinPartitions(*order)
+    # no fixed count: AQE merges small neighbouring ranges, which keeps their order
+    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order)
     tagged = ranged.withColumn("_id", F.monotonically_increasing_id())
     split = tagged.select(
         *df.columns,
@@ -95,8 +96,23 @@ def ntiles(df: DataFrame, key: str, scores: dict[str, Column], tiles: int) -> Da
 # ---- exact order statistics ------------------------------------------------------------------------------------------
 
 
-def _exact(df: DataFrame, column: str) -> bool:
-    return df.schema[column].dataType.typeName() not in ("double", "float")
+# digits before and after the point that each exact type needs
+_DIGITS = {"byte": (3, 0), "short": (5, 0), "integer": (10, 0), "long": (19, 0)}
+
+
+def _common_type(df: DataFrame, columns: Sequence[str]) -> str:
+    """Narrowest decimal that holds all columns (up to 18 digits Spark keeps it in a machine word), else double."""
+    whole, fraction = 1, 0
+    for c in columns:
+        kind = df.schema[c].dataType
+        if kind.typeName() == "decimal":
+            digits = (kind.precision - kind.scale, kind.scale)
+        elif kind.typeName() in _DIGITS:
+            digits = _DIGITS[kind.typeName()]
+        else:
+            return "double"
+        whole, fraction = max(whole, digits[0]), max(fraction, digits[1])
+    return f"decimal({whole + fraction},{fraction})" if whole + fraction <= 38 else "double"
 
 
 def value_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -104,7 +120,7 @@ def value_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
     One scan feeds every statistic below. Repeated values, hot ones above all, shrink map-side before the shuffle.
     """
-    cast = "decimal(24,6)" if all(_exact(df, c) for c in columns) else "double"
+    cast = _common_type(df, columns)
     pairs = F.array(*(F.struct(F.lit(c).alias("metric"), F.col(c).cast(cast).alias("value")) for c in columns))
     long = df.select(F.inline(pairs)).filter(F.col("value").isNotNull())
     return materialise(long.groupBy("metric", "value").agg(F.count(F.lit(1)).alias("n")))
@@ -117,18 +133,30 @@ def _sizes(counts: DataFrame) -> DataFrame:
     return sizes.withColumn("start", F.coalesce(F.sum("rows").over(first), F.lit(0)))
 
 
+def _placed(counts: DataFrame) -> DataFrame:
+    """Value counts with ``rows`` of their metric and ``low``, the rows with smaller values.
+
+    Few distinct values (checked) are ordered by one task per metric; more of them by a distributed running total.
+    """
+    if counts.count() <= FEW_VALUES:
+        whole = Window.partitionBy("metric")
+        earlier = whole.orderBy("value").rowsBetween(Window.unboundedPreceding, -1)
+        low = F.coalesce(F.sum("n").over(earlier), F.lit(0))
+        return counts.withColumns({"low": low, "rows": F.sum("n").over(whole)})
+    placed = running_total(counts, ["metric", "value"], "n", "before")
+    return placed.join(F.broadcast(_sizes(counts)), "metric").withColumn("low", F.col("before") - F.col("start"))
+
+
 def order_statistics(counts: DataFrame, ranks: Callable[[Column], dict[str, Column]]) -> DataFrame:
     """Exact elements at given 1-based ranks, one row per metric.
 
     ``ranks`` maps the number of values to named ranks. A rank outside 1..n gives null.
     """
-    placed = running_total(counts, ["metric", "value"], "n", "before")
-    ranked = placed.join(F.broadcast(_sizes(counts)), "metric").withColumn("low", F.col("before") - F.col("start"))
     picks = [
         F.max(F.when((F.col("low") < r) & (r <= F.col("low") + F.col("n")), F.col("value"))).alias(name)
         for name, r in ranks(F.col("rows")).items()
     ]
-    return ranked.groupBy("metric", "rows").agg(*picks)
+    return _placed(counts).groupBy("metric", "rows").agg(*picks)
 
 
 def quantiles(counts: DataFrame, probabilities: dict[str, float]) -> DataFrame:

@@ -46,23 +46,19 @@ def ml_prep(spark, d):
     )
 
 
-def _metrics(spark, d, name):
-    return fitted(spark, d).compare().filter(F.col("model") == name)
-
-
 @query("ml_xgb")
 def ml_xgb(spark, d):
-    return _metrics(spark, d, "XGBoost")
+    return fitted(spark, d).metrics("XGBoost")
 
 
 @query("ml_rf")
 def ml_rf(spark, d):
-    return _metrics(spark, d, "Random Forest")
+    return fitted(spark, d).metrics("Random Forest")
 
 
 @query("ml_gbt")
 def ml_gbt(spark, d):
-    return _metrics(spark, d, "Gradient Boosting")
+    return fitted(spark, d).metrics("Gradient Boosting")
 
 
 @query("ml_compare")
@@ -86,13 +82,13 @@ def ml_importance(spark, d):
 def ml_attribution(spark, d):
     """Mean absolute contribution of every feature over the whole test part, for the boosted trees."""
     f = fitted(spark, d)
-    return attribution.mean_contributions(f.test, f.models["Gradient Boosting"], f.feature_names())
+    return attribution.mean_contributions(f.test, f.model("Gradient Boosting"), f.feature_names())
 
 
 @query("ml_attribution_dependence")
 def ml_attribution_dependence(spark, d):
     f = fitted(spark, d)
-    gbt = f.models["Gradient Boosting"]
+    gbt = f.model("Gradient Boosting")
     top = [r.feature for r in model.importance(f, "Gradient Boosting", 3).collect()]
     points = attribution.dependence(attribution.attributions(f.test, gbt), f.feature_names(), top)
     return points.groupBy("feature", F.round("value", 1).alias("value")).agg(
