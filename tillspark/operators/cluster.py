@@ -22,12 +22,14 @@ FEATURES = (
 
 
 def scaled(customers: DataFrame, features: Sequence[str] = FEATURES) -> DataFrame:
-    """Centred and scaled feature vectors, checkpointed because every fit below reads them many times."""
+    """Centred and scaled feature vectors. The customer table is checkpointed before the scaler reads it, so the sales behind
+    it are aggregated once, and the vectors are checkpointed because every fit below reads them."""
+    table = materialise(customers)
     stages = [
         VectorAssembler(inputCols=list(features), outputCol="_raw"),
         StandardScaler(inputCol="_raw", outputCol="features", withMean=True),
     ]
-    return materialise(Pipeline(stages=stages).fit(customers).transform(customers).drop("_raw"))
+    return materialise(Pipeline(stages=stages).fit(table).transform(table).drop("_raw"))
 
 
 def _fit(points: DataFrame, k: int, starts: int, seed: int):
@@ -35,7 +37,7 @@ def _fit(points: DataFrame, k: int, starts: int, seed: int):
     return min(models, key=lambda m: m.summary.trainingCost)
 
 
-def elbow(points: DataFrame, max_k: int = 10, starts: int = 10, seed: int = 42, parallelism: int = 4) -> DataFrame:
+def elbow(points: DataFrame, max_k: int = 10, starts: int = 10, seed: int = 42, parallelism: int = 8) -> DataFrame:
     """Inertia for k = 1..max_k, best of ``starts`` initialisations. One cluster is the sum of squared norms."""
     spark = points.sparkSession
     rows = points.count()

@@ -115,14 +115,16 @@ def _common_type(df: DataFrame, columns: Sequence[str]) -> str:
     return f"decimal({whole + fraction},{fraction})" if whole + fraction <= 38 else "double"
 
 
-def value_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """How often each value of each column occurs: (metric, value, n), nulls left out.
+def value_counts(df: DataFrame, columns: Sequence[str], keep_nulls: bool = False) -> DataFrame:
+    """How often each value of each column occurs: (metric, value, n).
 
     One scan feeds every statistic below. Repeated values, hot ones above all, shrink map-side before the shuffle.
     """
     cast = _common_type(df, columns)
     pairs = F.array(*(F.struct(F.lit(c).alias("metric"), F.col(c).cast(cast).alias("value")) for c in columns))
-    long = df.select(F.inline(pairs)).filter(F.col("value").isNotNull())
+    long = df.select(F.inline(pairs))
+    if not keep_nulls:
+        long = long.filter(F.col("value").isNotNull())
     return materialise(long.groupBy("metric", "value").agg(F.count(F.lit(1)).alias("n")))
 
 

@@ -14,18 +14,18 @@ from tillspark.operators import ordering
 def numeric_summary(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Mean, exact quartiles, sample deviation, bias-corrected skewness and excess kurtosis, and missing values.
 
-    All but the missing counts come from one table of value counts, so the rows are scanned once for them.
+    Everything comes from one table of value counts, nulls included, so the rows are scanned once.
     """
-    counts = ordering.value_counts(df, columns)
+    every = ordering.value_counts(df, columns, keep_nulls=True)
+    counts = every.filter(F.col("value").isNotNull())
     quartiles = ordering.quantiles(counts, {"q1": 0.25, "median": 0.5, "q3": 0.75}).drop("rows")
     n = F.col("rows").cast("double")
     g1 = F.try_divide(F.col("m3") / n, F.pow(F.col("m2") / n, F.lit(1.5)))
     g2 = F.try_divide(F.col("m4") / n, F.pow(F.col("m2") / n, F.lit(2))) - 3
     skew = F.try_divide(F.sqrt(n * (n - 1)), n - 2) * g1
     kurt = F.try_divide(n - 1, (n - 2) * (n - 3)) * ((n + 1) * g2 + 6)
-    missing = df.agg(X.rows().alias("_all"), *(F.count_if(F.col(c).isNull()).alias(c) for c in columns)).select(
-        "_all", F.inline(F.array(*(F.struct(F.lit(c).alias("metric"), F.col(c).alias("missing_values")) for c in columns)))
-    )
+    empty = F.coalesce(F.sum(F.when(F.col("value").isNull(), F.col("n"))), F.lit(0))
+    missing = every.groupBy("metric").agg(F.sum("n").alias("_all"), empty.alias("missing_values"))
     joined = missing.join(ordering.moments(counts), "metric", "left").join(quartiles, "metric", "left")
     return joined.select(
         "metric",
