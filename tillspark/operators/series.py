@@ -186,23 +186,29 @@ def pattern_strength(parts: DataFrame, keys: Keys = ()) -> DataFrame:
 
 
 def autocorrelation(series: DataFrame, keys: Keys = (), max_lag: int = 24) -> DataFrame:
-    """Autocorrelation for lags 0..min(max_lag, n/2) with Bartlett's 95% half-width; one window pass, no self-join."""
-    whole = Window.partitionBy(*keys)
-    ordered = whole.orderBy("t")
-    centred = series.withColumn("_c", F.col("y") - F.avg("y").over(whole))
-    shifted = centred.select(
-        *keys, "_c", *(F.lag("_c", k).over(ordered).alias(f"_l{k}") for k in range(1, max_lag + 1))
+    """Autocorrelation for lags 0..min(max_lag, n/2) with Bartlett's 95% half-width.
+
+    A series becomes one array (at most one value per month) and every lag is a product of two of its slices: no self-join,
+    and a plan whose size does not grow with the number of lags.
+    """
+
+    gap = F.col("y") - F.avg("y").over(Window.partitionBy(*keys))
+    rows = series.withColumn("_d", gap).groupBy(*keys).agg(
+        F.sort_array(F.collect_list(F.struct("t", "_d"))).alias("_p"),
+        F.sum(F.col("_d") * F.col("_d")).alias("_ss"),
+        F.count("_d").alias("n"),
     )
-    products = [F.struct(F.lit(0).alias("lag"), F.lit(1.0).alias("acf"))] + [
-        F.struct(
-            F.lit(k).alias("lag"),
-            F.try_divide(F.sum(F.col("_c") * F.col(f"_l{k}")), F.sum(F.col("_c") * F.col("_c"))).alias("acf"),
-        )
-        for k in range(1, max_lag + 1)
-    ]
-    sums = shifted.groupBy(*keys).agg(F.count("_c").alias("n"), F.array(*products).alias("_all"))
-    long = sums.select(*keys, "n", F.inline("_all")).filter(F.col("lag") <= F.floor(F.col("n") / 2))
+    squares = rows.select(*keys, "n", "_ss", F.col("_p._d").alias("_c"))
+
+    def at_lag(k: Column) -> Column:
+        length = F.size("_c") - k
+        products = F.zip_with(F.slice("_c", F.lit(1), length), F.slice("_c", k + 1, length), lambda a, b: a * b)
+        total = F.aggregate(products, F.lit(0.0), lambda so_far, v: so_far + v)
+        return F.when(k == 0, 1.0).otherwise(F.try_divide(total, F.col("_ss")))
+
+    lags = F.sequence(F.lit(0), F.least(F.lit(max_lag), F.floor(F.col("n") / 2).cast("int")))
+    long = squares.select(*keys, "n", F.posexplode(F.transform(lags, at_lag)).alias("lag", "acf"))
     earlier = Window.partitionBy(*keys).orderBy("lag").rowsBetween(Window.unboundedPreceding, -1)
-    squares = F.coalesce(F.sum(F.when(F.col("lag") > 0, F.col("acf") * F.col("acf"))).over(earlier), F.lit(0.0))
-    width = F.when(F.col("lag") > 0, 1.96 * F.sqrt((1 + 2 * squares) / F.col("n"))).otherwise(0.0)
+    before = F.coalesce(F.sum(F.when(F.col("lag") > 0, F.col("acf") * F.col("acf"))).over(earlier), F.lit(0.0))
+    width = F.when(F.col("lag") > 0, 1.96 * F.sqrt((1 + 2 * before) / F.col("n"))).otherwise(0.0)
     return long.withColumn("half_width", width)
