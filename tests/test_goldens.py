@@ -7,9 +7,10 @@ from itertools import product
 import pytest
 from pyspark.sql import functions as F
 
+from tillspark import schemas
 from tillspark.functions import exprs as X
 from tillspark.operators import anomaly, clean, forecast, kpi, ordering, segment, series, stats
-from tillspark.sources import files
+from tillspark.sources import files, star
 
 
 def day(n: int, month: int = 1, year: int = 2023) -> dt.date:
@@ -268,3 +269,32 @@ def test_written_sales_are_partitioned_by_month(spark, tmp_path):
     files.write_sales(df, str(tmp_path / "sales"))
     assert (tmp_path / "sales" / "sale_month=2023-02").is_dir()
     assert spark.read.parquet(str(tmp_path / "sales")).filter("sale_month = '2023-01'").count() == 1
+
+
+def test_declared_tables_take_typed_rows(spark):
+    rows = [("T9", "Ann", "Bob", "2024-03-01 09:30:00", "P9", "Lamp", "Home", "2", "9.5", "19", "S1", "Cash")]
+    text = spark.createDataFrame(rows, ", ".join(f"{n} string" for n in schemas.SALES_TRANSACTIONS.names))
+    typed = schemas.conform(text, schemas.SALES_TRANSACTIONS)
+    assert typed.schema == schemas.SALES_TRANSACTIONS
+    row = kpi.hourly_overview(typed).first()
+    assert (row.hour_of_day, row.total_items_sold, row.total_sales) == (9, 2, 19.0)
+    with pytest.raises(Exception, match="CAST_INVALID_INPUT"):
+        schemas.conform(text.withColumn("price", F.lit("dear")), schemas.SALES_TRANSACTIONS).collect()
+
+
+def test_hot_order_and_hot_customer_keep_every_line(spark, tmp_path):
+    """A third of all lines on one order of one customer: figures equal those of plain Python."""
+    lines = [(0 if i % 3 == 0 else i, i % 5, i % 4, float(1 + i % 7), float(10 * (1 + i % 7))) for i in range(900)]
+    spark.createDataFrame(lines, "l_orderkey long, l_partkey long, l_suppkey long, l_quantity double, l_extendedprice double").write.parquet(str(tmp_path / "lineitem.parquet"))
+    orders = [(k, 0 if k == 0 else k % 9, dt.datetime(2024, 1, 1 + k % 20)) for k in range(900)]
+    spark.createDataFrame(orders, "o_orderkey long, o_custkey long, o_orderdate timestamp").write.parquet(str(tmp_path / "orders.parquet"))
+    spark.createDataFrame([(k, f"c{k}") for k in range(9)], "c_custkey long, c_name string").write.parquet(str(tmp_path / "customer.parquet"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    fact = star.sales(spark, str(tmp_path), "customer_name", "date_of_sale", "quantity_sold", "total_amount")
+    got = {r.customer_name: r.total_spend for r in kpi.customer_ranking(fact).collect()}
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    want = {}
+    for order, _, _, _, amount in lines:
+        name = f"c{0 if order == 0 else order % 9}"
+        want[name] = want.get(name, 0) + amount
+    assert got == want

@@ -8,7 +8,7 @@ from tillspark.functions import exprs as X
 from tillspark.operators import anomaly, clean, kpi, segment, series
 from tillspark.plans.kpi_queries import PRICE_CASE_SQL, PRICE_LIMITS, daily, monthly
 from tillspark.plans.registry import query, rounded
-from tillspark.schemas import CSV_HEADERS, NUMERIC_COLUMNS
+from tillspark.schemas import CSV_HEADERS, NUMERIC_COLUMNS, SALES_TRANSACTIONS, conform
 from tillspark.session import materialise
 from tillspark.sources import files, star
 from tillspark.sources.star import sales
@@ -48,6 +48,19 @@ def src_table_erp(spark, d):
     return sales(spark, d, *ERP_COLUMNS).withColumn("date_of_sale", X.as_date("date_of_sale"))
 
 
+@query(
+    "src_table_star",
+    """SELECT CAST(transaction_id AS VARCHAR) AS transaction_id, customer_name, employee_name, d AS date_of_sale,
+    CAST(product_id AS VARCHAR) AS product_id, product_name, product_category, quantity_sold,
+    CAST(price AS DECIMAL(10,2)) AS price, CAST(total_amount AS DECIMAL(10,2)) AS total_amount,
+    CAST(store_id AS VARCHAR) AS store_id, payment_method FROM sales""",
+)
+def src_table_star(spark, d):
+    """The transaction table in its declared types."""
+    lines = conform(sales(spark, d, *SALES_TRANSACTIONS.names), SALES_TRANSACTIONS)
+    return lines.withColumn("date_of_sale", X.as_date("date_of_sale"))
+
+
 @query("src_csv", f"SELECT {ERP_SQL} FROM sales")
 def src_csv(spark, d):
     """The sales table written as a CSV export with readable headers, and read back."""

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 MONEY = T.DecimalType(10, 2)
@@ -94,3 +96,8 @@ CSV_HEADERS = {
 }
 
 NUMERIC_COLUMNS = ("quantity_sold", "price", "total_amount")
+
+
+def conform(df: DataFrame, schema: T.StructType) -> DataFrame:
+    """The declared columns in their declared types and order; a value that does not fit stops the job."""
+    return df.select(*(F.col(field.name).cast(field.dataType).alias(field.name) for field in schema))
