@@ -292,7 +292,13 @@ def test_hot_order_and_hot_customer_keep_every_line(spark, tmp_path):
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
     fact = star.sales(spark, str(tmp_path), "customer_name", "date_of_sale", "quantity_sold", "total_amount")
     got = {r.customer_name: r.total_spend for r in kpi.customer_ranking(fact).collect()}
+    by_day = {r.sale_date: float(r.daily_total) for r in series.daily_totals(star.order_amounts(spark, str(tmp_path), "date_of_sale")).collect()}
     spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    days = {}
+    for order, *_, amount in lines:
+        date = dt.date(2024, 1, 1 + order % 20)
+        days[date] = days.get(date, 0) + amount
+    assert by_day == days
     want = {}
     for order, _, _, _, amount in lines:
         name = f"c{0 if order == 0 else order % 9}"

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from tillspark.operators import kpi, series
 from tillspark.plans.registry import query, rounded
-from tillspark.sources.star import event_sales, sales
+from tillspark.sources.star import event_sales, order_amounts, sales
 
 PRICE_LIMITS = (850, 1700, 2600, 5000)  # about the quintiles of the test tables' unit prices
 
@@ -145,11 +145,11 @@ def agg_missing(spark, d):
 
 
 def daily(spark, d):
-    return series.daily_totals(sales(spark, d, "date_of_sale", "total_amount"))
+    return series.daily_totals(order_amounts(spark, d, "date_of_sale"))
 
 
 def monthly(spark, d):
-    return series.monthly_totals(sales(spark, d, "date_of_sale", "total_amount"))
+    return series.monthly_totals(order_amounts(spark, d, "date_of_sale"))
 
 
 @query("agg_daily", "SELECT sale_date, CAST(daily_total AS DOUBLE) AS daily_sales FROM daily")
