@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tillspark.llm import decontaminate
+from tillspark.llm import decontaminate, mixing, sharding
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -64,3 +64,45 @@ WHERE l.kind = 'd'
 def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return decontaminate.digest(decontaminate.verbatim_matches(docs, table(spark, sf_dir, "benchmark")))
+
+
+@query("op7_sharding")
+def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.place(table(spark, sf_dir, "documents").select("doc_id", "text"), shards=8)
+
+
+@query(
+    "op9_mixing_sources",
+    r"""
+WITH sized AS (
+  SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size,
+         md5(coalesce(CAST(doc_id AS VARCHAR), '') || ':0') AS k
+  FROM documents
+), sources AS (
+  SELECT source, sum(size) AS source_size,
+         CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 WHEN 0 THEN 3 WHEN 1 THEN 1 ELSE 2 END AS w
+  FROM sized GROUP BY source
+), rounds AS (
+  SELECT a.source, a.source_size, a.w,
+         (1.5 * (SELECT sum(source_size) FROM sources)
+          - coalesce(sum(2 * b.source_size) FILTER (WHERE b.source_size / b.w < a.source_size / a.w), 0))
+         / sum(b.w) FILTER (WHERE b.source_size / b.w >= a.source_size / a.w) AS level
+  FROM sources a CROSS JOIN sources b GROUP BY ALL
+), targets AS (
+  SELECT source, source_size,
+         least(CAST(2 * source_size AS DOUBLE),
+               w * CAST((SELECT min(level) FROM rounds WHERE w * level <= 2 * source_size) AS DOUBLE)) AS target
+  FROM rounds
+), placed AS (
+  SELECT s.*, t.source_size, t.target, CAST(floor(t.target + 0.5) AS BIGINT) AS budget,
+         sum(s.size) OVER (PARTITION BY s.source ORDER BY s.k, s.doc_id ROWS UNBOUNDED PRECEDING) - s.size AS before
+  FROM sized s JOIN targets t ON s.source IS NOT DISTINCT FROM t.source
+)
+SELECT doc_id, size, CAST(source_size AS BIGINT) AS source_size, target,
+       CAST(CASE WHEN source_size = 0 THEN 0
+            ELSE (budget // source_size) * size + greatest(0, least(size, budget % source_size - before)) END AS BIGINT) AS taken
+FROM placed
+""",
+)
+def op9_mixing_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixed_words(table(spark, sf_dir, "documents"))
