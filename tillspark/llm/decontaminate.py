@@ -84,6 +84,8 @@ def _block(rows: list, size: int) -> Block:
 
 def _runs(item, offset, at, length):
     """Join hits that continue each other in the same item: start, end and the item's position of maximal runs."""
+    if not len(at):
+        return item, offset, at, at
     order = np.lexsort((at, at - offset, item))
     item, offset, at, length = item[order], offset[order], at[order], length[order]
     new = np.ones(len(at), bool)
