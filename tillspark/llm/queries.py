@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tillspark.llm import decontaminate, mixing, sharding
+from tillspark.llm import decontaminate, jaccard, mixing, sharding
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -106,3 +106,34 @@ FROM placed
 )
 def op9_mixing_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed_words(table(spark, sf_dir, "documents"))
+
+
+@query(
+    "op1_ngram_jaccard_join",
+    r"""
+WITH RECURSIVE lowered AS (
+  SELECT doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                             '[^\x20\x09-\x0D]+'), []) AS w
+  FROM documents
+), shingles AS (
+  SELECT DISTINCT doc_id, array_to_string(w[i : i + 4], ' ') AS s
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(2, len(w) - 3))) AS i FROM lowered WHERE len(w) > 0)
+), sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id
+), links AS (
+  SELECT a.doc_id AS a, b.doc_id AS b
+  FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id <> b.doc_id
+       JOIN sizes x ON x.doc_id = a.doc_id JOIN sizes y ON y.doc_id = b.doc_id
+  GROUP BY a.doc_id, b.doc_id HAVING 100 * count(*) >= 75 * (any_value(x.n) + any_value(y.n) - count(*))
+), reach AS (
+  SELECT doc_id AS root, doc_id AS node FROM lowered
+  UNION
+  SELECT r.root, l.b FROM reach r JOIN links l ON l.a = r.node
+)
+SELECT l.doc_id, CAST(coalesce(s.n, 0) AS BIGINT) AS n_shingles, c.component_id
+FROM lowered l LEFT JOIN sizes s ON s.doc_id = l.doc_id
+     JOIN (SELECT root, min(node) AS component_id FROM reach GROUP BY root) c ON c.root = l.doc_id
+""",
+)
+def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = jaccard.linked(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_shingles", "component_id")
