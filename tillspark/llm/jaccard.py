@@ -346,7 +346,7 @@ def linked(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     signed = materialise(_signed(docs, rule))
     rows = signed.where("cell is null").select("doc_id", "text_hash", "n", "fp", "key")
-    table = tables.gathered(signed.where("cell is not null"), BITS)
+    table = tables.gathered(signed.where("cell is not null"), 1 << BITS)
     classes = materialise(rows.where("fp is not null").groupBy("fp").agg(F.min("doc_id").alias("least"), F.first("n").alias("n"), F.first("key").alias("key")))
     members = materialise(_clusters(docs, classes, rule))
 

@@ -34,11 +34,11 @@ def _add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], schema=CELL_SCHEMA)
 
 
-def gathered(rows: DataFrame, bits: int) -> np.ndarray:
-    """Add up rows (cell, counts) of all tasks: 2**bits counts, 8 MB at 20 bits."""
-    parts = max(1, (1 << bits) // CELL)
+def gathered(rows: DataFrame, size: int) -> np.ndarray:
+    """Add up rows (cell, counts) of all tasks to a table of ``size`` counts, 8 bytes each."""
+    parts = -(-size // CELL) or 1
     summed = rows.select("cell", "counts").repartition(min(parts, 64), "cell").mapInArrow(_add, "cell int, counts binary")
-    out = np.zeros(1 << bits, np.int64)
+    out = np.zeros(size, np.int64)
     for r in summed.collect():
         out[r["cell"] * CELL : r["cell"] * CELL + len(r["counts"]) // 8] = np.frombuffer(r["counts"], np.int64)
     return out
@@ -54,7 +54,7 @@ def marked(codes: DataFrame, bits: int) -> np.ndarray:
         found = list(cells(seen))
         yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in found], pa.int32()), pa.array([x for _, x in found], pa.binary())], schema=CELL_SCHEMA)
 
-    return np.packbits(gathered(codes.mapInArrow(count, "cell int, counts binary"), bits) > 0)
+    return np.packbits(gathered(codes.mapInArrow(count, "cell int, counts binary"), 1 << bits) > 0)
 
 
 def hit(bitmap: np.ndarray, codes: np.ndarray) -> np.ndarray:
