@@ -7,6 +7,8 @@ the source is cut at its exact budget. A budget above the source's size repeats
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,7 +16,7 @@ from tillspark.llm import text as T
 from tillspark.session import materialise
 
 WORD = r"[^\x20\x09-\x0D]+"
-RANGE_ROWS = 65_536  # documents that one key range holds on average
+RANGE_ROWS = 1024  # documents that one key range holds on average, or the root of their number if that is more
 FEW_SOURCES = 50_000  # a table of at most so many sources is sent to all tasks
 _ORDER = 1 << 32
 
@@ -47,7 +49,8 @@ def source_targets(sources: DataFrame, weights: tuple[int, ...], share: float, c
     full = F.coalesce(F.sum("limit").over(fill.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     open_weight = F.sum("weight").over(fill.rowsBetween(0, Window.unboundedFollowing))
     levels = limited.withColumn("level", (total - full) / open_weight)
-    first_open = F.min(F.when(F.col("weight") * F.col("level") <= F.col("limit"), F.col("level"))).over(every)
+    # levels fall from the first source below its limit on, as later ones count sources as full that aren't
+    first_open = F.max(F.when(F.col("weight") * F.col("level") <= F.col("limit"), F.col("level"))).over(every)
     target = F.coalesce(F.least(F.col("limit").cast("double"), F.col("weight") * first_open), F.col("limit").cast("double"))
     budget = F.floor(F.col("target") + 0.5).cast("bigint")
     some = F.col("source_size") > 0
@@ -66,7 +69,8 @@ def source_targets(sources: DataFrame, weights: tuple[int, ...], share: float, c
 
 def _placed(sized: DataFrame, weights: tuple[int, ...], share: float, cap: int) -> DataFrame:
     """``sized`` (source, size, key, ...) with its source's figures and ``before``, the source's words ahead of it."""
-    ranges = 1 + sized.count() // RANGE_ROWS
+    rows = sized.count()
+    ranges = 1 + rows // max(RANGE_ROWS, math.isqrt(rows))
     spot = F.conv(F.substring("key", 1, 8), 16, 10).cast("bigint")
     cells = sized.withColumn("cell", F.floor(spot * ranges / _ORDER).cast("bigint"))
     sums = cells.groupBy("source", "cell").agg(F.sum("size").alias("words"))

@@ -86,12 +86,14 @@ WITH sized AS (
   SELECT a.source, a.source_size, a.w,
          (1.5 * (SELECT sum(source_size) FROM sources)
           - coalesce(sum(2 * b.source_size) FILTER (WHERE b.source_size / b.w < a.source_size / a.w), 0))
-         / sum(b.w) FILTER (WHERE b.source_size / b.w >= a.source_size / a.w) AS level
+         / sum(b.w) FILTER (WHERE b.source_size / b.w >= a.source_size / a.w) AS level,
+         coalesce(max(2 * b.source_size / b.w) FILTER (WHERE b.source_size / b.w < a.source_size / a.w), 0) AS full_from
   FROM sources a CROSS JOIN sources b GROUP BY ALL
 ), targets AS (
   SELECT source, source_size,
          least(CAST(2 * source_size AS DOUBLE),
-               w * CAST((SELECT min(level) FROM rounds WHERE w * level <= 2 * source_size) AS DOUBLE)) AS target
+               w * CAST((SELECT min(level) FROM rounds WHERE w * level <= 2 * source_size AND level >= full_from)
+                        AS DOUBLE)) AS target
   FROM rounds
 ), placed AS (
   SELECT s.*, t.source_size, t.target, CAST(floor(t.target + 0.5) AS BIGINT) AS budget,
