@@ -70,6 +70,7 @@ class Words:
     end: np.ndarray
     hash: np.ndarray
     first: np.ndarray
+    head: np.ndarray | None = None  # hash of the first bytes of each word
 
     @property
     def counts(self) -> np.ndarray:
@@ -98,12 +99,12 @@ def _bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, offsets - offsets[0]
 
 
-def words(texts: pa.Array, rule: Rule) -> Words:
-    """Split texts (null counts as empty) into words."""
+def words(texts: pa.Array, rule: Rule, head: int = 0) -> Words:
+    """Split texts (null counts as empty) into words; with ``head``, also hash the first so many bytes of each."""
     data, offsets = _bytes(texts)
     if not len(data):
         none = np.empty(0, np.int64)
-        return Words(data, none, none, none.astype(np.uint64), np.zeros(len(offsets), np.int64))
+        return Words(data, none, none, none.astype(np.uint64), np.zeros(len(offsets), np.int64), none.astype(np.uint64))
     inside = rule.inside[data]
     before = np.empty_like(inside)
     before[0], before[1:] = False, inside[:-1]
@@ -118,9 +119,12 @@ def words(texts: pa.Array, rule: Rule) -> Words:
     sums = np.empty(len(data) + 1, np.uint64)
     sums[0] = 0
     np.cumsum(rule.value[data] * up[: len(data)], out=sums[1:])
-    code = (sums[end] - sums[start]) * down[start]
-    first = np.searchsorted(start, offsets)
-    return Words(data, start, end, mix(code + (end - start).astype(np.uint64)), first)
+
+    def named(stop: np.ndarray) -> np.ndarray:
+        return mix((sums[stop] - sums[start]) * down[start] + (stop - start).astype(np.uint64))
+
+    heads = named(np.minimum(end, start + head)) if head else None
+    return Words(data, start, end, named(end), np.searchsorted(start, offsets), heads)
 
 
 def windows(w: Words, size: int) -> np.ndarray:

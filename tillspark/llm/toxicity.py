@@ -1,9 +1,9 @@
 """Toxicity from class-conditional Kneser-Ney models.
 
 Two bigram models, of toxic and of ordinary documents, are fitted on labelled rows: counts are numbers of different left
-neighbours, so that copies count once, and are discounted; the mass that discounting frees backs off to unigrams of the class
-and from there to counts of the whole corpus, which both classes share. An expression that a class has seen in one context
-only is left to the shared counts altogether, and then says nothing for or against. A document's length-normalised
+neighbours, so that copies count once, and are discounted; the mass that discounting frees backs off to unigrams of the class,
+from them to the beginnings of words, and to counts of the whole corpus, which both classes share. An expression that a class has seen in few contexts is left to
+the shared counts altogether, and then says nothing for or against. A document's length-normalised
 log-likelihoods under the two models are compared over the whole text and over its strongest expressions; a logistic curve
 fitted on further labelled rows turns both into a score.
 """
@@ -23,6 +23,9 @@ from tillspark.llm import text as T
 from tillspark.session import materialise
 
 PER_CLASS = 4000  # labelled documents that fit the counts of a class, and again as many for the curve: bounds the model
+HEAD = 4  # bytes of a word's beginning
+GIVEN_UP = 9  # counts up to this are discounted as a whole
+SHARED = 0.5  # part of the backoff that goes to the shared counts at once
 STRONGEST = 2  # expressions compared on their own
 THRESHOLD = 0.3
 _START = np.uint64(0xA5A5A5A5A5A5A5A5)
@@ -31,15 +34,21 @@ _PAIR = np.uint64(0xD6E8FEB86659FD93)
 
 @dataclass
 class Model:
-    """Sorted hashes with, for toxic (row 0) and ordinary (row 1): bigram mass, share left by contexts, unigram chance."""
+    """Sorted hashes with, for toxic (row 0) and ordinary (row 1): bigram mass, share left by contexts, unigram mass, chance of a
+    beginning against the shared counts; the share left by all unigrams; and the chances of words and bigrams by the shared
+    counts. The last place of each is for what is not among the hashes."""
 
     bigrams: np.ndarray
     bigram_mass: np.ndarray
     contexts: np.ndarray
     context_left: np.ndarray
     words: np.ndarray
-    word_chance: np.ndarray
-    unknown: np.ndarray
+    word_mass: np.ndarray
+    heads: np.ndarray
+    head_lift: np.ndarray
+    spare: np.ndarray
+    shared_word: np.ndarray
+    shared_bigram: np.ndarray
     curve: np.ndarray | None = None
 
 
@@ -77,19 +86,17 @@ def _trigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for lo, hi in T.chunks(batch.column("text")):
             part = batch.slice(lo, hi - lo)
-            w = T.words(part.column("text"), T.PLAIN)
+            w = T.words(part.column("text"), T.PLAIN, HEAD)
             one, two = _neighbours(w)
             toxic = part.column("toxic").to_numpy(zero_copy_only=False).astype(np.int32)[w.owner()]
-            columns = [pa.array(toxic), *(pa.array(x.view(np.int64)) for x in (two, one, w.hash))]
-            yield pa.RecordBatch.from_arrays(columns, names=["toxic", "before", "context", "word"])
+            columns = [pa.array(toxic), *(pa.array(x.view(np.int64)) for x in (two, one, w.hash, w.head))]
+            yield pa.RecordBatch.from_arrays(columns, names=["toxic", "before", "context", "word", "head"])
 
 
-def _discount(count: np.ndarray) -> np.ndarray:
-    """Absolute discounts for counts 1, 2 and more, from the counts of counts; a count of 1 is given up as a whole."""
-    n = [max(1, int((count == k).sum())) for k in range(1, 5)]
-    y = n[0] / (n[0] + 2 * n[1])
-    two, more = np.clip(2 - 3 * y * n[2] / n[1], 1, 2), np.clip(3 - 4 * y * n[3] / n[2], 1, 3)
-    return np.where(count == 1, 1.0, np.where(count == 2, two, more))
+def _kept(count: np.ndarray, seen: dict[int, int]) -> np.ndarray:
+    """Counts less the absolute discount for 3 and more, which follows from how many counts are 1, 2, 3 and 4."""
+    n = [max(1, seen.get(k, 0)) for k in range(1, 5)]
+    return np.maximum(count - np.clip(3 - 4 * n[0] / (n[0] + 2 * n[1]) * n[3] / n[2], 1, 3), 0)
 
 
 def _look(keys: np.ndarray, codes: np.ndarray) -> np.ndarray:
@@ -100,79 +107,90 @@ def _look(keys: np.ndarray, codes: np.ndarray) -> np.ndarray:
     return np.where(keys[at] == codes, at, len(keys))
 
 
-def _counted(docs: DataFrame, words: np.ndarray) -> np.ndarray:
-    """How often each of the sorted words occurs in all documents, and behind them all words."""
-    shared = docs.sparkSession.sparkContext.broadcast(words)
+def _counted(docs: DataFrame, *keys: np.ndarray) -> tuple[list[np.ndarray], int]:
+    """How often each of the sorted words, bigrams and beginnings occurs in all documents, and how many words these have."""
+    shared = docs.sparkSession.sparkContext.broadcast(keys)
+    cuts = np.cumsum([0, *(len(k) + 1 for k in keys)])
 
     def run(batches):
-        counts = np.zeros(len(words) + 2, np.int64)
+        counts = np.zeros(cuts[-1] + 1, np.int64)
         for batch in batches:
             for lo, hi in T.chunks(batch.column(0)):
-                w = T.words(batch.column(0).slice(lo, hi - lo), T.PLAIN)
-                counts[:-1] += np.bincount(_look(shared.value, w.hash), minlength=len(words) + 1)
+                w = T.words(batch.column(0).slice(lo, hi - lo), T.PLAIN, HEAD)
+                one, _ = _neighbours(w)
+                for k, codes in enumerate((w.hash, _pair(one, w.hash), w.head)):
+                    found = _look(shared.value[k], codes)
+                    counts[cuts[k] : cuts[k + 1]] += np.bincount(found, minlength=cuts[k + 1] - cuts[k])
                 counts[-1] += len(w.hash)
         found = list(tables.cells(counts))
         yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in found], pa.int32()), pa.array([x for _, x in found], pa.binary())], schema=tables.CELL_SCHEMA)
 
-    return tables.gathered(docs.select("text").mapInArrow(run, "cell int, counts binary"), len(words) + 2)
+    counts = tables.gathered(docs.select("text").mapInArrow(run, "cell int, counts binary"), int(cuts[-1]) + 1)
+    return [counts[a : b - 1] for a, b in zip(cuts[:-1], cuts[1:])], int(counts[-1])
 
 
 def _model(docs: DataFrame, sample: DataFrame) -> Model:
-    trigrams = sample.select("toxic", "text").mapInArrow(_trigrams, "toxic int, before bigint, context bigint, word bigint")
-    pairs = materialise(trigrams.distinct().groupBy("toxic", "context", "word").agg(F.count("*").alias("n")))
-    words = materialise(pairs.groupBy("toxic", "word").agg(F.count("*").alias("n")))
-    totals = pairs.groupBy("toxic", "context").agg(F.sum("n").alias("total"), F.max("n").alias("most")).where("most > 1")
+    trigrams = sample.select("toxic", "text").mapInArrow(_trigrams, "toxic int, before bigint, context bigint, word bigint, head bigint")
+    pairs = materialise(trigrams.distinct().groupBy("toxic", "context", "word", "head").agg(F.count("*").alias("n")))
+    words = materialise(pairs.groupBy("toxic", "word", "head").agg(F.count("*").alias("n")))
+    heads = materialise(words.groupBy("toxic", "head").agg(F.sum("n").alias("n")))
+    totals = pairs.groupBy("toxic", "context").agg(F.sum("n").alias("total"), F.max("n").alias("most"))
 
     def few(df: DataFrame) -> dict[int, int]:
         return {r["n"]: r["count"] for r in df.where("n <= 4").groupBy("n").count().collect()}
 
     def arrays(df: DataFrame, *columns: str) -> list[np.ndarray]:
         table = df.select(*columns).toArrow()  # bounded by the sample
-        return [table.column(c).to_numpy() for c in columns]
+        return [table.column(c).to_numpy().astype(np.int64).view(np.uint64) for c in columns]
 
-    both = [np.empty(0, np.uint64)] * 3
     kept = []
     for c in (1, 0):
         mine, own = pairs.where(F.col("toxic") == c), words.where(F.col("toxic") == c)
-        of_pairs, of_words = few(mine), few(own)
-        context, word, n = arrays(mine.where("n > 1"), "context", "word", "n")
-        single, single_n = arrays(own.where("n > 1"), "word", "n")
-        ctx, total = arrays(totals.where(F.col("toxic") == c), "context", "total")
-        context, word, single, ctx = (x.astype(np.int64).view(np.uint64) for x in (context, word, single, ctx))
-        every = own.agg(F.sum("n")).first()[0] or 1
-
-        def left(count, seen):  # counts that are not collected take part in the counts of counts
-            low = np.concatenate([np.full(min(seen.get(k, 0), 1 << 20), k) for k in (1, 2, 3, 4)] + [count[count > 4]])
-            return np.maximum(count - _discount(np.concatenate([low, count]))[len(low) :], 0)
-
-        mass = left(n, of_pairs)
+        context, word, n = arrays(mine.where(F.col("n") > GIVEN_UP), "context", "word", "n")
+        single, single_n = arrays(own.where(F.col("n") > GIVEN_UP), "word", "n")
+        ctx, total = arrays(totals.where((F.col("toxic") == c) & (F.col("most") > GIVEN_UP)), "context", "total")
         order = np.argsort(ctx)
-        ctx, total = ctx[order], total[order]
+        ctx, total = ctx[order], total[order].astype(float)
         at = np.searchsorted(ctx, context)
-        used = np.bincount(at, mass, minlength=len(ctx)) / np.maximum(total, 1)
-        kept.append((_pair(context, word), mass / total[at] if len(at) else mass, ctx, 1 - used, single, left(single_n, of_words) / every))
-    for k in range(3):
-        both[k] = np.unique(np.concatenate([x[2 * k] for x in kept]))
-    bigrams, contexts, vocabulary = both
-    filled = [np.zeros((2, len(bigrams) + 1)), np.ones((2, len(contexts) + 1)), np.zeros((2, len(vocabulary) + 1))]
+        mass = _kept(n.astype(float), few(mine)) / total[at]
+        left = 1 - np.bincount(at, mass, minlength=len(ctx))
+        every = own.agg(F.sum("n")).first()[0] or 1
+        of_heads = heads.where(F.col("toxic") == c)
+        head, head_n = arrays(of_heads.where(F.col("n") > GIVEN_UP), "head", "n")
+        alone, begun = _kept(single_n.astype(float), few(own)) / every, _kept(head_n.astype(float), few(of_heads)) / every
+        kept.append((_pair(context, word), mass, ctx, left, single, alone, head, begun, context, word))
+    bigrams, contexts, vocabulary, beginnings = keys = [np.unique(np.concatenate([x[2 * k] for x in kept])) for k in range(4)]
+    filled = [np.full((2, len(k) + 1), float(k is contexts)) for k in keys]
     for row, x in enumerate(kept):
-        for k, keys in enumerate(both):
-            filled[k][row, np.searchsorted(keys, x[2 * k])] = x[2 * k + 1]
-    counts = _counted(docs, vocabulary)
-    shared = (counts[:-1] + 1) / (counts[-1] + len(vocabulary) + 1)
-    spare = 1 - filled[2].sum(axis=1, keepdims=True)
-    return Model(bigrams, filled[0], contexts, filled[1], vocabulary, filled[2] + spare * shared, spare)
+        for k in range(4):
+            filled[k][row, np.searchsorted(keys[k], x[2 * k])] = x[2 * k + 1]
+    known = np.unique(np.concatenate([vocabulary, *(x[8] for x in kept), *(x[9] for x in kept)]))
+    (of_words, of_bigrams, of_heads), every = _counted(docs, known, bigrams, beginnings)
+    chance = np.append(of_words + 1, 1) / (every + len(known) + 1)
+    shared_bigram = np.zeros(len(bigrams) + 1)
+    for x in kept:
+        context, word = (np.searchsorted(known, y) for y in x[8:])
+        at = np.searchsorted(bigrams, x[0])
+        shared_bigram[at] = (of_bigrams[at] + chance[word]) / (of_words[context] + 1)
+    shared_word = chance[_look(known, np.append(vocabulary, np.uint64(0)))]
+    shared_word[-1] = chance[-1]
+    spare, spare_heads = (1 - f.sum(axis=1, keepdims=True) for f in filled[2:])
+    lift = filled[3] * (every + len(beginnings) + 1) / np.append(of_heads + 1, 1) + spare_heads
+    return Model(bigrams, filled[0], contexts, filled[1], vocabulary, filled[2], beginnings, lift, spare, shared_word, shared_bigram)
 
 
 def _features(texts: pa.Array, model: Model) -> np.ndarray:
     """For each text: difference of the log-likelihoods by word, over all words and over the strongest expressions."""
-    w = T.words(texts, T.PLAIN)
+    w = T.words(texts, T.PLAIN, HEAD)
     out = np.zeros((len(texts), 2))
     if not len(w.hash):
         return out
     one, _ = _neighbours(w)
-    chance = model.word_chance[:, _look(model.words, w.hash)] * model.context_left[:, _look(model.contexts, one)]
-    chance += model.bigram_mass[:, _look(model.bigrams, _pair(one, w.hash))]
+    word, bigram = _look(model.words, w.hash), _look(model.bigrams, _pair(one, w.hash))
+    shared = np.where(bigram < len(model.bigrams), model.shared_bigram[bigram], model.shared_word[word])
+    alone = model.word_mass[:, word] + model.spare * model.shared_word[word] * model.head_lift[:, _look(model.heads, w.head)]
+    chance = SHARED * shared + (1 - SHARED) * alone
+    chance = model.bigram_mass[:, bigram] + model.context_left[:, _look(model.contexts, one)] * chance
     ratio = np.log(chance[0]) - np.log(chance[1])
     some = np.flatnonzero(w.counts > 0)
     out[some, 0] = np.add.reduceat(ratio, w.first[some]) / w.counts[some]
@@ -187,7 +205,7 @@ def _curve(x: np.ndarray, y: np.ndarray, shift: float) -> np.ndarray:
     """Ridge logistic regression by Newton's method on standardised features; intercept first, moved by ``shift``."""
     middle, spread = x.mean(axis=0), np.maximum(x.std(axis=0), 1e-9)
     z = np.column_stack([np.ones(len(x)), (x - middle) / spread])
-    penalty = np.array([1e-6, *[0.5] * x.shape[1]])
+    penalty = np.array([1e-6, *[0.05] * x.shape[1]])
     beta = np.zeros(z.shape[1])
     for _ in range(50):
         p = 1 / (1 + np.exp(-z @ beta))
