@@ -44,17 +44,45 @@ def gathered(rows: DataFrame, size: int) -> np.ndarray:
     return out
 
 
+def bits_of(places: np.ndarray, bits: int) -> Iterator[tuple[int, bytes]]:
+    """The parts of a table of 2**bits flags that have any of the places set, packed."""
+    places = np.unique(places)
+    width = 8 * CELL
+    for k in np.unique(places // width).tolist():
+        flags = np.zeros(min(width, 1 << bits), bool)
+        flags[places[np.searchsorted(places, k * width) : np.searchsorted(places, (k + 1) * width)] - k * width] = True
+        yield k, np.packbits(flags).tobytes()
+
+
+def _or(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    seen: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for k, data in zip(batch.column("cell").to_pylist(), batch.column("counts").to_pylist()):
+            part = np.frombuffer(data, np.uint8)
+            seen[k] = seen[k] | part if k in seen else part
+    yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.int32()), pa.array([x.tobytes() for x in seen.values()], pa.binary())], schema=CELL_SCHEMA)
+
+
+def gathered_bits(rows: DataFrame, bits: int) -> np.ndarray:
+    """Join rows (cell, packed flags) of all tasks: 2**bits flags, 8 in a byte."""
+    parts = max(1, (1 << bits) // (8 * CELL))
+    joined = rows.select("cell", "counts").repartition(min(parts, 64), "cell").mapInArrow(_or, "cell int, counts binary")
+    out = np.zeros(max(1, (1 << bits) // 8), np.uint8)
+    for r in joined.collect():
+        out[r["cell"] * CELL : r["cell"] * CELL + len(r["counts"])] = np.frombuffer(r["counts"], np.uint8)
+    return out
+
+
 def marked(codes: DataFrame, bits: int) -> np.ndarray:
-    """Which of 2**bits places the 64-bit codes of the only column fall on, as packed bits (test with ``hit``)."""
+    """Which of 2**bits places the 64-bit codes of the only column fall on, as packed flags (test with ``hit``)."""
 
-    def count(batches):
-        seen = np.zeros(1 << bits, bool)
+    def mark(batches):
         for batch in batches:
-            seen[slot(batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64), bits)] = True
-        found = list(cells(seen))
-        yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in found], pa.int32()), pa.array([x for _, x in found], pa.binary())], schema=CELL_SCHEMA)
+            found = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
+            cells = list(bits_of(slot(found, bits), bits))
+            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in cells], pa.int32()), pa.array([x for _, x in cells], pa.binary())], schema=CELL_SCHEMA)
 
-    return np.packbits(gathered(codes.mapInArrow(count, "cell int, counts binary"), 1 << bits) > 0)
+    return gathered_bits(codes.mapInArrow(mark, "cell int, counts binary"), bits)
 
 
 def hit(bitmap: np.ndarray, codes: np.ndarray) -> np.ndarray:
