@@ -99,8 +99,7 @@ class VantageTree:
                 leaf(node.rows, q)
                 return
             d = np.sqrt(np.maximum(((lifted[q] - node.point) ** 2).sum(axis=1), 0))
-            for near in (d < node.border, d >= node.border):
-                sides = node.sides if near is not None and (d[near] < node.border).all() else node.sides[::-1]
+            for near, sides in ((d < node.border, node.sides), (d >= node.border, node.sides[::-1])):
                 mine, far = q[near], d[near]
                 for child, least, largest in sides:
                     bound = np.maximum(np.maximum(least - far, far - largest), 0)

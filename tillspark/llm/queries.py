@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tillspark.llm import decontaminate, jaccard, mixing, neighbours, sharding, substrings, toxicity
+from tillspark.llm import chat, decontaminate, jaccard, language, mixing, neighbours, sharding, substrings, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -177,4 +177,38 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op3_nearest_neighbours")
 def op3_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
-    return neighbours.nearest(vectors, vectors.where("vec_id % 20 = 0"), k=20, factor=1.2)
+    return neighbours.nearest(vectors, vectors.where("vec_id % 20 = 0"), k=20, factor=4.0)
+
+
+@query(
+    "op4_chat_formatting",
+    r"""
+WITH turns AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS LAST, role NULLS FIRST, text NULLS FIRST) AS place
+  FROM (SELECT DISTINCT conv_id, turn, role, text FROM conversations)
+), prefixes AS (
+  SELECT conv_id, place,
+         string_agg(coalesce(length(role) || 'r' || role, '-') || ':' || coalesce(length(text) || 't' || text, '-'), '|')
+           OVER (PARTITION BY conv_id ORDER BY place ROWS UNBOUNDED PRECEDING) AS said
+  FROM turns
+), whole AS (
+  SELECT conv_id, max(place) AS n_turns, arg_max(md5(said), place) AS said FROM prefixes GROUP BY conv_id
+), firsts AS (
+  SELECT min(conv_id) AS conv_id, n_turns, said, count(*) AS n_copies FROM whole GROUP BY n_turns, said
+), kept AS (
+  SELECT * FROM firsts f WHERE NOT EXISTS (
+    SELECT 1 FROM prefixes p JOIN whole w USING (conv_id) WHERE p.place < w.n_turns AND p.place = f.n_turns AND md5(p.said) = f.said)
+)
+SELECT k.conv_id, CAST(any_value(k.n_turns) AS INTEGER) AS n_turns, CAST(any_value(k.n_copies) AS BIGINT) AS n_copies,
+       string_agg('<|im_start|>' || coalesce(t.role, 'unknown') || chr(10) || coalesce(t.text, '') || '<|im_end|>' || chr(10), ''
+                  ORDER BY t.place) AS text
+FROM kept k JOIN turns t ON t.conv_id = k.conv_id GROUP BY k.conv_id
+""",
+)
+def op4_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.formatted(table(spark, sf_dir, "conversations"))
+
+
+@query("op6_language_id")
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identified(table(spark, sf_dir, "pages"), table(spark, sf_dir, "documents"))
