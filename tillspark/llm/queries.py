@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tillspark.llm import chat, decontaminate, jaccard, language, mixing, neighbours, sharding, substrings, toxicity
+from tillspark.llm import chat, decontaminate, jaccard, language, mixing, neighbours, quality, sharding, substrings, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -212,3 +212,9 @@ def op4_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op6_language_id")
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identified(table(spark, sf_dir, "pages"), table(spark, sf_dir, "documents"))
+
+
+@query("op8_quality_classifier")
+def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return quality.rated(docs, quality.fit(docs, quality.graded(table(spark, sf_dir, "labels"))))
