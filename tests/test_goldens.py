@@ -82,9 +82,7 @@ def test_zero_denominators(spark):
     assert (last.prev_year_sales, last.yoy_difference, last.yoy_growth_pct) == (0, 5, None)
 
 
-@pytest.mark.parametrize("few", [0, 1_000_000])
-def test_three_median_rules(spark, monkeypatch, few):
-    monkeypatch.setattr(ordering, "FEW_VALUES", few)
+def test_three_median_rules(spark):
     for n, upper, between in ((4, 3, 2.5), (5, 3, 3)):
         df = spark.createDataFrame([(i,) for i in range(1, n + 1)], "v int")
         counts = ordering.value_counts(df, ["v"])
@@ -196,11 +194,11 @@ def test_rank_shares_places(spark):
 
 def test_naive_forecast_offsets_and_cap(spark):
     df = daily_frame(spark, [(day(n), n) for n in range(1, 11)])
-    out = forecast.naive_forecast(df, 45).orderBy("forecast_date").collect()
+    out = forecast.naive_forecast(df, 45, capped=True).orderBy("forecast_date").collect()
     assert len(out) == 30 and out[0].forecast_date == day(10)
     assert (out[0].forecast_7day_avg, out[0].forecast_30day_avg) == (7, 5.5)
     assert out[0].weighted_forecast == pytest.approx(7 * 0.7 + 5.5 * 0.3)
-    free = forecast.naive_forecast(df, 45, start_offset=1, capped=False).orderBy("forecast_date").collect()
+    free = forecast.naive_forecast(df, 45, start_offset=1).orderBy("forecast_date").collect()
     assert len(free) == 45 and free[0].forecast_date == day(11)
     assert forecast.naive_forecast(df, 0).count() == 0
 
@@ -212,12 +210,9 @@ def test_date_dimension(spark):
     ]
 
 
-@pytest.mark.parametrize("few", [0, 1_000_000])
-def test_numeric_summary_matches_pandas(spark, monkeypatch, few):
+def test_numeric_summary_matches_pandas(spark):
     import pandas as pd
 
-    monkeypatch.setattr(ordering, "FEW_VALUES", few)
-
     values = [1.0, 2.0, 2.0, 3.5, 10.0, 4.0, 7.25]
     out = stats.numeric_summary(spark.createDataFrame([(v,) for v in values] + [(None,)], "v double"), ["v"]).first()
     s = pd.Series(values)
@@ -227,8 +222,7 @@ def test_numeric_summary_matches_pandas(spark, monkeypatch, few):
     assert (out.missing_values, out.missing_pct) == (1, 12.5)
 
 
-def test_order_statistics_of_several_columns_distributed(spark, monkeypatch):
-    monkeypatch.setattr(ordering, "FEW_VALUES", 0)
+def test_order_statistics_of_several_columns_distributed(spark):
     df = spark.range(1001).select((F.col("id") % 10).cast("int").alias("a"), (1000 - F.col("id")).cast("int").alias("b"))
     counts = ordering.value_counts(df.withColumn("c", F.when(F.col("a") > 4, F.col("b"))), ["a", "b", "c"])
     out = {r.metric: (r.rows, r.m) for r in ordering.quantiles(counts, {"m": 0.5}).collect()}
@@ -304,3 +298,40 @@ def test_hot_order_and_hot_customer_keep_every_line(spark, tmp_path):
         name = f"c{0 if order == 0 else order % 9}"
         want[name] = want.get(name, 0) + amount
     assert got == want
+
+
+def test_every_year_and_day_is_kept(spark):
+    months = spark.createDataFrame([(1989, 5, 1), (2003, 1, 7), (2003, 5, 9)], "year int, month int, monthly_total int")
+    out = kpi.year_month_table(months)
+    assert out.columns == ["month", "y1989", "y2003"]
+    assert [tuple(r) for r in out.collect()] == [(1, None, 7), (5, 1, 9)]
+    sold = spark.createDataFrame([(day(3),), (day(5),)], "date_of_sale date")
+    assert series.date_bounds(sold, 1) == (day(2).isoformat(), day(6).isoformat())
+    assert series.date_bounds(sold.limit(0)) == ("1970-01-01", "1970-01-01")
+
+
+def test_rank_keeps_null_sums(spark):
+    rows = spark.createDataFrame([("a", 5), ("b", None), ("c", 5), ("d", 1)], "employee string, v int")
+    out = ordering.rank(rows, F.col("v").desc_nulls_last(), "v")
+    assert {r.employee: r["rank"] for r in out.collect()} == {"a": 1, "c": 1, "d": 3, "b": 4}
+
+
+def test_short_series_have_a_status(spark):
+    months = [(dt.date(2020 + m // 12, m % 12 + 1, 28), 100.0 + m) for m in range(30)]
+    rows = [("long", d, y, i) for i, (d, y) in enumerate(months)] + [("short", *months[0], 0)]
+    df = spark.createDataFrame(rows, "k string, ds date, y double, t int")
+    for out in (forecast.additive_forecast(df, ["k"], 3), forecast.additive_backtest(df, ["k"])):
+        found = {(r.k, r.status, r.forecast is None) for r in out.collect()}
+        assert found == {("long", "ok", False), ("short", "too_short", True)}
+    picked = spark.createDataFrame([("long", [0, 1, 0, 0, 0, 0, 12], "ok"), ("short", None, "too_short")], "k string, order array<int>, status string")
+    out = forecast.sarima_future(df, picked, ["k"], 2).collect()
+    assert sorted((r.k, r.status, r.forecast is None) for r in out) == [("long", "ok", False)] * 2 + [("short", "too_short", True)]
+
+
+def test_unknown_days_are_not_normal(spark):
+    from tillspark.streaming import daily as streaming
+
+    figures = spark.createDataFrame([("a", 9.0), ("b", 1.0)], "k string, total_sales double")
+    past = spark.createDataFrame([("a", 1.0, 2.0)], "k string, baseline_mean double, baseline_std double")
+    out = streaming.flag_days(figures, past, ["k"]).collect()
+    assert {r.k: r.anomaly_status for r in out} == {"a": "Anomaly", "b": "Unknown"}

@@ -20,7 +20,7 @@ def fitted(spark):
 
 def test_models_explain_the_target(fitted):
     table = {r.model: r for r in fitted.compare().collect()}
-    assert set(table) == {"XGBoost", "Random Forest", "Gradient Boosting"}
+    assert set(table) == {"Stochastic Gradient Boosting", "Random Forest", "Gradient Boosting"}
     assert all(r.r2 > 0.5 for r in table.values())
     assert fitted.best() == max(table, key=lambda m: table[m].r2)
 
@@ -76,9 +76,13 @@ def test_unseen_category_encodes_to_zeros(spark, fitted):
     assert scored.count() == 3 and scored.filter(F.col("predicted_sales").isNull()).count() == 0
 
 
-def test_wide_categories_are_hashed(spark, fitted):
-    narrow = model.Preparation(max_categories=10).fit_width(sales(spark, SF_DIR, *model.CATEGORICAL))
-    assert "product_name" in narrow.hashed and "category" not in narrow.hashed
+def test_named_categories_are_hashed(spark):
+    lines = model.clean.calendar_features(sales(spark, SF_DIR, "date_of_sale", *model.NUMERIC[:2], *model.CATEGORICAL))
+    narrow = model.Preparation(hashed=("product_name",), hash_width=10).columns(lines)
+    assert narrow.select("product_name").distinct().count() <= 10
+    plain = model.Preparation().columns(lines)
+    assert plain.select("product_name").distinct().count() > 10
+    assert narrow.select("category").distinct().count() == plain.select("category").distinct().count()
 
 
 def test_clusters_find_separate_groups(spark):
@@ -120,7 +124,9 @@ def test_isolation_forest_finds_spikes(spark):
     again = isolation.isolation_anomalies(df.repartition(3))
     assert {r.sale_date for r in again.filter("anomaly = 1").collect()} == flagged
     few = isolation.isolation_anomalies(df.limit(20), min_rows=30)
-    assert few.filter("anomaly = 1").count() == 0
+    assert {(r.anomaly, r.status) for r in few.collect()} == {(None, "too_few_rows")}
+    spike = spark.createDataFrame([*rows[:20], rows[-1]], "sale_date date, daily_total double")
+    assert [r.sale_date for r in isolation.isolation_anomalies(spike).filter("anomaly = 1").collect()] == [spikes[-1]]
 
 
 def test_positions_ignore_partitioning(spark):

@@ -25,7 +25,7 @@ def _ridge(x: np.ndarray, y: np.ndarray, penalty: np.ndarray) -> np.ndarray:
 class AdditiveModel:
     """Posterior-mode style fit: Gaussian penalties of width ``change_scale`` on trend changes and 10 on seasonal terms."""
 
-    def __init__(self, days: np.ndarray, y: np.ndarray, change_scale: float = 0.05, rounds: int = 12):
+    def __init__(self, days: np.ndarray, y: np.ndarray, change_scale: float = 0.05, rounds: int = 500):
         self.start, self.span = days[0], max(days[-1] - days[0], 1)
         self.scale = np.abs(y).max() or 1.0
         t, target = (days - self.start) / self.span, y / self.scale
@@ -39,14 +39,16 @@ class AdditiveModel:
             self.theta = _ridge(factor[:, None] * trend_x, target, pull)
             trend = trend_x @ self.theta
             beta = _ridge(trend[:, None] * season_x, target - trend, np.full(len(beta), (noise / SEASON_SCALE) ** 2 + 1e-8))
-            noise = max(np.std(target - trend * (1 + season_x @ beta)), 1e-4)
+            before, noise = noise, max(np.std(target - trend * (1 + season_x @ beta)), 1e-4)
+            if abs(noise - before) <= 1e-6 * before:
+                break
         self.beta, self.noise = beta, noise
 
     def _trend_columns(self, t: np.ndarray) -> np.ndarray:
         hinges = np.maximum(t[:, None] - self.changes[None, :], 0)
         return np.column_stack([np.ones(len(t)), t, hinges])
 
-    def predict(self, days: np.ndarray, level: float = 0.95, draws: int = 300, seed: int = 42) -> dict[str, np.ndarray]:
+    def predict(self, days: np.ndarray, level: float = 0.95, draws: int = 1000, seed: int = 42) -> dict[str, np.ndarray]:
         """Forecast, interval and components. Future trend changes are drawn with the average size of the past ones."""
         t = (days - self.start) / self.span
         trend = self._trend_columns(t) @ self.theta

@@ -46,7 +46,7 @@ def _residuals(w: np.ndarray, ar: np.ndarray, ma: np.ndarray) -> np.ndarray:
     return errors[shift:]
 
 
-def fit(y: np.ndarray, order: tuple, iterations: int = 30):
+def fit(y: np.ndarray, order: tuple, iterations: int = 500):
     """Parameters and error variance minimising the conditional sum of squares (Levenberg-Marquardt), or None."""
     differencing = _differencing(order)
     w = np.convolve(y, differencing)[len(differencing) - 1 : len(y)]
@@ -70,7 +70,11 @@ def fit(y: np.ndarray, order: tuple, iterations: int = 30):
                 break
             gained = 0.0
             while damping < 1e6:
-                move = np.linalg.solve(normal + damping * (np.diag(np.diag(normal)) + 1e-8 * np.eye(size)), -jacobian.T @ current)
+                try:
+                    move = np.linalg.solve(normal + damping * (np.diag(np.diag(normal)) + 1e-8 * np.eye(size)), -jacobian.T @ current)
+                except np.linalg.LinAlgError:  # more damping makes it solvable
+                    damping *= 4
+                    continue
                 trial = errors(theta + move)
                 cost = trial @ trial
                 if np.isfinite(cost) and cost < best:

@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 from multiprocessing.pool import ThreadPool
 
 from pyspark.ml import Pipeline
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import PCA, StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tillspark.functions import exprs as X
@@ -21,6 +22,9 @@ FEATURES = (
 )
 
 
+MAX_ITERATIONS = 300  # of one K-Means fit; it stops earlier when the centres stand still
+
+
 def scaled(customers: DataFrame, features: Sequence[str] = FEATURES) -> DataFrame:
     """Centred and scaled feature vectors. The customer table is checkpointed before the scaler reads it, so the sales behind
     it are aggregated once, and the vectors are checkpointed because every fit below reads them."""
@@ -33,7 +37,7 @@ def scaled(customers: DataFrame, features: Sequence[str] = FEATURES) -> DataFram
 
 
 def _fit(points: DataFrame, k: int, starts: int, seed: int):
-    models = (KMeans(k=k, seed=seed + i, maxIter=50).fit(points) for i in range(starts))
+    models = (KMeans(k=k, seed=seed + i, maxIter=MAX_ITERATIONS).fit(points) for i in range(starts))
     return min(models, key=lambda m: m.summary.trainingCost)
 
 
@@ -46,7 +50,7 @@ def elbow(points: DataFrame, max_k: int = 10, starts: int = 10, seed: int = 42,
     jobs = [(k, seed + i) for k in range(2, min(max_k, rows) + 1) for i in range(starts)]
 
     def cost(job: tuple[int, int]) -> float:
-        return KMeans(k=job[0], seed=job[1], maxIter=50).fit(points).summary.trainingCost
+        return KMeans(k=job[0], seed=job[1], maxIter=MAX_ITERATIONS).fit(points).summary.trainingCost
 
     with ThreadPool(parallelism) as pool:  # independent fits share the cluster, as in cross-validation
         costs = pool.map(cost, jobs)
@@ -77,13 +81,15 @@ def project(points: DataFrame) -> DataFrame:
     return model.transform(points).withColumns({"pc1": pc[0], "pc2": pc[1]}).drop("_pc")
 
 
-# Labels of a cluster by its mean spend and mean purchases against 1.5 and 0.5 times the overall means.
-LABELS = {
-    (True, True): "HIGH-VALUE LOYAL CUSTOMERS",
-    (True, False): "BIG SPENDERS (HIGH VALUE, LESS FREQUENT)",
-    (False, True): "FREQUENT SHOPPERS (REGULAR VISITORS)",
-}
-LOW_LABEL, AVERAGE_LABEL = "LOW-VALUE CUSTOMERS", "AVERAGE CUSTOMERS"
+# Labels of a cluster, tested in this order; rich and frequent mean more than 1.5 times the overall mean of
+# spend and of purchases, poor less than 0.5 times that of spend.
+LABELS = (
+    ("HIGH-VALUE LOYAL CUSTOMERS", ("rich", "frequent")),
+    ("BIG SPENDERS (HIGH VALUE, LESS FREQUENT)", ("rich",)),
+    ("FREQUENT SHOPPERS (REGULAR VISITORS)", ("frequent",)),
+    ("LOW-VALUE CUSTOMERS", ("poor",)),
+    ("AVERAGE CUSTOMERS", ()),
+)
 
 
 def profile(clustered: DataFrame) -> DataFrame:
@@ -119,14 +125,11 @@ def profile(clustered: DataFrame) -> DataFrame:
         X.ratio("_all.spend", "_all.n").alias("_mean_spend"),
         X.ratio("_all.count", "_all.n").alias("_mean_count"),
     )
-    rich = F.col("avg_spend") > F.col("_mean_spend") * 1.5
-    often = F.col("avg_transactions") > F.col("_mean_count") * 1.5
-    poor = F.col("avg_spend") < F.col("_mean_spend") * 0.5
-    label = (
-        F.when(rich & often, LABELS[True, True])
-        .when(rich, LABELS[True, False])
-        .when(often, LABELS[False, True])
-        .when(poor, LOW_LABEL)
-        .otherwise(AVERAGE_LABEL)
-    )
+    traits = {
+        "rich": F.col("avg_spend") > F.col("_mean_spend") * 1.5,
+        "frequent": F.col("avg_transactions") > F.col("_mean_count") * 1.5,
+        "poor": F.col("avg_spend") < F.col("_mean_spend") * 0.5,
+    }
+    fits = [(name, [F.coalesce(traits[t], F.lit(False)) for t in wanted]) for name, wanted in LABELS]
+    label = F.coalesce(*(F.when(reduce(Column.__and__, wanted, F.lit(True)), name) for name, wanted in fits))
     return table.withColumn("segment_label", label).drop("_mean_spend", "_mean_count").orderBy("cluster")

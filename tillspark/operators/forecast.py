@@ -7,7 +7,7 @@ from itertools import product
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -15,6 +15,7 @@ from tillspark.functions import arima, unitroot
 from tillspark.functions import exprs as X
 from tillspark.functions.additive import AdditiveModel
 from tillspark.operators.stats import regression_metrics
+from tillspark.session import materialise
 
 Keys = Sequence[str]
 
@@ -26,12 +27,12 @@ def naive_forecast(
     days_ahead: int,
     keys: Keys = (),
     start_offset: int = 0,
-    capped: bool = True,
+    capped: bool = False,
     weights: tuple[float, float] = (0.7, 0.3),
 ) -> DataFrame:
     """Flat forecast from the means of the last 7 and the last 30 observed days.
 
-    The first forecast day is the last observed one plus ``start_offset``; at most 30 days are given unless ``capped`` is off.
+    The first forecast day is the last observed one plus ``start_offset``; with ``capped`` at most 30 days are given.
     """
     days = min(days_ahead, MAX_NAIVE_DAYS) if capped else days_ahead
     if days < 1:
@@ -61,6 +62,12 @@ def naive_forecast(
 # (series, candidate) rows over the cluster; numpy fits one of them at a time, and choosing and comparing is aggregation.
 
 
+def _with_short(points: DataFrame, short: DataFrame, keys: Keys, status: Column) -> DataFrame:
+    """``points`` marked ``ok``, and a row without figures for each series that has none, with its ``status``."""
+    none = short.select(*keys, status.alias("status"))
+    return points.withColumn("status", F.lit("ok")).unionByName(none, allowMissingColumns=True)
+
+
 def series_rows(months: DataFrame, keys: Keys = ()) -> DataFrame:
     """One row per series: ``y`` and ``days`` (days since 1970) in time order."""
     points = F.sort_array(F.collect_list(F.struct("t", F.unix_date("ds").cast("double").alias("day"), "y")))
@@ -171,16 +178,19 @@ def sarima_select(scores: DataFrame, months: DataFrame, keys: Keys = ()) -> Data
 
 
 def sarima_future(months: DataFrame, selected: DataFrame, keys: Keys = (), horizon: int = 12) -> DataFrame:
-    """Forecast after the last month, from the chosen order refitted on the whole series."""
+    """Forecast after the last month, from the chosen order refitted on the whole series.
+
+    A series that was too short or had no fit is one row with that ``status`` and no figures.
+    """
     chosen = selected.filter(F.col("status") == "ok").select(*keys, "order")
     rows = series_rows(months, keys)
     paired = rows.join(chosen, list(keys)) if keys else rows.withColumn("order", chosen.scalar())
     last = F.date_from_unix_date(F.element_at("days", -1).cast("int"))
     todo = paired.select(*keys, F.col("y").alias("train"), last.alias("last"), F.lit(horizon).alias("steps"), "order")
-    fitted = _forecast_rows(_spread(todo, *keys) if keys else todo).filter(F.col("forecast").isNotNull())
-    points = fitted.select(*keys, "order", "last", F.posexplode(F.arrays_zip("forecast", "spread")).alias("_h", "_v"))
+    fitted = materialise(_forecast_rows(_spread(todo, *keys) if keys else todo.filter(F.col("order").isNotNull())))
+    points = fitted.filter(F.col("forecast").isNotNull()).select(*keys, "order", "last", F.posexplode(F.arrays_zip("forecast", "spread")).alias("_h", "_v"))
     mean, spread = F.col("_v.forecast"), F.col("_v.spread")
-    return points.select(
+    ahead = points.select(
         *keys,
         "order",
         F.last_day(F.add_months("last", F.col("_h") + 1)).alias("ds"),
@@ -188,6 +198,9 @@ def sarima_future(months: DataFrame, selected: DataFrame, keys: Keys = (), horiz
         (mean - NORMAL_95 * spread).alias("lower_bound"),
         (mean + NORMAL_95 * spread).alias("upper_bound"),
     )
+    out = _with_short(ahead, selected.filter(F.col("status") != "ok"), keys, F.col("status"))
+    failed = fitted.filter(F.col("forecast").isNull())
+    return out.unionByName(failed.select(*keys, F.lit("no_fit").alias("status")), allowMissingColumns=True)
 
 
 # ---- trend and seasonality ---------------------------------------------------------------------------------------------
@@ -221,8 +234,12 @@ def additive_forecast(
     level: float = 0.95,
     change_scale: float = 0.05,
 ) -> DataFrame:
-    """Forecast of trend times yearly and monthly seasonality, ``horizon`` months (``M``) or days (``D``) ahead."""
-    rows = series_rows(months, keys).filter(F.col("n") >= 2)
+    """Forecast of trend times yearly and monthly seasonality, ``horizon`` months (``M``) or days (``D``) ahead.
+
+    A series of one month is one row with ``status`` ``too_short`` and no figures.
+    """
+    every = series_rows(months, keys)
+    rows = every.filter(F.col("n") >= 2)
     last = F.date_from_unix_date(F.element_at("days", -1).cast("int"))
     steps = F.sequence(F.lit(1), F.lit(horizon))
     if freq == "M":
@@ -237,27 +254,33 @@ def additive_forecast(
         *keys, F.inline(F.arrays_zip("target_days", *_PARTS))
     )
     wanted = _PARTS if components else _PARTS[:3]
-    return points.select(*keys, F.date_from_unix_date(F.col("target_days").cast("int")).alias("ds"), *wanted)
+    ahead = points.select(*keys, F.date_from_unix_date(F.col("target_days").cast("int")).alias("ds"), *wanted)
+    return _with_short(ahead, every.filter(F.col("n") < 2), keys, F.lit("too_short"))
 
 
 def additive_backtest(months: DataFrame, keys: Keys = (), train_share: float = 0.8, change_scale: float = 0.05) -> DataFrame:
-    """Held-out months against a model of the same configuration fitted on the months before them."""
-    held = _hold_out(series_rows(months, keys).filter(F.col("n") >= MIN_MONTHS), train_share)
+    """Held-out months against a model of the same configuration fitted on the months before them.
+
+    A series of fewer than 24 months is one row with ``status`` ``too_short`` and no figures.
+    """
+    every = series_rows(months, keys)
+    held = _hold_out(every.filter(F.col("n") >= MIN_MONTHS), train_share)
     todo = held.select(*keys, "train", "train_days", "actual", F.col("actual_days").alias("target_days"))
     points = _predict_rows(_spread(todo, *keys) if keys else todo, 0.95, change_scale)
-    return points.select(*keys, F.inline(F.arrays_zip("target_days", F.col("actual").alias("y"), *_PARTS[:3]))).select(
+    tested = points.select(*keys, F.inline(F.arrays_zip("target_days", F.col("actual").alias("y"), *_PARTS[:3]))).select(
         *keys, F.date_from_unix_date(F.col("target_days").cast("int")).alias("ds"), "y", *_PARTS[:3]
     )
+    return _with_short(tested, every.filter(F.col("n") < MIN_MONTHS), keys, F.lit("too_short"))
 
 
 def compare_models(scores: dict[str, DataFrame], keys: Keys = ()) -> DataFrame:
-    """MAE per model side by side, and the better one of each series."""
+    """MAE per model side by side, and the better one of each series; null where no model has errors."""
     parts = [df.select(*keys, F.lit(name).alias("model"), "mae") for name, df in scores.items()]
     table = parts[0]
     for part in parts[1:]:
         table = table.unionByName(part)
     columns = [F.max(F.when(F.col("model") == n, F.col("mae"))).alias(f"{n.lower()}_mae") for n in scores]
-    return table.groupBy(*keys).agg(*columns, F.min_by("model", "mae").alias("best_model"))
+    return table.groupBy(*keys).agg(*columns, F.min_by("model", F.when(F.col("mae").isNotNull(), F.struct("mae", "model"))).alias("best_model"))
 
 
 # ---- stationarity --------------------------------------------------------------------------------------------------------

@@ -122,24 +122,23 @@ def isolation_anomalies(
     seed: int = 42,
     min_rows: int = 0,
 ) -> DataFrame:
-    """Rows with ``score`` and ``anomaly`` (1 for the ``contamination`` share with the highest scores).
+    """Rows with ``score``, ``anomaly`` (1 for the ``contamination`` share with the highest scores, else 0) and ``status``.
 
-    ``min_rows`` asks for more than that many rows; otherwise nothing is flagged.
+    ``min_rows`` asks for more than that many rows; with fewer, ``status`` is ``too_few_rows`` and ``anomaly`` null.
     """
     scored = materialise(scores(df, features, ids, trees, seed))
-    if scored.count() <= ordering.FEW_VALUES:
-        cut = scored.agg(F.percentile("score", F.lit(1 - contamination)).alias("cut"), X.rows().alias("rows"))
-    else:
-        cut = ordering.quantiles(ordering.value_counts(scored, ["score"]), {"cut": 1 - contamination})
+    cut = ordering.quantiles(ordering.value_counts(scored, ["score"]), {"cut": 1 - contamination})
     bound = cut.select(F.struct("cut", "rows")).scalar()
     flagged = scored.withColumn("_bound", bound)
-    far = (F.col("score") > F.col("_bound.cut")) & (F.col("_bound.rows") > min_rows)
-    return flagged.withColumn("anomaly", F.when(far, 1).otherwise(0)).drop("_bound")
+    enough = F.col("_bound.rows") > min_rows
+    far = F.when(F.col("score") > F.col("_bound.cut"), 1).otherwise(0)
+    status = F.when(enough, "ok").otherwise("too_few_rows")
+    return flagged.withColumns({"anomaly": F.when(enough, far), "status": status}).drop("_bound")
 
 
-def extremes(flagged: DataFrame, value: str = "daily_total", n: int = 5) -> DataFrame:
-    """The ``n`` highest and ``n`` lowest flagged rows."""
+def extremes(flagged: DataFrame, value: str = "daily_total", n: int = 5, ids: Sequence[str] = ("sale_date",)) -> DataFrame:
+    """The ``n`` highest and ``n`` lowest flagged rows, ties by ``ids``."""
     found = flagged.filter(F.col("anomaly") == 1)
-    high = found.orderBy(F.desc(value)).limit(n).withColumn("side", F.lit("highest"))
-    low = found.orderBy(value).limit(n).withColumn("side", F.lit("lowest"))
+    high = found.orderBy(F.desc(value), *ids).limit(n).withColumn("side", F.lit("highest"))
+    low = found.orderBy(value, *ids).limit(n).withColumn("side", F.lit("lowest"))
     return high.unionByName(low)

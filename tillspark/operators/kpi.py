@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tillspark.functions import exprs as X
+from tillspark.session import materialise
 from tillspark.operators import ordering
 
 TS = "date_of_sale"
@@ -293,8 +294,12 @@ def year_over_year(monthly: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     ).orderBy(*keys, "year", "month")
 
 
-def year_month_table(monthly: DataFrame, years: Sequence[int]) -> DataFrame:
-    """Months down, years across; the years are given so that the pivot needs no extra pass over the data."""
+def year_month_table(monthly: DataFrame, years: Sequence[int] | None = None) -> DataFrame:
+    """Months down, years across. Without ``years`` they are those that occur, read from the monthly totals (written first, so
+    that the sales behind them are added up once)."""
+    if years is None:
+        monthly = materialise(monthly)
+        years = sorted(r["year"] for r in years_present(monthly).collect())  # one row a year
     pivoted = monthly.groupBy("month").pivot("year", list(years)).agg(X.total("monthly_total"))
     named = [F.col(str(y)).alias(f"y{y}") for y in years]
     return pivoted.select("month", *named).orderBy("month")

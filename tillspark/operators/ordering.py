@@ -14,7 +14,6 @@ from pyspark.sql import functions as F
 
 from tillspark.session import materialise
 
-FEW_VALUES = 1_000_000  # distinct values up to which one task may order those of a metric
 _LOCAL_BITS = 33  # monotonically_increasing_id keeps the in-partition row number in its lower 33 bits
 
 
@@ -56,10 +55,14 @@ def running_total(df: DataFrame, order: Sequence[Column | str], weight: str, out
 
 
 def rank(df: DataFrame, order: Column, value: str, out: str = "rank") -> DataFrame:
-    """Competition rank by ``value``: equal values share the rank of the first of them."""
-    counts = df.groupBy(value).agg(F.count(F.lit(1)).alias("_n"))
-    ranks = running_total(counts, [order], "_n", "_before").select(value, (F.col("_before") + 1).alias(out))
-    return df.join(ranks, value)
+    """Competition rank by ``value``: equal values, nulls among them, share the rank of the first of them.
+
+    The rows are written first: what they are made of is computed once, though they are counted and then joined.
+    """
+    rows = materialise(df)
+    counts = rows.groupBy(value).agg(F.count(F.lit(1)).alias("_n"))
+    ranks = running_total(counts, [order], "_n", "_before").select(F.col(value).alias("_of"), (F.col("_before") + 1).alias(out))
+    return rows.join(ranks, F.col(value).eqNullSafe(F.col("_of"))).drop("_of")
 
 
 def tile(position: Column, rows: Column, tiles: int) -> Column:
@@ -136,15 +139,7 @@ def _sizes(counts: DataFrame) -> DataFrame:
 
 
 def _placed(counts: DataFrame) -> DataFrame:
-    """Value counts with ``rows`` of their metric and ``low``, the rows with smaller values.
-
-    Few distinct values (checked) are ordered by one task per metric; more of them by a distributed running total.
-    """
-    if counts.count() <= FEW_VALUES:
-        whole = Window.partitionBy("metric")
-        earlier = whole.orderBy("value").rowsBetween(Window.unboundedPreceding, -1)
-        low = F.coalesce(F.sum("n").over(earlier), F.lit(0))
-        return counts.withColumns({"low": low, "rows": F.sum("n").over(whole)})
+    """Value counts with ``rows`` of their metric and ``low``, the rows with smaller values, by a distributed running total."""
     placed = running_total(counts, ["metric", "value"], "n", "before")
     return placed.join(F.broadcast(_sizes(counts)), "metric").withColumn("low", F.col("before") - F.col("start"))
 

@@ -72,9 +72,7 @@ def customer_metrics(
         "lapsed": F.col("days_since_last_purchase") > lapsed_days,
     }
     rules = [(label, reduce(Column.__and__, (traits[t] for t in wanted))) for label, wanted in SEGMENT_RULES]
-    return figures.withColumn("customer_segment", _first_match(rules, NO_SEGMENT)).orderBy(
-        F.desc("total_spend"), "customer_name"
-    )
+    return figures.withColumn("customer_segment", _first_match(rules, NO_SEGMENT))
 
 
 def segment_summary(metrics: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ series keys; without keys there is one series. Every operator reads the fact onc
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -52,6 +53,14 @@ def month_series(monthly: DataFrame, keys: Keys = ()) -> DataFrame:
     return spread.select(*keys, F.last_day(month_start).alias("ds"), "t", X.double(value).alias("y"))
 
 
+def date_bounds(df: DataFrame, margin: int = 0, ts: str = "date_of_sale") -> tuple[str, str]:
+    """First and last day as text, ``margin`` days further out; of an empty frame, the first day of 1970."""
+    low, high = df.agg(F.min(X.as_date(ts)), F.max(X.as_date(ts))).first()
+    low, high = low or dt.date(1970, 1, 1), high or dt.date(1970, 1, 1)
+    step = dt.timedelta(days=margin)
+    return (low - step).isoformat(), (high + step).isoformat()
+
+
 def date_dimension(spark: SparkSession, start: str, end: str) -> DataFrame:
     """Calendar table from ``start`` to ``end``, both included. ``is_holiday`` is declared but has no source."""
     bounds = spark.range(1).select(

@@ -232,12 +232,17 @@ def prj_map_values(spark, d):
 
 @query(
     "flt_between_bounds",
-    """SELECT CAST(g AS DATE) AS date_id FROM generate_series(TIMESTAMP '1994-01-01', TIMESTAMP '2002-12-31', INTERVAL 1 DAY) t(g)
+    """SELECT CAST(g AS DATE) AS date_id FROM generate_series(
+      (SELECT CAST(min(d) AS TIMESTAMP) - INTERVAL 400 DAY FROM sales), (SELECT CAST(max(d) AS TIMESTAMP) + INTERVAL 400 DAY FROM sales),
+      INTERVAL 1 DAY) t(g)
     WHERE CAST(g AS DATE) BETWEEN (SELECT min(d) FROM sales) AND (SELECT max(d) FROM sales)""",
 )
 def flt_between_bounds(spark, d):
-    days = series.date_dimension(spark, "1994-01-01", "2002-12-31").select("date_id")
-    return clean.between_bounds(days, F.col("date_id"), sales(spark, d, "date_of_sale"), X.as_date("date_of_sale"))
+    """A calendar that reaches over a year beyond the sales on both sides, cut to their bounds."""
+    dates = sales(spark, d, "date_of_sale")
+    first, last = series.date_bounds(dates, 400)
+    days = series.date_dimension(spark, first, last).select("date_id")
+    return clean.between_bounds(days, F.col("date_id"), dates, X.as_date("date_of_sale"))
 
 
 @query(
@@ -246,9 +251,12 @@ def flt_between_bounds(spark, d):
     WHERE sale_date BETWEEN (SELECT max(sale_date) FROM daily) - INTERVAL 29 DAY AND (SELECT max(sale_date) FROM daily)""",
 )
 def flt_between_interval(spark, d):
-    last = sales(spark, d, "date_of_sale").agg(F.max(X.as_date("date_of_sale"))).scalar()
+    """The last day is read first, so that the dates of the second read are literals that reach the scan."""
+    _, last = series.date_bounds(sales(spark, d, "date_of_sale"))
     lines = sales(spark, d, "date_of_sale", "total_amount")
-    recent = lines.filter(X.as_date("date_of_sale").between(F.date_sub(last, 29), last))
+    start = F.lit(last).cast("date").cast("timestamp_ntz") - F.expr("INTERVAL 29 DAYS")
+    stop = F.lit(last).cast("date").cast("timestamp_ntz") + F.expr("INTERVAL 1 DAY")
+    recent = lines.filter((F.col("date_of_sale") >= start) & (F.col("date_of_sale") < stop))
     return series.daily_totals(recent).select("sale_date", X.double("daily_total").alias("daily_sales"))
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tillspark.functions import exprs as X
 from tillspark.operators import forecast, series, stats
 from tillspark.plans.kpi_queries import monthly
 from tillspark.plans.model_queries import once
@@ -88,6 +89,7 @@ def fc_additive_daily(spark, d):
 
 
 def backtest_scores(spark, d):
+    """Errors of each series; one that is too short has no months to score and null errors."""
     return stats.regression_metrics(forecast.additive_backtest(category_series(spark, d), KEYS), "y", "forecast", KEYS)
 
 
@@ -105,4 +107,6 @@ def fc_compare(spark, d):
 @query("agg_month_by_category", """SELECT category, last_day(d) AS ds, CAST(sum(total_amount) AS DOUBLE) AS y FROM sales GROUP BY 1, 2""")
 def agg_month_by_category(spark, d):
     """The months that do have sales, of the series behind the forecasts."""
-    return category_series(spark, d).filter(F.col("y") > 0).select("category", "ds", "y")
+    lines = sales(spark, d, "category", "date_of_sale", "total_amount")
+    totals = series.monthly_totals(lines, KEYS)
+    return totals.select("category", F.last_day(F.make_date("year", "month", F.lit(1))).alias("ds"), X.double("monthly_total").alias("y"))

@@ -6,15 +6,15 @@ from pyspark.ml import PipelineModel
 from pyspark.sql import functions as F
 
 from tillspark.functions import exprs as X
-from tillspark.operators import attribution, cluster, isolation, kpi, model, segment, stats
+from tillspark.operators import anomaly, attribution, cluster, isolation, kpi, model, segment, stats
 from tillspark.plans.kpi_queries import daily
 from tillspark.plans.registry import query, rounded
 from tillspark.schemas import NUMERIC_COLUMNS
 from tillspark.session import scratch_path
 from tillspark.sources.star import sales
 
-# Rounds and trees of the registered models; the operators default to 200 of each.
-ROUNDS, TREES = 40, 40
+# Rounds and trees of the registered models.
+ROUNDS, TREES = 200, 200
 
 _FITTED: dict[tuple, object] = {}
 
@@ -42,13 +42,13 @@ def ml_prep(spark, d):
     ready = fitted(spark, d).test.select(vector_to_array("features").alias("x"))
     return ready.agg(
         X.rows().alias("rows"), F.max(F.size("x")).alias("width"), F.round(F.avg(F.col("x")[0]), 3).alias("mean_quantity"),
-        F.round(F.avg(F.aggregate(F.slice("x", len(model.NUMERIC) + 1, 1_000_000), F.lit(0.0), lambda a, v: a + v)), 3).alias("mean_levels"),
+        F.round(F.avg(F.aggregate(F.slice("x", F.lit(len(model.NUMERIC) + 1), F.size("x")), F.lit(0.0), lambda a, v: a + v)), 3).alias("mean_levels"),
     )
 
 
 @query("ml_xgb")
 def ml_xgb(spark, d):
-    return fitted(spark, d).metrics("XGBoost")
+    return fitted(spark, d).metrics("Stochastic Gradient Boosting")
 
 
 @query("ml_rf")
@@ -70,7 +70,7 @@ def ml_compare(spark, d):
 
 @query("argmax")
 def argmax(spark, d):
-    return fitted(spark, d).compare().agg(F.max_by("model", "r2").alias("best_model"), F.max("r2").alias("r2"))
+    return fitted(spark, d).compare().agg(F.max_by("model", F.struct("r2", "model")).alias("best_model"), F.max("r2").alias("r2"))
 
 
 @query("ml_importance")
@@ -80,17 +80,16 @@ def ml_importance(spark, d):
 
 @query("ml_attribution")
 def ml_attribution(spark, d):
-    """Mean absolute contribution of every feature over the whole test part, for the boosted trees."""
+    """Mean absolute contribution of every feature over the whole test part, for the best model."""
     f = fitted(spark, d)
-    return attribution.mean_contributions(f.test, f.model("Gradient Boosting"), f.feature_names())
+    return attribution.mean_contributions(f.test, f.model(f.best()), f.feature_names())
 
 
 @query("ml_attribution_dependence")
 def ml_attribution_dependence(spark, d):
     f = fitted(spark, d)
-    gbt = f.model("Gradient Boosting")
-    top = [r.feature for r in model.importance(f, "Gradient Boosting", 3).collect()]
-    points = attribution.dependence(attribution.attributions(f.test, gbt), f.feature_names(), top)
+    top = [r.feature for r in model.importance(f, f.best(), 3).collect()]
+    points = attribution.dependence(attribution.attributions(f.test, f.model(f.best())), f.feature_names(), top)
     return points.groupBy("feature", F.round("value", 1).alias("value")).agg(
         X.rows().alias("rows"), F.avg("contribution").alias("mean_contribution")
     )
@@ -183,6 +182,20 @@ def flt_mask(spark, d):
     return isolation.extremes(isolation.isolation_anomalies(daily(spark, d), min_rows=30)).select("side", "sale_date", "daily_total")
 
 
+@query(
+    "flt_mask_zscore",
+    """WITH s AS (SELECT avg(CAST(daily_total AS DOUBLE)) AS m, stddev_pop(CAST(daily_total AS DOUBLE)) AS sd FROM daily),
+    f AS (SELECT sale_date, daily_total FROM daily, s WHERE abs((CAST(daily_total AS DOUBLE) - m) / sd) > 1.5),
+    h AS (SELECT *, row_number() OVER (ORDER BY daily_total DESC, sale_date) AS top, row_number() OVER (ORDER BY daily_total, sale_date) AS low FROM f)
+    SELECT 'highest' AS side, sale_date, CAST(daily_total AS DOUBLE) AS daily_total FROM h WHERE top <= 5
+    UNION ALL SELECT 'lowest', sale_date, CAST(daily_total AS DOUBLE) FROM h WHERE low <= 5""",
+)
+def flt_mask_zscore(spark, d):
+    """The highest and lowest days of those that a z-score flags."""
+    flagged = anomaly.zscores(daily(spark, d)).withColumn("anomaly", F.when(F.abs("z_score") > 1.5, 1).otherwise(0))
+    return isolation.extremes(flagged).select("side", "sale_date", X.double("daily_total").alias("daily_total"))
+
+
 @query(
     "metric_regression",
     """WITH p AS (SELECT sale_date, CAST(daily_total AS DOUBLE) AS y,

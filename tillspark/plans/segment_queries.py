@@ -35,13 +35,14 @@ def metrics_sql(count: int = 10, spend: int = 1000) -> str:
 
 @query("agg_customer_metrics", f"WITH {metrics_sql()} SELECT * FROM labelled")
 def agg_customer_metrics(spark, d):
-    return segment.customer_metrics(sales(spark, d, *LINES), AS_OF)
+    return segment.customer_metrics(sales(spark, d, *LINES), AS_OF).orderBy(F.desc("total_spend"), "customer_name")
 
 
 @query("agg_customer_metrics_scaled", f"WITH {metrics_sql(40, 1050000)} SELECT * FROM labelled")
 def agg_customer_metrics_scaled(spark, d):
     """Limits near the medians of the test tables, so that every segment occurs."""
-    return segment.customer_metrics(sales(spark, d, *LINES), AS_OF, min_count=40, min_spend=1_050_000)
+    found = segment.customer_metrics(sales(spark, d, *LINES), AS_OF, min_count=40, min_spend=1_050_000)
+    return found.orderBy(F.desc("total_spend"), "customer_name")
 
 
 SUMMARY_SQL = """SELECT customer_segment, count(*) AS segment_size, round(avg(total_spend), 7) AS avg_total_spend,

@@ -9,6 +9,7 @@ from tillspark.operators import anomaly, forecast, kpi, ordering, series, stats
 from tillspark.plans.kpi_queries import daily, monthly
 from tillspark.plans.registry import query, rounded
 from tillspark.schemas import NUMERIC_COLUMNS
+from tillspark.session import materialise
 from tillspark.sources.star import sales
 
 D = "CAST(daily_total AS DOUBLE)"
@@ -97,8 +98,9 @@ def ts_zero_fill(spark, d):
 @query("join_left_spine", SPINE_SQL)
 def join_left_spine(spark, d):
     """The calendar form: every day of a date dimension inside the bounds, joined to its total."""
-    days = series.date_dimension(spark, "1994-01-01", "2002-12-31").select("date_id")
-    totals = daily(spark, d)
+    totals = materialise(daily(spark, d))
+    first, last = series.date_bounds(totals, 31, "sale_date")
+    days = series.date_dimension(spark, first, last).select("date_id")
     first_last = totals.agg(F.struct(F.min("sale_date").alias("low"), F.max("sale_date").alias("high")))
     inside = days.withColumn("b", first_last.scalar()).filter(F.col("date_id").between(F.col("b.low"), F.col("b.high")))
     joined = inside.join(totals, inside.date_id == totals.sale_date, "left")
@@ -271,8 +273,8 @@ def set_union_all(spark, d):
     "SELECT product_name AS name FROM sales UNION SELECT category FROM sales UNION SELECT location FROM sales",
 )
 def set_union_distinct(spark, d):
-    names = [sales(spark, d, c).select(F.col(c).alias("name")).distinct() for c in ("product_name", "category", "location")]
-    return names[0].unionByName(names[1]).unionByName(names[2]).distinct()
+    columns = ("product_name", "category", "location")
+    return sales(spark, d, *columns).select(F.explode(F.array(*columns)).alias("name")).distinct()
 
 
 # ---- scalar functions ------------------------------------------------------------------------------------------------

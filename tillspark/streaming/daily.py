@@ -15,12 +15,14 @@ Keys = Sequence[str]
 
 
 def read_stream(spark: SparkSession, path: str, schema: StructType, files_per_batch: int | None = None) -> DataFrame:
-    """Parquet files as they arrive in a folder, or one file. Spark takes a single file only through a pattern, so the last
-    character is written as one; a folder is found the same way."""
-    path = f"{path[:-1]}[{path[-1]}]"
+    """Parquet files as they arrive in a folder, or one file, which is read as the only one of its folder's that has its name."""
     reader = spark.readStream.schema(schema)
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    files = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if files.exists(place) and files.getFileStatus(place).isFile():
+        return reader.option("pathGlobFilter", place.getName()).parquet(place.getParent().toString())
     return reader.parquet(path)
 
 
@@ -47,10 +49,11 @@ def baseline(daily: DataFrame, keys: Keys = ()) -> DataFrame:
 
 
 def flag_days(figures: DataFrame, past: DataFrame, keys: Keys, threshold: float = 2.5) -> DataFrame:
-    """Z-score of each closed day against its key's past (stream-static join), and a flag beyond ``threshold``."""
+    """Z-score of each closed day against its key's past (stream-static join), and a flag beyond ``threshold``. A day whose key
+    has no past, or whose past never varies, is ``Unknown``."""
     z = F.try_divide(F.col("total_sales") - F.col("baseline_mean"), F.col("baseline_std"))
     flagged = figures.join(past, list(keys), "left").withColumn("z_score", z)
-    status = F.when(F.abs("z_score") > threshold, "Anomaly").otherwise("Normal")
+    status = F.when(F.abs("z_score") > threshold, "Anomaly").when(F.col("z_score").isNotNull(), "Normal").otherwise("Unknown")
     return flagged.withColumn("anomaly_status", status).drop("baseline_mean", "baseline_std")
 
 
