@@ -1,9 +1,9 @@
 """Exact n-gram Jaccard join by skipping through set relations, and the groups that its links form.
 
 Answer level: documents with equal sets are one class. Classes that share their smallest hashed shingle meet in a bucket and
-are compared with its first class, the leader; those that link to it form its cluster, with the number of shingles that each
-has beyond the leader. What a cluster links with is derived from the leader's overlaps by these differences: only where they
-leave the answer open are members compared themselves.
+are compared with its first classes, the leaders; those that link to one form its cluster, with a bound on the shingles that
+each has beyond the leader. Leaders meet again under further hashes. What a cluster links with is derived from the leader's
+overlaps by these differences: only where they leave the answer open are members compared themselves.
 
 Index level: every class lists its prefix (the shingles that any linked set must meet, rarest first). A list of the index
 holds one entry a cluster, in blocks ordered by set size; a pair of blocks is skipped when their sizes, or the shingles left
@@ -30,6 +30,9 @@ SHARE = (75, 100)  # least intersection by union
 BITS = 20  # of the table of shingle frequencies
 FILTER_BITS = 23  # of the tables that mark which sets are looked at again
 BLOCK = 32  # entries in a block of an index list
+ROUNDS = 4  # hashes under which leaders meet
+LEADERS = 8  # that a bucket's classes are compared with
+HALL = 128  # members of a component that are compared together where the leaders leave a link open
 HOT_BUCKET = 4096  # classes from which a bucket is split by a second hash
 SPLIT = 64
 PART_ENTRIES = 1_000_000  # index entries that one task works on
@@ -65,13 +68,25 @@ def shingle_sets(texts: pa.Array, size: int) -> list[np.ndarray]:
     return out
 
 
+def _pack(s: np.ndarray) -> bytes:
+    """The first 48 bits of each hash: by chance alone two sets of a thousand shingles share one in 10**8 such pairs of sets."""
+    return np.ascontiguousarray((s >> np.uint64(16)).view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()
+
+
+def _unpack(data: bytes) -> np.ndarray:
+    out = np.zeros((len(data) // 6, 8), np.uint8)
+    out[:, :6] = np.frombuffer(data, np.uint8).reshape(-1, 6)
+    return out.view(np.uint64).ravel()
+
+
 def _name(s: np.ndarray) -> int:
     """A 64-bit name of a set."""
     return int(T.mix(T.mix(s).sum(keepdims=True) + np.uint64(len(s))).view(np.int64)[0])
 
 
-def _key(s: np.ndarray) -> int:
-    return int(T.mix(s ^ np.uint64(0x5DEECE66D)).min().astype(np.uint64).view(np.int64))
+def _key(s: np.ndarray, turn: int) -> int:
+    """The smallest hash of the set's shingles, another one each turn."""
+    return int(T.mix(T.mix(s ^ np.uint64(0x5DEECE66D * (turn + 1))).min(keepdims=True)).view(np.int64)[0])
 
 
 def _sets(batches: Iterator[pa.RecordBatch], text: str, size: int) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
@@ -85,11 +100,11 @@ def _rows(schema: pa.Schema, *columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
 
 
-_SIGNED = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("n", pa.int64()), ("fp", pa.int64()), ("key", pa.int64()), ("cell", pa.int32()), ("counts", pa.binary())])
+_SIGNED = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("n", pa.int64()), ("fp", pa.int64()), ("keys", pa.list_(pa.int64())), ("cell", pa.int32()), ("counts", pa.binary())])
 
 
 def _signed(docs: DataFrame, rule: Rule) -> DataFrame:
-    """doc_id, text_hash, n, fp and key of every document, and behind each task's documents its part of the frequency table."""
+    """doc_id, text_hash, n, fp and keys of every document, and behind each task's documents its part of the frequency table."""
 
     def run(batches):
         table = np.zeros(1 << BITS, np.int64)
@@ -99,34 +114,41 @@ def _signed(docs: DataFrame, rule: Rule) -> DataFrame:
             none = [None] * len(sets)
             yield _rows(
                 _SIGNED, part.column("doc_id"), part.column("text_hash"), [len(s) for s in sets], [_name(s) if f else None for s, f in zip(sets, full)],
-                [_key(s) if f else None for s, f in zip(sets, full)], none, none,
+                [[_key(s, k) for k in range(ROUNDS)] if f else None for s, f in zip(sets, full)], none, none,
             )
         found = list(tables.cells(table))
         none = [None] * len(found)
         yield _rows(_SIGNED, none, none, none, none, none, [k for k, _ in found], [x for _, x in found])
 
     hashed = docs.withColumn("text_hash", F.xxhash64("text"))
-    return hashed.mapInArrow(run, "doc_id bigint, text_hash bigint, n bigint, fp bigint, key bigint, cell int, counts binary")
+    return hashed.mapInArrow(run, "doc_id bigint, text_hash bigint, n bigint, fp bigint, keys array<bigint>, cell int, counts binary")
 
 
 _SET = pa.schema([("fp", pa.int64()), ("key", pa.int64()), ("items", pa.binary())])
 
 
-def _chosen(docs: DataFrame, rule: Rule, bitmap: np.ndarray, by_key: bool) -> DataFrame:
-    """fp, key and shingles of the classes whose key (or fp) the bitmap marks, each once a task."""
-    shared = docs.sparkSession.sparkContext.broadcast(bitmap)
+def _chosen(docs: DataFrame, rule: Rule, bitmap: np.ndarray, turn: int | None = None, without: np.ndarray | None = None) -> DataFrame:
+    """fp, key and shingles of the classes whose fp (or key of a turn) the bitmap marks, each once a task.
+
+    The flags are of hashes, so some more classes come along, and ``without`` keeps some more away than it names.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast((bitmap, without))
 
     def run(batches):
         seen: set[int] = set()
         for _, sets in _sets(batches, "text", rule.size):
             sets = [s for s in sets if len(s)]
-            names, keys = [_name(s) for s in sets], [_key(s) for s in sets]
-            codes = np.array(keys if by_key else names, np.int64).view(np.uint64)
+            names = [_name(s) for s in sets]
+            keys = names if turn is None else [_key(s, turn) for s in sets]
+            bitmap, without = shared.value
+            wanted = tables.hit(bitmap, np.array(keys, np.int64).view(np.uint64))
+            if without is not None:
+                wanted &= ~tables.hit(without, np.array(names, np.int64).view(np.uint64))
             rows = []
-            for s, name, key, ok in zip(sets, names, keys, tables.hit(shared.value, codes)):
+            for s, name, key, ok in zip(sets, names, keys, wanted):
                 if ok and name not in seen:
                     seen.add(name)
-                    rows.append((name, key, s.tobytes()))
+                    rows.append((name, key, _pack(s)))
             if rows:
                 yield _rows(_SET, *zip(*rows))
 
@@ -139,29 +161,35 @@ def _both(a: np.ndarray, b: np.ndarray) -> int:
 
 
 def _led(batches: Iterator[pa.RecordBatch], rule: Rule) -> Iterator[pa.RecordBatch]:
-    """Compare each set with the first of its bucket; rows come sorted by bucket, then fp."""
+    """Compare each set with the leaders of its bucket; rows come sorted by bucket, then fp."""
     schema = pa.schema([("fp", pa.int64()), ("leader", pa.int64()), ("extra", pa.int64())])
-    bucket = leader = first = last = None
+    bucket = last = None
+    leaders: list[tuple[int, np.ndarray]] = []
     for batch in batches:
         out = []
         for key, salt, fp, items in zip(*(batch.column(c).to_pylist() for c in ("key", "salt", "fp", "items"))):
-            s = np.frombuffer(items, np.uint64)
             if (key, salt) != bucket:
-                bucket, leader, first = (key, salt), fp, s
-            elif fp != last and fp != leader:
+                bucket, leaders = (key, salt), []
+            elif fp == last:
+                continue
+            last, s = fp, _unpack(items)
+            for leader, first in leaders:
                 both = _both(first, s)
                 if rule.links(both, len(first), len(s)):
                     out.append((fp, leader, len(s) - both))
-            last = fp
+                    break
+            else:
+                if len(leaders) < LEADERS:
+                    leaders.append((fp, s))
         if out:
             yield _rows(schema, *zip(*out))
 
 
-def _clusters(docs: DataFrame, classes: DataFrame, rule: Rule) -> DataFrame:
-    """fp, leader, extra: classes that link to the leader of their bucket and have ``extra`` shingles more than it shares."""
-    sizes = classes.groupBy("key").count()
-    sizes = materialise(sizes.where("count > 1"))
-    shared = tables.marked(sizes.select("key"), FILTER_BITS)
+def _round(docs: DataFrame, classes: DataFrame, members: DataFrame | None, rule: Rule, turn: int) -> DataFrame:
+    """fp, leader, extra: classes not yet members that link to a leader of their bucket, with their shingles beyond it."""
+    open_classes = classes if members is None else classes.join(members, "fp", "left_anti")
+    sizes = materialise(open_classes.groupBy(F.col("keys")[turn].alias("key")).count().where("count > 1"))
+    without = None if members is None else tables.marked(members.select("fp"), FILTER_BITS)
     hot = docs.sparkSession.sparkContext.broadcast(tables.marked(sizes.where(F.col("count") >= HOT_BUCKET).select("key"), FILTER_BITS))
 
     def salted(batches):
@@ -172,9 +200,25 @@ def _clusters(docs: DataFrame, classes: DataFrame, rule: Rule) -> DataFrame:
             salt = np.where(tables.hit(hot.value, keys), fps % np.uint64(SPLIT), 0).astype(np.int32)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(salt)], schema=schema)
 
-    sets = _chosen(docs, rule, shared, by_key=True).mapInArrow(salted, "fp bigint, key bigint, items binary, salt int")
-    dealt = sets.repartition("key", "salt").sortWithinPartitions("key", "salt", "fp")
-    return dealt.mapInArrow(lambda b: _led(b, rule), "fp bigint, leader bigint, extra bigint")
+    sets = _chosen(docs, rule, tables.marked(sizes.select("key"), FILTER_BITS), turn, without)
+    dealt = sets.mapInArrow(salted, "fp bigint, key bigint, items binary, salt int").repartition("key", "salt")
+    return dealt.sortWithinPartitions("key", "salt", "fp").mapInArrow(lambda b: _led(b, rule), "fp bigint, leader bigint, extra bigint")
+
+
+def _clusters(docs: DataFrame, classes: DataFrame, rule: Rule) -> DataFrame:
+    """fp, leader, extra of the members of clusters after all turns; the differences add up where leaders become members."""
+    members = None
+    for turn in range(ROUNDS):
+        new = materialise(_round(docs, classes, members, rule, turn))
+        if members is None:
+            members = new
+            continue
+        moved = new.select(F.col("fp").alias("leader"), F.col("leader").alias("next"), F.col("extra").alias("more"))
+        kept = members.join(moved, "leader", "left").select(
+            "fp", F.coalesce("next", "leader").alias("leader"), (F.col("extra") + F.coalesce("more", F.lit(0))).alias("extra")
+        )
+        members = materialise(kept.unionByName(new))
+    return members
 
 
 _PACKET = pa.schema([(c, pa.binary()) for c in ("tokens", "owner", "position", "cluster", "n", "extra")])
@@ -193,7 +237,7 @@ def _prefixes(docs: DataFrame, rule: Rule, table: np.ndarray) -> DataFrame:
                 if len(s) and (name := _name(s)) not in seen:
                     seen.add(name)
                     order = np.argsort(shared.value[tables.slot(s, BITS)], kind="stable")
-                    rows.append((name, len(s), s[order[: rule.prefix(len(s))]].tobytes()))
+                    rows.append((name, len(s), _pack(s[order[: rule.prefix(len(s))]])))
             if rows:
                 yield _rows(schema, *zip(*rows))
 
@@ -206,7 +250,7 @@ def _packets(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.Recor
     for batch in batches:
         for lo in range(0, len(batch), 4096):  # so that owner fits 16 bits
             rows = batch.slice(lo, 4096)
-            prefixes = [np.frombuffer(p, np.uint64) for p in rows.column("prefix").to_pylist()]
+            prefixes = [_unpack(p) for p in rows.column("prefix").to_pylist()]
             if not prefixes:
                 continue
             tokens = np.concatenate(prefixes)
@@ -316,7 +360,7 @@ def _candidates(batches: Iterator[pa.RecordBatch], rule: Rule) -> Iterator[pa.Re
 def _overlaps(docs: DataFrame, pairs: DataFrame, rule: Rule) -> DataFrame:
     """a, b, both, n_a, n_b: the exact size of the intersection of each pair of classes."""
     named = pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct()
-    sets = _chosen(docs, rule, tables.marked(named, FILTER_BITS), by_key=False).select("fp", "items")
+    sets = _chosen(docs, rule, tables.marked(named, FILTER_BITS)).select("fp", "items")
     sets = materialise(sets.join(named, "fp", "left_semi").dropDuplicates(["fp"]))
     one = sets.select(F.col("fp").alias("a"), F.col("items").alias("left"))
     two = sets.select(F.col("fp").alias("b"), F.col("items").alias("right"))
@@ -326,7 +370,7 @@ def _overlaps(docs: DataFrame, pairs: DataFrame, rule: Rule) -> DataFrame:
         for batch in batches:
             rows = []
             for a, b, x, y in zip(*(batch.column(c).to_pylist() for c in ("a", "b", "left", "right"))):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+                x, y = _unpack(x), _unpack(y)
                 rows.append((a, b, _both(x, y), len(x), len(y)))
             if rows:
                 yield _rows(schema, *zip(*rows))
@@ -345,10 +389,10 @@ def linked(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
     """
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     signed = materialise(_signed(docs, rule))
-    rows = signed.where("cell is null").select("doc_id", "text_hash", "n", "fp", "key")
+    rows = signed.where("cell is null").select("doc_id", "text_hash", "n", "fp", "keys")
     table = tables.gathered(signed.where("cell is not null"), 1 << BITS)
-    classes = materialise(rows.where("fp is not null").groupBy("fp").agg(F.min("doc_id").alias("least"), F.first("n").alias("n"), F.first("key").alias("key")))
-    members = materialise(_clusters(docs, classes, rule))
+    classes = materialise(rows.where("fp is not null").groupBy("fp").agg(F.min("doc_id").alias("least"), F.first("n").alias("n"), F.first("keys").alias("keys")))
+    members = _clusters(docs, classes, rule)
 
     entries = (classes.agg(F.sum("n")).first()[0] or 0) * (rule.den - rule.num) // rule.den
     parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), int(entries // PART_ENTRIES) + 1)
@@ -360,18 +404,12 @@ def linked(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
     met = materialise(_overlaps(docs, materialise(pairs.distinct()), rule))
 
     sure = rule.links(F.col("both"), F.col("n_a"), F.col("n_b"))
-    groups = components(met.where(sure))
-    groups = groups.withColumnsRenamed({"node": "cluster"})
+    links = met.where(sure).select("a", "b")
+    groups = components(links)
     more = _open_links(docs, classes, members, met.where(~sure), groups, rule)
     if more is not None:
-        again = components(
-            more.join(groups.toDF("a", "ga"), "a", "left").join(groups.toDF("b", "gb"), "b", "left")
-            .select(F.coalesce("ga", "a").alias("a"), F.coalesce("gb", "b").alias("b"))
-        ).toDF("component", "merged")
-        alone = again.select(F.col("component").alias("cluster"), "merged")
-        groups = groups.join(again, "component", "left").select("cluster", F.coalesce("merged", "component").alias("component"))
-        # a component that had no link of its own before
-        groups = groups.unionByName(alone.join(groups.select("cluster"), "cluster", "left_anti").withColumnRenamed("merged", "component"))
+        groups = components(links.unionByName(more))
+    groups = groups.withColumnRenamed("node", "cluster")
     whole = classes.join(members.select("fp", "leader"), "fp", "left").withColumn("cluster", F.coalesce("leader", "fp"))
     whole = whole.join(groups, "cluster", "left").select("fp", "least", F.coalesce("component", "cluster").alias("group"))
     ids = whole.groupBy("group").agg(F.min("least").alias("component_id"))
@@ -381,39 +419,71 @@ def linked(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), "text_hash", "group")
 
 
+def _halls(batches: Iterator[pa.RecordBatch], rule: Rule) -> Iterator[pa.RecordBatch]:
+    """Compare the guests of each hall with its hosts; rows come sorted by hall, hosts first. One link a guest is enough."""
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+    now, hosts, table = None, [], None
+    for batch in batches:
+        out = []
+        columns = (batch.column(c).to_pylist() for c in ("group", "part", "kind", "cluster", "items"))
+        for group, part, kind, cluster, items in zip(*columns):
+            if (group, part) != now:
+                now, hosts, table = (group, part), [], None
+            s = _unpack(items)
+            if kind == 0:
+                hosts.append((cluster, s))
+            elif hosts:
+                if table is None:
+                    sizes = np.array([len(x) for _, x in hosts])
+                    table = (np.concatenate([x for _, x in hosts]), np.cumsum(sizes) - sizes, sizes)
+                every, first, sizes = table
+                inside = s[np.minimum(np.searchsorted(s, every), len(s) - 1)] == every
+                ok = np.flatnonzero(rule.links(np.add.reduceat(inside.astype(np.int64), first), sizes, len(s)))
+                if len(ok):
+                    out.append((cluster, hosts[ok[0]][0]))
+        if out:
+            yield _rows(schema, *zip(*out))
+
+
 def _open_links(docs, classes, members, apart, groups, rule) -> DataFrame | None:
-    """Links (a, b) of clusters whose leaders don't link but some of whose members do.
+    """Links (a, b) of clusters whose leaders don't link but some of whose members do; None where no question is open.
 
-    Members of a and b share at most both + extra_a + extra_b shingles. Pairs for which that is enough are compared, unless
-    their clusters are in one component already.
+    Members of a and b share at most both + extra_a + extra_b shingles. Clusters for which that is enough meet, unless they are
+    in one component already: the larger component's classes are hosts, in halls of about HALL, and the classes of the other
+    cluster are guests in the halls of the clusters that they may link with. So sets move once a hall, not once a pair.
     """
-    sized = members.join(classes.select("fp", "n"), "fp").select("leader", "fp", "n", "extra")
-    bound = sized.groupBy("leader").agg(F.max("extra").alias("extra"), F.min("n").alias("n"))
     side = lambda df, s: df.select(*(F.col(c).alias(f"{c}_{s}") for c in df.columns))
-    lead, ends = bound.withColumnsRenamed({"leader": "c"}), groups.withColumnsRenamed({"cluster": "c", "component": "g"})
+    own = classes.join(members, "fp", "left").select(
+        "fp", "n", F.coalesce("leader", "fp").alias("cluster"), F.coalesce("extra", F.lit(0)).alias("extra")
+    )
+    own = own.join(groups.withColumnRenamed("node", "cluster"), "cluster", "left").withColumn("group", F.coalesce("component", "cluster"))
+    own = materialise(own.drop("component"))
+    lead = own.groupBy("cluster").agg(F.max("extra").alias("e"), F.min("n").alias("least"), F.first("group").alias("group"))
+    lead = lead.join(own.groupBy("group").agg(F.count("*").alias("size")), "group")
     x = apart
     for s in ("a", "b"):
-        for df, key in ((side(lead.withColumnsRenamed({"extra": "e", "n": "least"}), s), f"c_{s}"), (side(ends, s), f"c_{s}")):
-            x = x.join(df, x[s] == df[key], "left").drop(key)
-    x = x.where(F.coalesce("g_a", "a") != F.coalesce("g_b", "b"))
-    e_a, e_b = F.coalesce("e_a", F.lit(0)), F.coalesce("e_b", F.lit(0))
-    most = F.col("both") + e_a + e_b
-    x = x.where((e_a + e_b > 0) & rule.links(most, F.least("n_a", "least_a"), F.least("n_b", "least_b")))
-    x = materialise(x.select("a", "b", "both", "n_a", "n_b"))
+        x = x.join(side(lead, s), x[s] == F.col(f"cluster_{s}"))
+    most = F.col("both") + F.col("e_a") + F.col("e_b")
+    x = x.where((F.col("group_a") != F.col("group_b")) & (F.col("e_a") + F.col("e_b") > 0))
+    x = x.where(rule.links(most, F.least("n_a", "least_a"), F.least("n_b", "least_b")))
+    larger = F.struct("size_a", "group_a") > F.struct("size_b", "group_b")
+    pick = lambda c: (F.when(larger, F.col(f"{c}_a")).otherwise(F.col(f"{c}_b")), F.when(larger, F.col(f"{c}_b")).otherwise(F.col(f"{c}_a")))
+    (host, guest), (group, _), (size, _) = pick("cluster"), pick("group"), pick("size")
+    part = F.pmod(F.xxhash64(host), F.ceil(size / HALL)).cast("int")
+    x = materialise(x.select(group.alias("group"), part.alias("part"), F.ceil(size / HALL).alias("parts"), guest.alias("guest")).distinct())
     if x.isEmpty():
         return None
-    for s in ("a", "b"):
-        own = x.select(F.col(s).alias("leader"), F.col(s).alias("fp"), F.col(f"n_{s}").alias("n"), F.lit(0).cast("bigint").alias("extra")).distinct()
-        every = side(own.unionByName(sized.select(*own.columns)), f"of_{s}")
-        x = x.join(every, x[s] == every[f"leader_of_{s}"])
-    x = x.where(rule.links(F.col("both") + F.col("extra_of_a") + F.col("extra_of_b"), F.col("n_of_a"), F.col("n_of_b")))
-    x = x.where((F.col("extra_of_a") > 0) | (F.col("extra_of_b") > 0))
-    tests = materialise(x.select("a", "b", F.col("fp_of_a").alias("x"), F.col("fp_of_b").alias("y")))
-    pairs = tests.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    found = _overlaps(docs, pairs, rule).where(rule.links(F.col("both"), F.col("n_a"), F.col("n_b"))).select(F.col("a").alias("p"), F.col("b").alias("q"))
-    return materialise(
-        tests.join(found, (F.least("x", "y") == F.col("p")) & (F.greatest("x", "y") == F.col("q"))).select("a", "b").distinct()
-    )
+    halls = x.select("group", "part", "parts").distinct()
+    hosts = own.join(halls.withColumnRenamed("group", "its"), (F.col("group") == F.col("its")) & (F.pmod(F.xxhash64("cluster"), "parts") == F.col("part")))
+    hosts = hosts.select("group", "part", F.lit(0).alias("kind"), "cluster", "fp")
+    guests = own.select("cluster", "fp").join(x.select("group", "part", "guest"), F.col("cluster") == F.col("guest"))
+    places = materialise(hosts.unionByName(guests.select("group", "part", F.lit(1).alias("kind"), "cluster", "fp")))
+    named = places.select("fp").distinct()
+    sets = _chosen(docs, rule, tables.marked(named, FILTER_BITS)).select("fp", "items")
+    sets = sets.join(named, "fp", "left_semi").dropDuplicates(["fp"])
+    seated = places.join(sets, "fp").select("group", "part", "kind", "cluster", "items")
+    seated = seated.repartition("group", "part").sortWithinPartitions("group", "part", "kind")
+    return materialise(seated.mapInArrow(lambda b: _halls(b, rule), "a bigint, b bigint").distinct())
 
 
 def one_of_each(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
