@@ -33,7 +33,7 @@ BLOCK = 32  # entries in a block of an index list
 ROUNDS = 4  # hashes under which leaders meet
 LEADERS = 8  # that a bucket's classes are compared with
 HALL = 128  # members of a component that are compared together where the leaders leave a link open
-HOT_BUCKET = 4096  # classes from which a bucket is split by a second hash
+HOT_BUCKET = 1024  # classes from which a bucket is split by a second hash
 SPLIT = 64
 PART_ENTRIES = 1_000_000  # index entries that one task works on
 PAIRS = 2_000_000  # pairs tested at a time
@@ -221,7 +221,7 @@ def _clusters(docs: DataFrame, classes: DataFrame, rule: Rule) -> DataFrame:
     return members
 
 
-_PACKET = pa.schema([(c, pa.binary()) for c in ("tokens", "owner", "position", "cluster", "n", "extra")])
+_PACKET = pa.schema([(c, pa.binary()) for c in ("tokens", "owner", "position", "cluster", "n")])
 
 
 def _prefixes(docs: DataFrame, rule: Rule, table: np.ndarray) -> DataFrame:
@@ -261,14 +261,14 @@ def _packets(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.Recor
             short = ((tokens // np.uint64(parts)) & np.uint64(0xFFFFFFFF)).astype(np.uint32)
             order = np.argsort(part, kind="stable")
             cuts = np.searchsorted(part[order], np.arange(parts + 1))
-            cluster, n, extra = (rows.column(c).to_numpy(zero_copy_only=False) for c in ("cluster", "n", "extra"))
+            cluster, n = (rows.column(c).to_numpy(zero_copy_only=False) for c in ("cluster", "n"))
             out = []
             for p in np.flatnonzero(np.diff(cuts)).tolist():
                 at = order[cuts[p] : cuts[p + 1]]
                 mine, local = np.unique(owner[at], return_inverse=True)
                 out.append((
                     p, short[at].tobytes(), local.astype(np.uint16).tobytes(), np.minimum(position[at], 0xFFFF).astype(np.uint16).tobytes(),
-                    cluster[mine].astype(np.int64).tobytes(), n[mine].astype(np.int32).tobytes(), extra[mine].astype(np.int32).tobytes(),
+                    cluster[mine].astype(np.int64).tobytes(), n[mine].astype(np.int32).tobytes(),
                 ))
             yield _rows(schema, *zip(*out))
 
@@ -283,19 +283,19 @@ def _cross(a, b, sa, sb):
 
 def _candidates(batches: Iterator[pa.RecordBatch], rule: Rule) -> Iterator[pa.RecordBatch]:
     """Pairs of clusters that a list of the index can't rule out."""
-    parts = [[] for _ in range(5)]
+    parts = [[] for _ in range(4)]
     for batch in batches:
         columns = (batch.column(c).to_pylist() for c in ("part", *(f.name for f in _PACKET)))
-        for part, tokens, owner, position, cluster, n, extra in zip(*columns):
+        for part, tokens, owner, position, cluster, n in zip(*columns):
             owner = np.frombuffer(owner, np.uint16)
             for k, x in enumerate((
                 np.frombuffer(tokens, np.uint32).astype(np.int64) | part << 32, np.frombuffer(cluster, np.int64)[owner],
-                np.frombuffer(n, np.int32)[owner], np.frombuffer(position, np.uint16), np.frombuffer(extra, np.int32)[owner],
+                np.frombuffer(n, np.int32)[owner], np.frombuffer(position, np.uint16),
             )):
                 parts[k].append(x)
     if not parts[0]:
         return
-    token, cluster, n, position, extra = (np.concatenate(x) for x in parts)
+    token, cluster, n, position = (np.concatenate(x) for x in parts)
     del parts
     order = np.argsort(token, kind="stable")
     repeated = np.zeros(len(order), bool)
@@ -361,7 +361,7 @@ def _overlaps(docs: DataFrame, pairs: DataFrame, rule: Rule) -> DataFrame:
     """a, b, both, n_a, n_b: the exact size of the intersection of each pair of classes."""
     named = pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct()
     sets = _chosen(docs, rule, tables.marked(named, FILTER_BITS)).select("fp", "items")
-    sets = materialise(sets.join(named, "fp", "left_semi").dropDuplicates(["fp"]))
+    sets = sets.join(named, "fp", "left_semi").dropDuplicates(["fp"])  # read twice below, from one exchange
     one = sets.select(F.col("fp").alias("a"), F.col("items").alias("left"))
     two = sets.select(F.col("fp").alias("b"), F.col("items").alias("right"))
     schema = pa.schema([(c, pa.int64()) for c in ("a", "b", "both", "n_a", "n_b")])
@@ -397,9 +397,9 @@ def linked(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
     entries = (classes.agg(F.sum("n")).first()[0] or 0) * (rule.den - rule.num) // rule.den
     parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), int(entries // PART_ENTRIES) + 1)
     own = _prefixes(docs, rule, table).join(members, "fp", "left")
-    own = own.select("n", "prefix", F.coalesce("leader", "fp").alias("cluster"), F.coalesce("extra", F.lit(0)).cast("int").alias("extra"))
-    packed = "tokens binary, owner binary, position binary, cluster binary, n binary, extra binary"
-    packets = own.mapInArrow(lambda b: _packets(b, 4 * parts), f"part int, {packed}")
+    own = own.select("n", "prefix", F.coalesce("leader", "fp").alias("cluster"))
+    packed = "part int, tokens binary, owner binary, position binary, cluster binary, n binary"
+    packets = own.mapInArrow(lambda b: _packets(b, 2 * parts), packed)
     pairs = packets.repartition(parts, "part").mapInArrow(lambda b: _candidates(b, rule), "a bigint, b bigint")
     met = materialise(_overlaps(docs, materialise(pairs.distinct()), rule))
 
