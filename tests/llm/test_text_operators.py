@@ -182,7 +182,7 @@ def test_substring_dedup(spark, messy, empty, monkeypatch):
 def test_substring_shards(spark, monkeypatch):
     """Passages that start, end and overlap anywhere; tasks that send early; many shards."""
     monkeypatch.setattr(substrings, "TASK_STRETCHES", 5)
-    monkeypatch.setattr(substrings, "SHARD_WORDS", 100)
+    monkeypatch.setattr(substrings, "TASK_WORDS", 100)
     monkeypatch.setattr(substrings, "SEARCHED", 7)
     pool = text(50, 200).split()
     rows = [(k % 25, " ".join(text(200 + k, k % 7).split() + pool[3 * k : 3 * k + 25 + k] + text(300 + k, 5).split() + pool[k : k + 21])) for k in range(30)]

@@ -67,10 +67,16 @@ class FMIndex:
         shift = self.first[symbols] - self.base[symbols]
         return found[: len(low)] + shift, found[len(low) :] + shift
 
-    def search(self, text: np.ndarray, at: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-        """Intervals of the ``size`` symbols of ``text`` (of this alphabet) from each position on, searched backwards."""
+    def search(self, text: np.ndarray, at: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Which positions of ``text`` (of this alphabet) begin ``size`` symbols that the index holds more than once, and their
+        intervals. The search runs backwards and leaves a position when a match ends: when one occurrence is left or none."""
+        left = np.arange(len(at))
         symbols = text[at + size - 1]
         low, high = self.first[symbols], self.first[symbols + 1]
         for k in range(size - 2, -1, -1):
-            low, high = self.extend(text[at + k], low, high)
-        return low, high
+            more = high - low > 1
+            if not more.all():
+                left, low, high = left[more], low[more], high[more]
+            low, high = self.extend(text[at[left] + k], low, high)
+        more = high - low > 1
+        return left[more], low[more], high[more]

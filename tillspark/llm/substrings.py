@@ -25,7 +25,8 @@ from tillspark.session import materialise
 WINDOW = 20  # words
 ANCHOR = 8  # words
 BITS = 26  # of the table that marks repeated anchors, 8 MB: more anchors than that make it let more through
-SHARD_WORDS = 400_000
+TASK_WORDS = 400_000  # that a task works on
+SHARDS = 16  # that they are: small ones stay in the processor's caches
 TASK_STRETCHES = 200_000  # stretches that a task keeps before it sends them on
 SEARCHED = 100_000  # windows searched at a time
 LAST = (1 << 63) - 1  # stands for a missing doc_id: last of all
@@ -140,15 +141,18 @@ def _sent(batches, flags, parts: int, window: int, anchor: int) -> Iterator[pa.R
 
 
 def _shard(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
-    """Index the stretches of a shard and report, for each text, the stretches and windows that occur earlier."""
-    cols: list[list] = [[], [], [], [], []]
+    """Index the stretches of each shard and report, for each text, the stretches and windows that occur earlier."""
+    shards: dict[int, list[list]] = {}
     for batch in batches:
-        for row in zip(*(batch.column(c).to_pylist() for c in ("doc", "text_hash", "start", "length", "words"))):
+        for part, *row in zip(*(batch.column(c).to_pylist() for c in ("part", "doc", "text_hash", "start", "length", "words"))):
+            cols = shards.setdefault(part, [[], [], [], [], []])
             for k, (x, t) in enumerate(zip(row, (np.int64, np.int64, np.int32, np.int32, np.uint64))):
                 cols[k].append(np.frombuffer(x, t))
-    if not cols[0]:
-        return
-    doc, code, start, length, words = (np.concatenate(x) for x in cols)
+    while shards:
+        yield from _found(*(np.concatenate(x) for x in shards.popitem()[1]), window)
+
+
+def _found(doc, code, start, length, words, window: int) -> Iterator[pa.RecordBatch]:
     known = length < 0
     hits = [(doc[known], code[known], start[known].astype(np.int64), -length[known].astype(np.int64))]
     doc, code, start, length = doc[~known], code[~known], start[~known].astype(np.int64), length[~known].astype(np.int64)
@@ -169,11 +173,12 @@ def _shard(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.Record
         at = put[owner] + nth
         for lo in range(0, len(at), SEARCHED):
             own, k, here = owner[lo : lo + SEARCHED], nth[lo : lo + SEARCHED], at[lo : lo + SEARCHED]
-            low, high = index.search(text, here, window)
+            again, low, _ = index.search(text, here, window)
+            own, k = own[again], k[again]
             earliest = index.suffixes[low]
             other = np.searchsorted(put, earliest, "right") - 1
             place = start[other] + earliest - put[other]
-            earlier = (high - low > 1) & ((doc[other] < doc[own]) | ((doc[other] == doc[own]) & (place < start[own] + k)))
+            earlier = (doc[other] < doc[own]) | ((doc[other] == doc[own]) & (place < start[own] + k))
             own, k = own[earlier], k[earlier]
             hits.append((doc[own], code[own], start[own] + k, np.ones(len(own), np.int64)))
     doc, code, start, length = (np.concatenate(x) for x in zip(*hits))
@@ -198,8 +203,8 @@ def repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> Data
     counted = materialise(anchors.repartition(least, "part").mapInArrow(lambda b: _repeated(b, BITS), "cell int, counts binary"))
     flags = spark.sparkContext.broadcast(tables.gathered_bits(counted.where("cell >= 0"), BITS))
     number = sum(int.from_bytes(r["counts"], "little") for r in counted.where("cell < 0").collect())  # one row a task
-    parts = max(least, number * (window + (window - anchor) // 2) // SHARD_WORDS + 1)
-    sent = docs.mapInArrow(lambda b: _sent(b, flags.value, 4 * parts, window, anchor), _PACKET_SQL)
+    parts = max(least, number * (window + (window - anchor) // 2) // TASK_WORDS + 1)
+    sent = docs.mapInArrow(lambda b: _sent(b, flags.value, SHARDS * parts, window, anchor), _PACKET_SQL)
     return sent.repartition(parts, "part").mapInArrow(lambda b: _shard(b, window), "hit_doc bigint, hit_text bigint, places binary")
 
 
