@@ -19,6 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, StructField, StructType
 
 from tillspark.llm import tables
 from tillspark.llm import text as T
@@ -29,6 +30,7 @@ SIZE = 5  # words in a shingle
 SHARE = (75, 100)  # least intersection by union
 BITS = 20  # of the table of shingle frequencies
 FILTER_BITS = 23  # of the tables that mark which sets are looked at again
+DOUBT_BITS = 26  # of the table that marks documents which may have to go
 BLOCK = 32  # entries in a block of an index list
 ROUNDS = 4  # hashes under which leaders meet
 LEADERS = 8  # that a bucket's classes are compared with
@@ -490,14 +492,28 @@ def one_of_each(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
     """The rows of ``docs``, all columns unchanged, that stay when one document of each component is kept.
 
     It is the one with the smallest doc_id (null last; of rows that share it, the smallest hash of the text). Documents
-    without words all stay. Rows that repeat doc_id and text are one document.
+    without words all stay. Rows that repeat doc_id and text are one document. Only rows that may have to go (by a table of
+    flags) are shuffled with their texts.
     """
     key = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")
-    found = linked(docs, rule)
+    found = materialise(linked(docs, rule).select("doc_id", "text_hash", "group"))
     first = found.where(F.col("group").isNotNull()).groupBy("group").agg(F.min(key).alias("k")).select("k.doc_id", "k.text_hash")
     kept = first.unionByName(found.where(F.col("group").isNull()).select("doc_id", "text_hash")).distinct()
-    name, hashed = T.fresh(docs, "kept_id"), T.fresh(docs, "kept_hash")
-    kept = kept.toDF(name, hashed)
-    same = F.col("doc_id").cast("bigint").eqNullSafe(F.col(name)) & (F.xxhash64(F.col("text").cast("string")) == F.col(hashed))
-    own = docs.join(kept, same).dropDuplicates([name, hashed])
-    return own.select(*docs.columns)
+    name, hashed, flag = (T.fresh(docs, x) for x in ("kept_id", "kept_hash", "kept_flag"))
+    kept = materialise(kept.toDF(name, hashed))
+    same = F.col("doc_id").eqNullSafe(F.col(name)) & (F.col("text_hash") == F.col(hashed))
+    pairs = found.groupBy("doc_id", "text_hash").count().join(kept, same, "left")
+    doubtful = pairs.where(F.col(hashed).isNull() | (F.col("count") > 1)).select(F.xxhash64("doc_id", "text_hash"))
+    flags = docs.sparkSession.sparkContext.broadcast(tables.marked(doubtful, DOUBT_BITS))
+    own_id, own_hash = F.col("doc_id").cast("bigint"), F.xxhash64(F.col("text").cast("string"))
+
+    def told(batches):
+        for batch in batches:
+            codes = batch.column(flag).to_numpy().view(np.uint64)
+            hits = pa.array(tables.hit(flags.value, codes))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], hits], names=batch.schema.names)
+
+    coded = docs.withColumn(flag, F.xxhash64(own_id, own_hash))
+    marked = coded.mapInArrow(told, StructType([*docs.schema.fields, StructField(flag, BooleanType())]))
+    some = marked.where(flag).join(kept, own_id.eqNullSafe(F.col(name)) & (own_hash == F.col(hashed))).dropDuplicates([name, hashed])
+    return marked.where(~F.col(flag)).select(*docs.columns).unionByName(some.select(*docs.columns))
