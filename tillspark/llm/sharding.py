@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from tillspark.session import materialise
 
-PROBES = 256  # candidate boundaries between which a splitter is looked for in one round
+PROBES = 4096  # candidate boundaries between which a splitter is looked for in one round
 _TOP = (1 << 60) - 1
 
 
@@ -25,23 +25,26 @@ def _hash(column: str) -> Column:
 
 @dataclass
 class Bracket:
-    """Keys lo..hi that hold the splitter of ``target``; bytes of smaller keys, and up to hi."""
+    """Keys lo..hi that hold the splitter of ``target``; bytes of smaller keys, and up to hi. With ``group``, second keys of the
+    rows with that key."""
 
     target: float
+    group: int | None = None
     lo: int = 0
     hi: int = _TOP
     below: int = 0
     upto: int = 0
 
 
-def _refine(rows: DataFrame, key: str, targets: list[float], base: int, tolerance: float) -> list[Bracket]:
-    """Narrow the bracket of each target until its bytes are within tolerance or it is a single key."""
-    brackets = [Bracket(t, below=base) for t in targets]
-    while todo := sorted({(b.lo, b.hi) for b in brackets if b.upto == 0 or (b.hi > b.lo and b.upto - b.below > tolerance)}):
+def _refine(rows: DataFrame, key: str, brackets: list[Bracket], tolerance: float) -> list[Bracket]:
+    """Narrow each bracket until its bytes are within tolerance or it is a single key; all of them by one count a round."""
+    while todo := sorted({(b.group or 0, b.lo, b.hi) for b in brackets if b.upto == 0 or (b.hi > b.lo and b.upto - b.below > tolerance)}):
         which, cell = F.lit(None).cast("int"), F.lit(None).cast("bigint")
-        for k, (lo, hi) in enumerate(todo):
+        for k, (group, lo, hi) in enumerate(todo):
             step = (hi - lo) // PROBES + 1
             here = F.col(key).between(lo, hi)
+            if key == "second":
+                here &= F.col("key") == group
             which = F.when(here, F.lit(k)).otherwise(which)
             cell = F.when(here, F.expr(f"(`{key}` - {lo}) div {step}")).otherwise(cell)
         counted = rows.groupBy(which.alias("which"), cell.alias("cell")).agg(F.sum("size").alias("bytes")).where("which is not null")
@@ -49,9 +52,9 @@ def _refine(rows: DataFrame, key: str, targets: list[float], base: int, toleranc
         for r in counted.collect():  # at most PROBES rows a splitter
             sums.setdefault(r["which"], {})[r["cell"]] = r["bytes"]
         for b in brackets:
-            if (b.lo, b.hi) not in todo:
+            if (b.group or 0, b.lo, b.hi) not in todo:
                 continue
-            found = sums[todo.index((b.lo, b.hi))]
+            found = sums[todo.index((b.group or 0, b.lo, b.hi))]
             step, lo, hi, run = (b.hi - b.lo) // PROBES + 1, b.lo, b.hi, b.below
             for c in sorted(found):
                 if run + found[c] > b.target or c == max(found):
@@ -71,15 +74,15 @@ def splitters(rows: DataFrame, shards: int, tolerance: float = 0.001, group_tole
     if not total or shards < 2:
         return [(_TOP + 1, 0)] * (shards - 1)
     mean = total / shards
-    out = []
-    for b in _refine(rows, "key", [mean * i for i in range(1, shards)], 0, tolerance * mean):
+    out, inside = [], []
+    for b in _refine(rows, "key", [Bracket(mean * i) for i in range(1, shards)], tolerance * mean):
         near, low = min((abs(b.target - b.below), True), (abs(b.upto - b.target), False))
         if near > group_tolerance * mean and b.lo == b.hi:
-            group = rows.where(F.col("key") == b.lo)
-            s = _refine(group, "second", [b.target], b.below, tolerance * mean)[0]
-            out.append((b.lo, s.lo if s.target - s.below <= s.upto - s.target else s.hi + 1))
+            inside.append(Bracket(b.target, b.lo, below=b.below))
         else:
             out.append((b.lo, 0) if low else (b.hi + 1, 0))
+    for s in _refine(rows, "second", inside, tolerance * mean):
+        out.append((s.group, s.lo if s.target - s.below <= s.upto - s.target else s.hi + 1))
     return sorted(out)
 
 
