@@ -1,10 +1,11 @@
 """Toxicity from class-conditional Kneser-Ney models.
 
-Two bigram models, of toxic and of ordinary documents, are fitted on labelled rows: counts are numbers of different left
-neighbours, so that copies count once, and are discounted; the mass that discounting frees backs off to unigrams of the class,
-from them to the beginnings of words, and to counts of the whole corpus, which both classes share. An expression that a class has seen in few contexts is left to
-the shared counts altogether, and then says nothing for or against. A document's length-normalised
-log-likelihoods under the two models are compared over the whole text and over its strongest expressions; a logistic curve
+Two bigram models, of toxic and of ordinary documents, are fitted on labelled rows: bigrams by how often they occur, words and
+beginnings of words by their numbers of different left neighbours, each count less a discount for 1, 2 or more that follows
+from the counts of counts. No count is dropped; the mass that discounting frees backs off from bigrams to unigrams of the
+class, from them to the beginnings of words, and to counts of the whole corpus, which both classes share. How far a word's
+ratio of the classes follows its bigram, its unigram or its beginning grows with how often the classes have seen each, so one
+sight says little but never nothing. A document's length-normalised log-likelihoods under the two models are compared over the whole text and over its strongest expressions; a logistic curve
 fitted on further labelled rows turns both into a score.
 """
 
@@ -24,7 +25,8 @@ from tillspark.session import materialise
 
 PER_CLASS = 4000  # labelled documents that fit the counts of a class, and again as many for the curve: bounds the model
 HEAD = 4  # bytes of a word's beginning
-GIVEN_UP = 9  # counts up to this are discounted as a whole
+LEAST_KEPT = 0.05  # of a discount, and of a count after it
+HALF_TRUST = 30.0  # sights in both classes from which an expression's own ratio has half of the weight
 SHARED = 0.5  # part of the backoff that goes to the shared counts at once
 STRONGEST = 2  # expressions compared on their own
 THRESHOLD = 0.3
@@ -49,6 +51,7 @@ class Model:
     spare: np.ndarray
     shared_word: np.ndarray
     shared_bigram: np.ndarray
+    trust: tuple[np.ndarray, ...]  # of bigrams, words and beginnings
     curve: np.ndarray | None = None
 
 
@@ -67,36 +70,35 @@ def _sample(labels: DataFrame, docs: DataFrame, folds: tuple[int, ...], per_clas
     return docs.select("doc_id", "text").join(F.broadcast(parts[0].union(parts[1])), "doc_id")  # at most 2 * per_class ids
 
 
-def _neighbours(w: T.Words) -> tuple[np.ndarray, np.ndarray]:
-    """The word before each word and the one before that; the start of a text counts as a word."""
-    one, two = np.empty_like(w.hash), np.empty_like(w.hash)
-    one[1:], two[2:] = w.hash[:-1], w.hash[:-2]
-    first = w.first[:-1][w.counts > 0]
-    one[first] = two[first] = _START
-    second = w.first[:-1][w.counts > 1] + 1
-    two[second] = _START
-    return one, two
+def _before(w: T.Words) -> np.ndarray:
+    """The word before each word; the start of a text counts as a word."""
+    one = np.empty_like(w.hash)
+    one[1:] = w.hash[:-1]
+    one[w.first[:-1][w.counts > 0]] = _START
+    return one
 
 
 def _pair(one: np.ndarray, word: np.ndarray) -> np.ndarray:
     return T.mix(one * _PAIR + word)
 
 
-def _trigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _bigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for lo, hi in T.chunks(batch.column("text")):
             part = batch.slice(lo, hi - lo)
             w = T.words(part.column("text"), T.PLAIN, HEAD)
-            one, two = _neighbours(w)
+            one = _before(w)
             toxic = part.column("toxic").to_numpy(zero_copy_only=False).astype(np.int32)[w.owner()]
-            columns = [pa.array(toxic), *(pa.array(x.view(np.int64)) for x in (two, one, w.hash, w.head))]
-            yield pa.RecordBatch.from_arrays(columns, names=["toxic", "before", "context", "word", "head"])
+            columns = [pa.array(toxic), *(pa.array(x.view(np.int64)) for x in (one, w.hash, w.head))]
+            yield pa.RecordBatch.from_arrays(columns, names=["toxic", "context", "word", "head"])
 
 
 def _kept(count: np.ndarray, seen: dict[int, int]) -> np.ndarray:
-    """Counts less the absolute discount for 3 and more, which follows from how many counts are 1, 2, 3 and 4."""
+    """Counts less the discounts for 1, 2, and 3 and more, which follow from how many counts are 1, 2, 3 and 4."""
     n = [max(1, seen.get(k, 0)) for k in range(1, 5)]
-    return np.maximum(count - np.clip(3 - 4 * n[0] / (n[0] + 2 * n[1]) * n[3] / n[2], 1, 3), 0)
+    share = n[0] / (n[0] + 2 * n[1])
+    off = [min(max(k - (k + 1) * share * n[k] / n[k - 1], LEAST_KEPT), k - LEAST_KEPT) for k in (1, 2, 3)]
+    return count - np.array(off)[np.clip(count, 1, 3).astype(int) - 1]
 
 
 def _look(keys: np.ndarray, codes: np.ndarray) -> np.ndarray:
@@ -117,7 +119,7 @@ def _counted(docs: DataFrame, *keys: np.ndarray) -> tuple[list[np.ndarray], int]
         for batch in batches:
             for lo, hi in T.chunks(batch.column(0)):
                 w = T.words(batch.column(0).slice(lo, hi - lo), T.PLAIN, HEAD)
-                one, _ = _neighbours(w)
+                one = _before(w)
                 for k, codes in enumerate((w.hash, _pair(one, w.hash), w.head)):
                     found = _look(shared.value[k], codes)
                     counts[cuts[k] : cuts[k + 1]] += np.bincount(found, minlength=cuts[k + 1] - cuts[k])
@@ -130,11 +132,11 @@ def _counted(docs: DataFrame, *keys: np.ndarray) -> tuple[list[np.ndarray], int]
 
 
 def _model(docs: DataFrame, sample: DataFrame) -> Model:
-    trigrams = sample.select("toxic", "text").mapInArrow(_trigrams, "toxic int, before bigint, context bigint, word bigint, head bigint")
-    pairs = materialise(trigrams.distinct().groupBy("toxic", "context", "word", "head").agg(F.count("*").alias("n")))
+    bigrams = sample.select("toxic", "text").mapInArrow(_bigrams, "toxic int, context bigint, word bigint, head bigint")
+    pairs = materialise(bigrams.groupBy("toxic", "context", "word", "head").agg(F.count("*").alias("n")))
     words = materialise(pairs.groupBy("toxic", "word", "head").agg(F.count("*").alias("n")))
     heads = materialise(words.groupBy("toxic", "head").agg(F.sum("n").alias("n")))
-    totals = pairs.groupBy("toxic", "context").agg(F.sum("n").alias("total"), F.max("n").alias("most"))
+    totals = pairs.groupBy("toxic", "context").agg(F.sum("n").alias("total"))
 
     def few(df: DataFrame) -> dict[int, int]:
         return {r["n"]: r["count"] for r in df.where("n <= 4").groupBy("n").count().collect()}
@@ -146,9 +148,9 @@ def _model(docs: DataFrame, sample: DataFrame) -> Model:
     kept = []
     for c in (1, 0):
         mine, own = pairs.where(F.col("toxic") == c), words.where(F.col("toxic") == c)
-        context, word, n = arrays(mine.where(F.col("n") > GIVEN_UP), "context", "word", "n")
-        single, single_n = arrays(own.where(F.col("n") > GIVEN_UP), "word", "n")
-        ctx, total = arrays(totals.where((F.col("toxic") == c) & (F.col("most") > GIVEN_UP)), "context", "total")
+        context, word, n = arrays(mine, "context", "word", "n")
+        single, single_n = arrays(own, "word", "n")
+        ctx, total = arrays(totals.where(F.col("toxic") == c), "context", "total")
         order = np.argsort(ctx)
         ctx, total = ctx[order], total[order].astype(float)
         at = np.searchsorted(ctx, context)
@@ -156,27 +158,33 @@ def _model(docs: DataFrame, sample: DataFrame) -> Model:
         left = 1 - np.bincount(at, mass, minlength=len(ctx))
         every = own.agg(F.sum("n")).first()[0] or 1
         of_heads = heads.where(F.col("toxic") == c)
-        head, head_n = arrays(of_heads.where(F.col("n") > GIVEN_UP), "head", "n")
+        head, head_n = arrays(of_heads, "head", "n")
         alone, begun = _kept(single_n.astype(float), few(own)) / every, _kept(head_n.astype(float), few(of_heads)) / every
-        kept.append((_pair(context, word), mass, ctx, left, single, alone, head, begun, context, word))
+        kept.append((_pair(context, word), mass, ctx, left, single, alone, head, begun, context, word, n, single_n, head_n))
     bigrams, contexts, vocabulary, beginnings = keys = [np.unique(np.concatenate([x[2 * k] for x in kept])) for k in range(4)]
     filled = [np.full((2, len(k) + 1), float(k is contexts)) for k in keys]
     for row, x in enumerate(kept):
         for k in range(4):
             filled[k][row, np.searchsorted(keys[k], x[2 * k])] = x[2 * k + 1]
     known = np.unique(np.concatenate([vocabulary, *(x[8] for x in kept), *(x[9] for x in kept)]))
+    trust = []
+    for k, of in ((0, 10), (2, 11), (3, 12)):
+        sights = np.zeros(len(keys[k]) + 1)
+        for x in kept:
+            sights[np.searchsorted(keys[k], x[2 * k])] += x[of].astype(float)
+        trust.append(sights / (sights + HALF_TRUST))
     (of_words, of_bigrams, of_heads), every = _counted(docs, known, bigrams, beginnings)
     chance = np.append(of_words + 1, 1) / (every + len(known) + 1)
     shared_bigram = np.zeros(len(bigrams) + 1)
     for x in kept:
-        context, word = (np.searchsorted(known, y) for y in x[8:])
+        context, word = (np.searchsorted(known, y) for y in x[8:10])
         at = np.searchsorted(bigrams, x[0])
         shared_bigram[at] = (of_bigrams[at] + chance[word]) / (of_words[context] + 1)
     shared_word = chance[_look(known, np.append(vocabulary, np.uint64(0)))]
     shared_word[-1] = chance[-1]
     spare, spare_heads = (1 - f.sum(axis=1, keepdims=True) for f in filled[2:])
     lift = filled[3] * (every + len(beginnings) + 1) / np.append(of_heads + 1, 1) + spare_heads
-    return Model(bigrams, filled[0], contexts, filled[1], vocabulary, filled[2], beginnings, lift, spare, shared_word, shared_bigram)
+    return Model(bigrams, filled[0], contexts, filled[1], vocabulary, filled[2], beginnings, lift, spare, shared_word, shared_bigram, tuple(trust))
 
 
 def _features(texts: pa.Array, model: Model) -> np.ndarray:
@@ -185,13 +193,17 @@ def _features(texts: pa.Array, model: Model) -> np.ndarray:
     out = np.zeros((len(texts), 2))
     if not len(w.hash):
         return out
-    one, _ = _neighbours(w)
+    one = _before(w)
     word, bigram = _look(model.words, w.hash), _look(model.bigrams, _pair(one, w.hash))
     shared = np.where(bigram < len(model.bigrams), model.shared_bigram[bigram], model.shared_word[word])
-    alone = model.word_mass[:, word] + model.spare * model.shared_word[word] * model.head_lift[:, _look(model.heads, w.head)]
-    chance = SHARED * shared + (1 - SHARED) * alone
-    chance = model.bigram_mass[:, bigram] + model.context_left[:, _look(model.contexts, one)] * chance
-    ratio = np.log(chance[0]) - np.log(chance[1])
+    head = _look(model.heads, w.head)
+    begun = model.spare * model.shared_word[word] * model.head_lift[:, head]
+    single = SHARED * shared + (1 - SHARED) * (model.word_mass[:, word] + begun)
+    double = model.bigram_mass[:, bigram] + model.context_left[:, _look(model.contexts, one)] * single
+    ratio = np.zeros(len(w.hash))
+    of_bigrams, of_words, of_heads = model.trust
+    for chance, own in ((SHARED * shared + (1 - SHARED) * begun, of_heads[head]), (single, of_words[word]), (double, of_bigrams[bigram])):
+        ratio += own * (np.log(chance[0]) - np.log(chance[1]) - ratio)
     some = np.flatnonzero(w.counts > 0)
     out[some, 0] = np.add.reduceat(ratio, w.first[some]) / w.counts[some]
     for i in some.tolist():
