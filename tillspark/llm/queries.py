@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tillspark.llm import chat, decontaminate, jaccard, language, mixing, neighbours, quality, sharding, substrings, toxicity
+from tillspark.llm import chat, decontaminate, jaccard, language, mixing, neighbours, periodic, quality, sharding, substrings, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -218,3 +218,9 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return quality.rated(docs, quality.fit(docs, quality.graded(table(spark, sf_dir, "labels"))))
+
+
+@query("op11_periodic_runs")
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = periodic.planted(table(spark, sf_dir, "documents"))
+    return periodic.digest(periodic.periodic_runs(docs, least=24, times=3))
