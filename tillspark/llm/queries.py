@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tillspark.llm import chat, decontaminate, jaccard, language, mixing, neighbours, periodic, quality, sharding, substrings, toxicity
+from tillspark.llm import chat, decontaminate, jaccard, language, mixing, neighbours, periodic, quality, sharding, simhash, substrings, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -224,3 +224,9 @@ def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = periodic.planted(table(spark, sf_dir, "documents"))
     return periodic.digest(periodic.periodic_runs(docs, least=24, times=3))
+
+
+@query("op13_simhash_near_dedup")
+def op13_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"), radius=3, size=3)
+    return found.select("doc_id", simhash.hexadecimal("fp").alias("fingerprint"), "component_id")
