@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tillspark.llm import chat, decontaminate, jaccard, language, mixing, neighbours, periodic, quality, sharding, simhash, substrings, toxicity
+from tillspark.llm import chat, codes, decontaminate, jaccard, language, mixing, neighbours, periodic, quality, sharding, simhash, substrings, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -230,3 +230,46 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op13_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"), radius=3, size=3)
     return found.select("doc_id", simhash.hexadecimal("fp").alias("fingerprint"), "component_id")
+
+
+def _lloyd_sql(rounds: int) -> str:
+    """Plain Lloyd rounds, every entry looked at each time, one statement a round."""
+    near = """near_{r} AS MATERIALIZED (
+  SELECT vec_id, p, x, m // 16 AS d, m % 16 AS k
+  FROM (SELECT a.vec_id, a.p, any_value(a.x) AS x,
+               min(16 * list_sum(list_transform(range(1, len(a.x) + 1), lambda i: (a.x[i] - b.c[i]) * (a.x[i] - b.c[i]))) + b.k) AS m
+        FROM parts a JOIN book_{r} b ON a.p = b.p GROUP BY a.vec_id, a.p)
+)"""
+    book = """book_{n} AS MATERIALIZED (
+  SELECT b.p, b.k, coalesce(u.c, b.c) AS c
+  FROM book_{r} b LEFT JOIN (
+    SELECT p, k, list(CAST((s - ((s % n) + n) % n) // n AS BIGINT) ORDER BY i) AS c
+    FROM (SELECT p, k, i, sum(x[i]) AS s, count(*) AS n FROM (SELECT p, k, x, unnest(range(1, len(x) + 1)) AS i FROM near_{r}) GROUP BY p, k, i)
+    GROUP BY p, k) u ON u.p = b.p AND u.k = b.k
+)"""
+    steps = [near.format(r=0)]
+    for r in range(rounds):
+        steps += [book.format(n=r + 1, r=r), near.format(r=r + 1)]
+    return f"""
+WITH kept AS (
+  SELECT vec_id, label, row_number() OVER (ORDER BY vec_id) AS place,
+         list_transform(embedding, lambda x: CAST(floor(4096 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), parts AS MATERIALIZED (
+  SELECT vec_id, place, p, v[p * len(v) // 8 + 1 : (p + 1) * len(v) // 8] AS x
+  FROM (SELECT vec_id, place, v, unnest(range(8)) AS p FROM kept)
+), book_0 AS MATERIALIZED (SELECT p, place - 1 AS k, x AS c FROM parts WHERE place <= 16),
+{", ".join(steps)}, coded AS (
+  SELECT vec_id, string_agg(format('{{:02x}}', k), '' ORDER BY p) AS code, CAST(sum(d) AS BIGINT) AS error FROM near_{rounds} GROUP BY vec_id
+)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error,
+       (SELECT sha256(string_agg(CAST(x AS VARCHAR), ',' ORDER BY p, k, i))
+        FROM (SELECT p, k, unnest(c) AS x, unnest(range(1, len(c) + 1)) AS i FROM book_{rounds})) AS codebooks_sha256
+FROM coded JOIN kept USING (vec_id)
+"""
+
+
+@query("op12_vector_codes", _lloyd_sql(6))
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codes.digest(*codes.compress(table(spark, sf_dir, "embeddings"), parts=8, entries=16, rounds=6, scale=4096, group="label"))
