@@ -20,7 +20,7 @@ def fitted(spark):
 
 def test_models_explain_the_target(fitted):
     table = {r.model: r for r in fitted.compare().collect()}
-    assert set(table) == {"Stochastic Gradient Boosting", "Random Forest", "Gradient Boosting"}
+    assert set(table) == {"Second-Order Boosting", "Random Forest", "Gradient Boosting"}
     assert all(r.r2 > 0.5 for r in table.values())
     assert fitted.best() == max(table, key=lambda m: table[m].r2)
 
@@ -31,7 +31,7 @@ def test_importance_names_the_two_factors(fitted):
     assert len(fitted.feature_names()) == fitted.test.first().features.size
 
 
-@pytest.mark.parametrize("name", ["Gradient Boosting", "Random Forest"])
+@pytest.mark.parametrize("name", ["Second-Order Boosting", "Gradient Boosting", "Random Forest"])
 def test_contributions_add_up_to_the_prediction(fitted, name):
     out = attribution.attributions(fitted.test.limit(40), fitted.model(name)).toPandas()
     total = out["base"] + out["contributions"].map(np.sum)

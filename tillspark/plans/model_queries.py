@@ -48,7 +48,7 @@ def ml_prep(spark, d):
 
 @query("ml_xgb")
 def ml_xgb(spark, d):
-    return fitted(spark, d).metrics("Stochastic Gradient Boosting")
+    return fitted(spark, d).metrics("Second-Order Boosting")
 
 
 @query("ml_rf")
