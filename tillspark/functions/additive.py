@@ -7,6 +7,7 @@ import numpy as np
 CHANGEPOINTS, RANGE = 25, 0.8  # fixed values: number of possible trend changes, share of the history they lie in
 SEASONS = {"yearly": (365.25, 10), "monthly": (30.5, 5)}  # fixed values: period in days, Fourier order
 SEASON_SCALE = 10.0
+LEAST_CHANGE = 1e-5  # trend changes below this weigh as this much
 
 
 def _fourier(days: np.ndarray) -> np.ndarray:
@@ -23,7 +24,8 @@ def _ridge(x: np.ndarray, y: np.ndarray, penalty: np.ndarray) -> np.ndarray:
 
 
 class AdditiveModel:
-    """Posterior-mode style fit: Gaussian penalties of width ``change_scale`` on trend changes and 10 on seasonal terms."""
+    """Posterior mode: a Laplace prior of width ``change_scale`` on trend changes, which keeps most of them near zero, and a Gaussian
+    one of width 10 on seasonal terms. The Laplace prior is met by reweighting: near the last solution it is a Gaussian one."""
 
     def __init__(self, days: np.ndarray, y: np.ndarray, change_scale: float = 0.05, rounds: int = 500):
         self.start, self.span = days[0], max(days[-1] - days[0], 1)
@@ -32,18 +34,30 @@ class AdditiveModel:
         count = min(CHANGEPOINTS, max(int(RANGE * len(t)) - 1, 0))
         self.changes = t[np.linspace(0, int(RANGE * len(t)) - 1, count + 1).round().astype(int)][1:]
         trend_x, season_x = self._trend_columns(t), _fourier(days)
-        beta, noise = np.zeros(season_x.shape[1]), 0.05
+        beta, noise, sizes = np.zeros(season_x.shape[1]), 0.05, np.full(count, change_scale)
         for _ in range(rounds):
             factor = 1 + season_x @ beta
-            pull = np.array([1e-6, 1e-6, *np.full(count, (noise / change_scale) ** 2)])
+            pull = np.array([1e-6, 1e-6, *(noise**2 / (change_scale * sizes))])
             self.theta = _ridge(factor[:, None] * trend_x, target, pull)
-            trend = trend_x @ self.theta
+            trend, sizes = trend_x @ self.theta, np.maximum(np.abs(self.theta[2:]), LEAST_CHANGE)
             beta = _ridge(trend[:, None] * season_x, target - trend, np.full(len(beta), (noise / SEASON_SCALE) ** 2 + 1e-8))
             before, noise = noise, max(np.std(target - trend * (1 + season_x @ beta)), 1e-4)
             if abs(noise - before) <= 1e-6 * before:
                 break
         self.beta, self.noise = beta, noise
 
+    def state(self) -> dict:
+        """Plain numbers from which ``restored`` makes the same model."""
+        return {"start": float(self.start), "span": float(self.span), "scale": float(self.scale), "noise": float(self.noise),
+                "changes": self.changes.tolist(), "theta": self.theta.tolist(), "beta": self.beta.tolist()}
+
+    @classmethod
+    def restored(cls, state: dict) -> "AdditiveModel":
+        model = cls.__new__(cls)
+        for name, value in state.items():
+            setattr(model, name, value if np.isscalar(value) else np.asarray(value, dtype=float))
+        return model
+
     def _trend_columns(self, t: np.ndarray) -> np.ndarray:
         hinges = np.maximum(t[:, None] - self.changes[None, :], 0)
         return np.column_stack([np.ones(len(t)), t, hinges])

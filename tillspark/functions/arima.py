@@ -32,18 +32,23 @@ def _differencing(order: tuple) -> np.ndarray:
     return poly
 
 
+def _inverse(poly: np.ndarray, n: int) -> np.ndarray:
+    """First ``n`` coefficients of 1 / poly (whose first is 1), doubling the known ones by Newton's step."""
+    out = np.ones(1)
+    while len(out) < n:
+        size = min(2 * len(out), n)
+        step = -np.convolve(poly[:size], out)[:size]
+        step[0] += 2
+        out = np.convolve(out, step)[:size]
+    return out
+
+
 def _residuals(w: np.ndarray, ar: np.ndarray, ma: np.ndarray) -> np.ndarray:
-    """One-step errors given the first observations, earlier errors taken as zero."""
-    start = len(ar) - 1
-    target = np.convolve(w, ar)[start : len(w)]
-    lags = np.flatnonzero(ma[1:]) + 1
-    if len(lags) == 0:
+    """One-step errors given the first observations, earlier errors taken as zero: the series through ar / ma."""
+    target = np.convolve(w, ar)[len(ar) - 1 : len(w)]
+    if not ma[1:].any() or not len(target):
         return target
-    errors = np.zeros(len(target) + len(ma))
-    shift = len(ma)
-    for i, value in enumerate(target):
-        errors[i + shift] = value - ma[lags] @ errors[i + shift - lags]
-    return errors[shift:]
+    return np.convolve(target, _inverse(ma, len(target)))[: len(target)]
 
 
 def fit(y: np.ndarray, order: tuple, iterations: int = 500):
@@ -87,9 +92,11 @@ def fit(y: np.ndarray, order: tuple, iterations: int = 500):
     return theta, best / max(len(current) - size, 1) * scale * scale
 
 
-def forecast(y: np.ndarray, order: tuple, steps: int):
-    """Point forecasts and standard errors for ``steps`` periods, or None when the fit fails."""
-    found = fit(np.asarray(y, dtype=float), order)
+def state(y: np.ndarray, order: tuple) -> dict | None:
+    """What a fitted series needs to be forecast later: parameters, error variance, its last values and last errors; None when
+    the fit fails."""
+    y = np.asarray(y, dtype=float)
+    found = fit(y, order)
     if found is None:
         return None
     theta, variance = found
@@ -98,17 +105,33 @@ def forecast(y: np.ndarray, order: tuple, steps: int):
     if len(y) < len(full):
         return None
     with np.errstate(all="ignore"):
-        errors = np.zeros(len(y) + steps)
-        observed = _residuals(np.asarray(y, dtype=float), full, ma)
-        errors[len(y) - len(observed) : len(y)] = observed
-        values = np.concatenate([np.asarray(y, dtype=float), np.zeros(steps)])
+        errors = _residuals(y, full, ma)
+    kept = len(ma) - 1
+    errors = np.concatenate([np.zeros(kept), errors])[len(errors) :] if kept else np.zeros(0)
+    out = {"theta": theta, "variance": float(variance), "values": y[len(y) - len(full) + 1 :], "errors": errors}
+    return out if all(np.isfinite(v).all() for v in out.values()) else None
+
+
+def ahead(state: dict, order: tuple, steps: int):
+    """Point forecasts and standard errors for ``steps`` periods from a ``state``, or None when they aren't finite."""
+    theta = np.asarray(state["theta"], dtype=float)
+    ar, ma = _unpack(theta, order)
+    full = np.convolve(ar, _differencing(order))
+    past, known = len(full) - 1, len(ma) - 1
+    with np.errstate(all="ignore"):
+        values = np.concatenate([np.asarray(state["values"], dtype=float), np.zeros(steps)])
+        errors = np.concatenate([np.asarray(state["errors"], dtype=float), np.zeros(steps)])
         psi = np.zeros(steps)
         for h in range(steps):
-            at = len(y) + h
-            values[at] = -full[1:] @ values[at - 1 : at - len(full) : -1] if len(full) > 1 else 0.0
-            values[at] += sum(ma[k] * errors[at - k] for k in range(1, len(ma)))
+            values[past + h] = -full[1:] @ values[h : past + h][::-1] + ma[1:] @ errors[h : known + h][::-1]
             own = 1.0 if h == 0 else (ma[h] if h < len(ma) else 0.0)
-            psi[h] = own - sum(full[k] * psi[h - k] for k in range(1, min(h, len(full) - 1) + 1))
-        spread = np.sqrt(variance * np.cumsum(psi**2))
-    means = values[len(y) :]
+            psi[h] = own - sum(full[k] * psi[h - k] for k in range(1, min(h, past) + 1))
+        spread = np.sqrt(state["variance"] * np.cumsum(psi**2))
+    means = values[past:]
     return (means, spread) if np.isfinite(means).all() and np.isfinite(spread).all() else None
+
+
+def forecast(y: np.ndarray, order: tuple, steps: int):
+    """Point forecasts and standard errors for ``steps`` periods, or None when the fit fails."""
+    found = state(y, order)
+    return None if found is None else ahead(found, order, steps)

@@ -7,7 +7,7 @@ from itertools import product
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -166,7 +166,7 @@ def sarima_scores(grid: DataFrame, keys: Keys = ()) -> DataFrame:
 def sarima_select(scores: DataFrame, months: DataFrame, keys: Keys = ()) -> DataFrame:
     """Candidate with the smallest MAE per series, ties by order; short series come back as ``too_short``.
 
-    The months that score a candidate also choose it, so the reported error is optimistic.
+    The months that score a candidate also choose it, so the reported error is optimistic; ``sarima_validated`` keeps them apart.
     """
     pick = F.min_by(F.struct("order", "mae", "rmse", "mape"), F.struct("mae", "order"))
     best = scores.groupBy(*keys).agg(pick.alias("_b"))
@@ -177,18 +177,115 @@ def sarima_select(scores: DataFrame, months: DataFrame, keys: Keys = ()) -> Data
     return joined.withColumn("status", status)
 
 
-def sarima_future(months: DataFrame, selected: DataFrame, keys: Keys = (), horizon: int = 12) -> DataFrame:
-    """Forecast after the last month, from the chosen order refitted on the whole series.
+def sarima_validated(
+    months: DataFrame,
+    keys: Keys = (),
+    grid: Sequence[tuple[int, ...]] | None = None,
+    train_share: float = 0.8,
+    origins: int = 3,
+    window: int = 6,
+) -> DataFrame:
+    """Best candidate by rolling origins, and its errors on months that took no part in the choice.
 
-    A series that was too short or had no fit is one row with that ``status`` and no figures.
+    The last ``1 - train_share`` of a series are its test months. Of the months before, the last ``origins * window`` are
+    forecast in windows, each from all months before it; the candidate with the smallest mean absolute error over all windows
+    (ties by order), among those that could be fitted for each, is fitted on all months before the test. Both errors are
+    given: ``validation_mae``, and ``mae``, ``rmse``, ``mape`` of the test. A series with fewer than 24 months before its
+    first window is ``too_short``. Fits are rows of (series, candidate, origin).
     """
-    chosen = selected.filter(F.col("status") == "ok").select(*keys, "order")
-    rows = series_rows(months, keys)
-    paired = rows.join(chosen, list(keys)) if keys else rows.withColumn("order", chosen.scalar())
-    last = F.date_from_unix_date(F.element_at("days", -1).cast("int"))
-    todo = paired.select(*keys, F.col("y").alias("train"), last.alias("last"), F.lit(horizon).alias("steps"), "order")
-    fitted = materialise(_forecast_rows(_spread(todo, *keys) if keys else todo.filter(F.col("order").isNotNull())))
-    points = fitted.filter(F.col("forecast").isNotNull()).select(*keys, "order", "last", F.posexplode(F.arrays_zip("forecast", "spread")).alias("_h", "_v"))
+    orders = F.array(*(F.array(*(F.lit(v) for v in o)) for o in (grid or arima_grid())))
+    held = materialise(_hold_out(series_rows(months, keys), train_share))
+    first = F.size("train") - origins * window
+    enough = held.filter((first >= MIN_MONTHS) & (F.size("actual") > 0))
+    cut = first + F.col("_origin") * window
+    windows = enough.select("*", F.explode(F.sequence(F.lit(0), F.lit(origins - 1))).alias("_origin")).select(
+        *keys, F.slice("train", F.lit(1), cut).alias("train"), F.slice("train", cut + 1, F.lit(window)).alias("actual"),
+        F.lit(window).alias("steps"), "_origin", F.explode(orders).alias("order"),
+    )
+    gap = F.aggregate(F.zip_with("actual", "forecast", lambda a, b: F.abs(a - b)), F.lit(0.0), lambda x, y: x + y) / window
+    tried = _forecast_rows(_spread(windows, *keys, "order", "_origin")).filter(F.col("forecast").isNotNull())
+    scores = tried.groupBy(*keys, "order").agg(F.avg(gap).alias("validation_mae"), F.count(F.lit(1)).alias("_n")).filter(F.col("_n") == origins)
+    best = scores.groupBy(*keys).agg(F.min_by(F.struct("order", "validation_mae"), F.struct("validation_mae", "order")).alias("_b"))
+    chosen = materialise(best.select(*keys, "_b.*"))
+    ready = enough.select(*keys, "train", "actual", F.size("actual").alias("steps"))
+    paired = ready.join(chosen, list(keys)) if keys else ready.crossJoin(chosen.limit(1))
+    tested = _forecast_rows(_spread(paired, *keys) if keys else paired).filter(F.col("forecast").isNotNull())
+    points = tested.select(*keys, F.inline(F.arrays_zip(F.col("actual").alias("y"), "forecast")))
+    errors = regression_metrics(points, "y", "forecast", keys).select(*keys, "mae", "rmse", "mape")
+    sizes = held.select(*keys, F.col("n").cast("bigint").alias("n"), ((first >= MIN_MONTHS) & (F.size("actual") > 0)).alias("_enough"))
+    if keys:
+        out = sizes.join(chosen, list(keys), "left").join(errors, list(keys), "left")
+    else:
+        nothing = sizes.sparkSession.range(1).select()
+        out = sizes.crossJoin(nothing.join(chosen, how="left")).crossJoin(nothing.join(errors, how="left"))
+    status = F.when(~F.col("_enough"), "too_short").when(F.col("order").isNull(), "no_fit").otherwise("ok")
+    return out.select(*keys, "n", "order", "validation_mae", "mae", "rmse", "mape", status.alias("status"))
+
+
+# ---- stored models -----------------------------------------------------------------------------------------------------
+#
+# A fitted model is one row a series: what it needs to go on from its last month. Forecasting joins horizons to these rows and
+# fits nothing. Versions of the table are folders; readers take the newest one or the one they name.
+
+_ARIMA_STATE = "struct<theta array<double>, variance double, values array<double>, errors array<double>>"
+_ADDITIVE_STATE = "struct<start double, span double, scale double, noise double, changes array<double>, theta array<double>, beta array<double>>"
+
+
+def _mapped(rows: DataFrame, used: Sequence[str], made: dict[str, str], run) -> DataFrame:
+    """Replace the columns ``used`` by the columns ``made``, whose values ``run`` gives for each row."""
+
+    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            found = [run(*values) for values in zip(*(batch[c] for c in used))]
+            yield batch.drop(columns=list(used)).assign(**{c: [None if f is None else f[i] for f in found] for i, c in enumerate(made)})
+
+    schema = rows.drop(*used).withColumns({c: F.lit(None).cast(kind) for c, kind in made.items()}).schema
+    return rows.mapInPandas(work, schema)
+
+
+def _plain(state: dict | None) -> dict | None:
+    return None if state is None else {k: list(map(float, v)) if np.ndim(v) else float(v) for k, v in state.items()}
+
+
+def sarima_models(months: DataFrame, selected: DataFrame, keys: Keys = ()) -> DataFrame:
+    """The chosen order of each series fitted on all its months: ``keys, order, last, n, status, state``.
+
+    A series that was too short or has no fit keeps its ``status`` and has no state.
+    """
+    every = series_rows(months, keys).select(*keys, "y", F.date_from_unix_date(F.element_at("days", -1).cast("int")).alias("last"), "n")
+    picked = selected.select(*keys, "order", "status")
+    paired = every.join(picked, list(keys)) if keys else every.crossJoin(picked.limit(1))
+
+    def run(y, order, status):
+        found = arima.state(np.array(y, dtype=float), tuple(int(v) for v in order)) if status == "ok" else None
+        return (_plain(found), "no_fit" if status == "ok" and found is None else status)
+
+    todo = paired.withColumns({"_y": F.col("y"), "_order": F.col("order"), "_status": F.col("status")}).drop("y", "status")
+    return _mapped(_spread(todo, *keys) if keys else todo, ("_y", "_order", "_status"), {"state": _ARIMA_STATE, "status": "string"}, run)
+
+
+def _with_horizon(models: DataFrame, horizon: int | DataFrame, keys: Keys) -> DataFrame:
+    if not isinstance(horizon, DataFrame):
+        return models.withColumn("steps", F.lit(horizon))
+    wanted = horizon.select(*keys, F.col("steps").cast("int").alias("steps"))
+    return models.join(wanted, list(keys)) if keys else models.crossJoin(wanted.limit(1))
+
+
+def sarima_ahead(models: DataFrame, keys: Keys = (), horizon: int | DataFrame = 12) -> DataFrame:
+    """Months after each series' last one from stored models; ``horizon`` is one number or a table (keys, steps).
+
+    A series without state is one row with its ``status`` and no figures.
+    """
+    asked = _with_horizon(models, horizon, keys)
+    able = asked.filter((F.col("status") == "ok") & (F.col("steps") > 0)).select(*keys, "order", "last", "state", F.col("order").alias("_order"), "steps")
+
+    def run(state, order, steps):
+        found = arima.ahead(state, tuple(int(v) for v in order), int(steps))
+        return None if found is None else (list(found[0]), list(found[1]))
+
+    made = _mapped(able, ("state", "_order", "steps"), {"forecast": "array<double>", "spread": "array<double>"}, run)
+    done = materialise(made)
+    points = done.filter(F.col("forecast").isNotNull()).select(*keys, "order", "last", F.posexplode(F.arrays_zip("forecast", "spread")).alias("_h", "_v"))
     mean, spread = F.col("_v.forecast"), F.col("_v.spread")
     ahead = points.select(
         *keys,
@@ -198,11 +295,62 @@ def sarima_future(months: DataFrame, selected: DataFrame, keys: Keys = (), horiz
         (mean - NORMAL_95 * spread).alias("lower_bound"),
         (mean + NORMAL_95 * spread).alias("upper_bound"),
     )
-    out = _with_short(ahead, selected.filter(F.col("status") != "ok"), keys, F.col("status"))
-    failed = fitted.filter(F.col("forecast").isNull())
+    out = _with_short(ahead, asked.filter(F.col("status") != "ok"), keys, F.col("status"))
+    failed = done.filter(F.col("forecast").isNull())
     return out.unionByName(failed.select(*keys, F.lit("no_fit").alias("status")), allowMissingColumns=True)
 
 
+def sarima_future(months: DataFrame, selected: DataFrame, keys: Keys = (), horizon: int = 12) -> DataFrame:
+    """Forecast after the last month, from the chosen order fitted on the whole series.
+
+    A series that was too short or had no fit is one row with that ``status`` and no figures.
+    """
+    return sarima_ahead(materialise(sarima_models(months, selected, keys)), keys, horizon)
+
+
+def additive_models(months: DataFrame, keys: Keys = (), change_scale: float = 0.05) -> DataFrame:
+    """The additive model of each series: ``keys, last, n, status, state``; a series of one month is ``too_short``."""
+    every = series_rows(months, keys).select(*keys, "y", "days", F.date_from_unix_date(F.element_at("days", -1).cast("int")).alias("last"), "n")
+
+    def run(y, days):
+        if len(y) < 2:
+            return None, "too_short"
+        return _plain(AdditiveModel(np.array(days, dtype=float), np.array(y, dtype=float), change_scale).state()), "ok"
+
+    return _mapped(_spread(every, *keys) if keys else every, ("y", "days"), {"state": _ADDITIVE_STATE, "status": "string"}, run)
+
+
+def additive_ahead(models: DataFrame, keys: Keys = (), horizon: int | DataFrame = 24, freq: str = "M", level: float = 0.95) -> DataFrame:
+    """Months (``M``) or days (``D``) after each series' last day from stored models, with components."""
+    if freq not in ("M", "D"):
+        raise ValueError("freq must be 'M' or 'D'")
+    asked = _with_horizon(models, horizon, keys)
+    step = (lambda h: F.last_day(F.add_months("last", h))) if freq == "M" else (lambda h: F.date_add("last", h))
+    able = asked.filter((F.col("status") == "ok") & (F.col("steps") > 0))
+    target = F.transform(F.sequence(F.lit(1), F.col("steps")), lambda h: F.unix_date(step(h)).cast("double"))
+    todo = able.select(*keys, "state", target.alias("target_days"), target.alias("_days"))
+
+    def run(state, days):
+        found = AdditiveModel.restored(state).predict(np.array(days, dtype=float), level)
+        return tuple(list(found[p]) for p in _PARTS)
+
+    points = _mapped(todo, ("state", "_days"), {p: "array<double>" for p in _PARTS}, run)
+    shown = points.select(*keys, F.inline(F.arrays_zip("target_days", *_PARTS)))
+    ahead = shown.select(*keys, F.date_from_unix_date(F.col("target_days").cast("int")).alias("ds"), *_PARTS)
+    return _with_short(ahead, asked.filter(F.col("status") != "ok"), keys, F.col("status"))
+
+
+def save_models(models: DataFrame, path: str, version: int) -> None:
+    """Write a table of models as a version of its own under ``path``; a version written again is replaced as a whole."""
+    models.write.mode("overwrite").parquet(f"{path}/version={int(version)}")
+
+
+def load_models(spark: SparkSession, path: str, version: int | None = None) -> DataFrame:
+    """The named version of a table of models, else the newest; ``version`` is a column. Only its folder is read."""
+    table = spark.read.option("basePath", path).parquet(path if version is None else f"{path}/version={int(version)}")
+    return table.filter(F.col("version") == table.agg(F.max("version")).scalar()) if version is None else table
+
+
 # ---- trend and seasonality ---------------------------------------------------------------------------------------------
 
 _PARTS = ("forecast", "lower_bound", "upper_bound", "trend", "yearly", "monthly")

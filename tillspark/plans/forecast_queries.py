@@ -9,7 +9,7 @@ from tillspark.operators import forecast, series, stats
 from tillspark.plans.kpi_queries import monthly
 from tillspark.plans.model_queries import once
 from tillspark.plans.registry import query
-from tillspark.session import materialise
+from tillspark.session import materialise, scratch_path
 from tillspark.sources.star import sales
 
 KEYS = ("category",)
@@ -65,9 +65,46 @@ def fc_sarima_test(spark, d):
     return sarima_grid(spark, d).join(chosen, [*KEYS, "order"])
 
 
+@query("fc_sarima_validated")
+def fc_sarima_validated(spark, d):
+    """Chosen on rolling windows before the test months, scored on the test months."""
+    return forecast.sarima_validated(category_series(spark, d), KEYS)
+
+
+def stored(spark, name, models):
+    """A table of models as a reader finds it: written as a version, and read back."""
+    path = scratch_path(spark, name)
+    forecast.save_models(models, path, 1)
+    return forecast.load_models(spark, path)
+
+
 @query("fc_sarima_future")
 def fc_sarima_future(spark, d):
-    return forecast.sarima_future(category_series(spark, d), sarima_selected(spark, d), KEYS, 12)
+    """Forecast from stored coefficients; nothing is fitted after the table has been written."""
+    models = forecast.sarima_models(category_series(spark, d), sarima_selected(spark, d), KEYS)
+    return forecast.sarima_ahead(stored(spark, "sarima-models", models), KEYS, 12)
+
+
+def distance(a, b):
+    """Points of two forecasts and how far they are apart at most."""
+    pairs = a.alias("a").join(b.alias("b"), [*KEYS, "ds"])
+    apart = [F.abs(F.col(f"a.{c}") - F.col(f"b.{c}")) / F.greatest(F.abs(F.col(f"b.{c}")), F.lit(1.0)) for c in ("forecast", "lower_bound", "upper_bound")]
+    return pairs.groupBy(*KEYS).agg(X.rows().alias("points"), F.max(F.greatest(*apart)).alias("largest_difference"))
+
+
+@query("snk_model_sarima")
+def snk_model_sarima(spark, d):
+    """Forecasts of the stored ARIMA models against models that are fitted anew."""
+    series_, chosen = category_series(spark, d), sarima_selected(spark, d)
+    saved = forecast.sarima_ahead(stored(spark, "sarima-models", forecast.sarima_models(series_, chosen, KEYS)), KEYS, 12)
+    return distance(saved, forecast.sarima_future(series_, chosen, KEYS, 12))
+
+
+@query("snk_model_additive")
+def snk_model_additive(spark, d):
+    """Forecasts of the stored additive models against models that are fitted anew."""
+    saved = forecast.additive_ahead(stored(spark, "additive-models", forecast.additive_models(category_series(spark, d), KEYS)), KEYS, 24)
+    return distance(saved, forecast.additive_forecast(category_series(spark, d), KEYS, 24))
 
 
 @query("fc_sarima_total")
