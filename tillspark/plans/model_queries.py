@@ -6,7 +6,7 @@ from pyspark.ml import PipelineModel
 from pyspark.sql import functions as F
 
 from tillspark.functions import exprs as X
-from tillspark.operators import anomaly, attribution, cluster, isolation, kpi, model, segment, stats
+from tillspark.operators import anomaly, attribution, cluster, isolation, kpi, model, segment, series, stats
 from tillspark.plans.kpi_queries import daily
 from tillspark.plans.registry import query, rounded
 from tillspark.schemas import NUMERIC_COLUMNS
@@ -176,6 +176,17 @@ def anom_iforest(spark, d):
     return rounded(flagged, "score", digits=6)
 
 
+@query("anom_records")
+def anom_records(spark, d):
+    """One request a category, its days as JSON records, with sensitivities of its own; all answered in one job."""
+    lines = sales(spark, d, "category", "date_of_sale", "total_amount")
+    days = series.daily_totals(lines, ("category",))
+    record = F.struct(F.col("sale_date").cast("string").alias("date"), X.double("daily_total").alias("sales"))
+    asked = days.groupBy(F.col("category").alias("request_id")).agg(F.to_json(F.sort_array(F.collect_list(record))).alias("records"))
+    share = F.lit(0.02) + F.pmod(F.crc32("request_id"), F.lit(4)) * 0.02
+    return rounded(isolation.detect(asked.withColumn("sensitivity", share)), "score", digits=6)
+
+
 @query("flt_mask")
 def flt_mask(spark, d):
     """The highest and lowest flagged days."""
