@@ -12,26 +12,37 @@ from tillspark.operators import ordering
 from tillspark.schemas import NUMERIC_COLUMNS
 
 
-def profile(df: DataFrame, approximate: bool = False) -> DataFrame:
-    """One row per column: type, rows, nulls and distinct values, from one aggregation."""
-    distinct = F.approx_count_distinct if approximate else F.count_distinct
+def profile(df: DataFrame, approximate: bool = False, samples: int = 3, sample_by: Sequence[str] | None = None) -> DataFrame:
+    """One row per column: type, rows, nulls, distinct values and ``samples`` values, in the order of the columns.
+
+    The table is read once for the figures, whatever its width: cells go out as (column, 128-bit hash), equal ones combined
+    map-side; with ``approximate`` a sketch a column takes the place of the count. The sampled rows are those with the smallest
+    checksum of ``sample_by`` (all columns by default), so they don't depend on how the table is split.
+    """
     kinds = dict(df.dtypes)
-    figures = df.agg(
-        X.rows().alias("rows"),
-        *(F.count_if(F.col(c).isNull()).alias(f"{c}|nulls") for c in df.columns),
-        *(distinct(c).alias(f"{c}|distinct") for c in df.columns),
-    )
-    lines = [
-        F.struct(
-            F.lit(c).alias("column_name"),
-            F.lit(kinds[c]).alias("data_type"),
-            F.col("rows").alias("row_count"),
-            F.col(f"{c}|nulls").alias("null_count"),
-            F.col(f"{c}|distinct").alias("distinct_count"),
-        )
-        for c in df.columns
+    cells = [
+        F.struct(F.lit(i).alias("place"), F.xxhash64(c).alias("a"), F.xxhash64(F.lit(1), c).alias("b"), F.col(c).isNull().alias("missing"))
+        for i, c in enumerate(df.columns)
     ]
-    return figures.select(F.inline(F.array(*lines)))
+    long = df.select(F.inline(F.array(*cells)))
+    if approximate:
+        counted = long.groupBy("place").agg(
+            X.rows().alias("row_count"), F.count_if("missing").alias("null_count"), F.approx_count_distinct(F.when(~F.col("missing"), F.col("a"))).alias("distinct_count")
+        )
+    else:
+        values = long.groupBy("place", "a", "b", "missing").agg(X.rows().alias("n"))
+        counted = values.groupBy("place").agg(
+            F.sum("n").alias("row_count"), F.coalesce(F.sum(F.when(F.col("missing"), F.col("n"))), F.lit(0)).alias("null_count"), F.count_if(~F.col("missing")).alias("distinct_count")
+        )
+    key = F.md5(F.concat_ws("|", *(F.col(c).cast("string") for c in (sample_by or df.columns))))
+    shown = df.select(key.alias("_key"), F.array(*(F.coalesce(F.col(c).cast("string"), F.lit("null")) for c in df.columns)).alias("_shown"))
+    drawn = shown.orderBy("_key", "_shown").limit(samples).agg(F.sort_array(F.collect_list(F.struct("_key", "_shown"))).alias("s")).scalar()
+    names = F.array(*(F.struct(F.lit(i).alias("place"), F.lit(c).alias("column_name"), F.lit(kinds[c]).alias("data_type")) for i, c in enumerate(df.columns)))
+    columns = df.sparkSession.range(1).select(F.inline(names))
+    told = columns.join(counted, "place", "left").withColumn("_drawn", drawn)
+    told = told.withColumn("samples", F.array_join(F.transform("_drawn", lambda r: r["_shown"][F.col("place")]), " | "))
+    zero = [F.coalesce(c, F.lit(0)).cast("bigint").alias(c) for c in ("row_count", "null_count", "distinct_count")]
+    return told.orderBy("place").select("column_name", "data_type", *zero, "samples")
 
 
 def parse_timestamps(df: DataFrame, *columns: str) -> DataFrame:

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from functools import reduce
-from multiprocessing.pool import ThreadPool
+from math import inf
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.ml import Pipeline
-from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import PCA, StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
@@ -22,7 +24,8 @@ FEATURES = (
 )
 
 
-MAX_ITERATIONS = 300  # of one K-Means fit; it stops earlier when the centres stand still
+MAX_ITERATIONS = 300  # of a K-Means fit; it stops earlier when the centres stand still
+STARTING_ROWS = 4096  # rows that starting centres are drawn from
 
 
 def scaled(customers: DataFrame, features: Sequence[str] = FEATURES) -> DataFrame:
@@ -36,28 +39,77 @@ def scaled(customers: DataFrame, features: Sequence[str] = FEATURES) -> DataFram
     return materialise(Pipeline(stages=stages).fit(table).transform(table).drop("_raw"))
 
 
-def _fit(points: DataFrame, k: int, starts: int, seed: int):
-    models = (KMeans(k=k, seed=seed + i, maxIter=MAX_ITERATIONS).fit(points) for i in range(starts))
-    return min(models, key=lambda m: m.summary.trainingCost)
+def starting_centres(points: DataFrame, jobs: Sequence[tuple[int, int]], size: int = STARTING_ROWS) -> list[np.ndarray]:
+    """Centres for each (k, seed), drawn by k-means++ from at most ``size`` rows: those with the smallest hashes."""
+    x = vector_to_array("features")
+    rows = points.select(x.alias("x")).orderBy(F.xxhash64("x"), "x").limit(size).toArrow().column("x").to_pylist()
+    sample = np.array(rows, float)
 
+    def drawn(k: int, seed: int) -> np.ndarray:
+        random = np.random.default_rng([seed, k])
+        chosen = [int(random.integers(len(sample)))]
+        far = ((sample - sample[chosen[0]]) ** 2).sum(axis=1)
+        while len(chosen) < min(k, len(sample)):
+            weight = far / far.sum() if far.sum() > 0 else np.full(len(far), 1 / len(far))
+            chosen.append(int(random.choice(len(sample), p=weight)))
+            far = np.minimum(far, ((sample - sample[chosen[-1]]) ** 2).sum(axis=1))
+        return sample[chosen]
+
+    return [drawn(*job) for job in jobs]
 
-def elbow(points: DataFrame, max_k: int = 10, starts: int = 10, seed: int = 42, parallelism: int = 8) -> DataFrame:
-    """Inertia for k = 1..max_k, best of ``starts`` initialisations. One cluster is the sum of squared norms."""
-    spark = points.sparkSession
-    rows = points.count()
-    squares = F.aggregate(F.transform(vector_to_array("features"), lambda v: v * v), F.lit(0.0), lambda a, v: a + v)
-    one = points.agg(F.sum(squares)).first()[0]
-    jobs = [(k, seed + i) for k in range(2, min(max_k, rows) + 1) for i in range(starts)]
 
-    def cost(job: tuple[int, int]) -> float:
-        return KMeans(k=job[0], seed=job[1], maxIter=MAX_ITERATIONS).fit(points).summary.trainingCost
+def lloyd(points: DataFrame, starts: Sequence[np.ndarray], iterations: int = MAX_ITERATIONS, tolerance: float = 1e-4) -> tuple[list[np.ndarray], np.ndarray]:
+    """Centres and inertia of many K-Means fits that move together: one scan and one aggregation an iteration for all of them.
 
-    with ThreadPool(parallelism) as pool:  # independent fits share the cluster, as in cross-validation
-        costs = pool.map(cost, jobs)
-    best = {1: float(one)}
+    Every task adds up, for each centre of each fit, its rows; what comes back is one row a centre, whatever the number of rows. A
+    centre without rows stays. A fit is done when no centre moves by more than ``tolerance``; the inertia belongs to the
+    centres it then has. ``points`` should have been written, as each iteration reads them.
+    """
+    centres, cost = [np.array(c, float) for c in starts], np.full(len(starts), np.nan)
+    active = list(range(len(centres)))
+    vectors = points.select(vector_to_array("features").alias("x"))
+    for step in range(iterations + 1):
+        if not active:
+            break
+        held = {f: centres[f] for f in active}
+
+        def add(batches: Iterator[pa.RecordBatch], held: dict[int, np.ndarray] = held) -> Iterator[pa.RecordBatch]:
+            sums = {f: np.zeros((len(c), c.shape[1] + 2)) for f, c in held.items()}  # sums, rows, inertia
+            for batch in batches:
+                x = np.array(batch.column("x").flatten()).reshape(batch.num_rows, -1)
+                for f, c in held.items():
+                    far = ((x[:, None, :] - c[None, :, :]) ** 2).sum(axis=2)
+                    near = far.argmin(axis=1)
+                    for k, own in enumerate(np.equal.outer(np.arange(len(c)), near)):
+                        sums[f][k] += [*x[own].sum(axis=0), own.sum(), far[own, k].sum()]
+            rows = [(f, k, i, v) for f, s in sums.items() for k, row in enumerate(s) for i, v in enumerate(row.tolist())]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.int32(), pa.int32(), pa.float64()))], names=["fit", "centre", "place", "value"])
+
+        summed = vectors.mapInArrow(add, "fit int, centre int, place int, value double").groupBy("fit", "centre", "place").agg(F.sum("value").alias("value")).toArrow()
+        width = centres[0].shape[1]
+        total = {f: np.zeros((len(c), width + 2)) for f, c in held.items()}
+        for f, k, i, v in zip(*(summed.column(c).to_pylist() for c in ("fit", "centre", "place", "value"))):
+            total[f][k, i] = v
+        for f in list(active):
+            rows = total[f][:, [width]]
+            moved = np.where(rows > 0, total[f][:, :width] / np.maximum(rows, 1), centres[f])
+            cost[f] = total[f][:, -1].sum()
+            if step == iterations or np.sqrt(((moved - centres[f]) ** 2).sum(axis=1)).max() <= tolerance:
+                active.remove(f)
+            else:
+                centres[f] = moved
+    return centres, cost
+
+
+def elbow(points: DataFrame, max_k: int = 10, starts: int = 10, seed: int = 42) -> DataFrame:
+    """Inertia for k = 1..max_k, best of ``starts`` initialisations; no table without rows."""
+    rows = points.count()
+    jobs = [(k, seed + i) for k in range(1, min(max_k, rows) + 1) for i in range(starts if k > 1 else 1)]
+    costs = lloyd(points, starting_centres(points, jobs))[1] if jobs else []
+    best: dict[int, float] = {}
     for (k, _), value in zip(jobs, costs):
-        best[k] = min(best.get(k, value), value)
-    return spark.createDataFrame(sorted(best.items()), "k int, inertia double")
+        best[k] = min(best.get(k, inf), float(value))
+    return points.sparkSession.createDataFrame(sorted(best.items()), "k int, inertia double")
 
 
 def pick_k(inertia: Sequence[float], default: int = 3, bend: float = 2.0) -> int:
@@ -70,8 +122,18 @@ def pick_k(inertia: Sequence[float], default: int = 3, bend: float = 2.0) -> int
 
 
 def assign(points: DataFrame, k: int, starts: int = 10, seed: int = 42) -> DataFrame:
-    """Cluster of every customer."""
-    return _fit(points, k, starts, seed).transform(points).withColumnRenamed("prediction", "cluster")
+    """Cluster of every customer, from the best of the fits that ``elbow`` makes for this ``k``."""
+    centres, cost = lloyd(points, starting_centres(points, [(k, seed + i) for i in range(starts)]))
+    best = centres[int(np.argmin(cost))]
+    # equal clusters get equal numbers in every run: by their centres
+    best = best[np.lexsort(best.T[::-1])]
+
+    @F.pandas_udf("int")
+    def nearest(x: pd.Series) -> pd.Series:
+        rows = np.stack(x.to_numpy()) if len(x) else np.zeros((0, best.shape[1]))
+        return pd.Series(((rows[:, None, :] - best[None, :, :]) ** 2).sum(axis=2).argmin(axis=1))
+
+    return points.withColumn("cluster", nearest(vector_to_array("features")))
 
 
 def project(points: DataFrame) -> DataFrame:

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import functions as F
 
 from tillspark.functions import exprs as X
 from tillspark.operators import anomaly, clean, kpi, segment, series
 from tillspark.plans.kpi_queries import PRICE_CASE_SQL, PRICE_LIMITS, daily, monthly
 from tillspark.plans.registry import query, rounded
-from tillspark.schemas import CSV_HEADERS, NUMERIC_COLUMNS, SALES_TRANSACTIONS, conform
-from tillspark.session import materialise
+from tillspark.schemas import CSV_HEADERS, ERP_SALES, NUMERIC_COLUMNS, SALES_TRANSACTIONS, conform
+from tillspark.session import materialise, scratch_path
 from tillspark.sources import files, star
 from tillspark.sources.star import sales
 
@@ -43,9 +45,35 @@ ERP_COLUMNS = tuple(CSV_HEADERS.values())
 ERP_SQL = ", ".join("d AS date_of_sale" if c == "date_of_sale" else c for c in ERP_COLUMNS)
 
 
-@query("src_table_erp", f"SELECT {ERP_SQL} FROM sales")
+ERP_TYPED = "WITH erp AS (SELECT CAST(transaction_id AS INTEGER) AS transaction_id, customer_name, product_name, category, quantity_sold, " \
+    "CAST(price AS DECIMAL(10,2)) AS price, CAST(total_amount AS DECIMAL(10,2)) AS total_amount, payment_method, location, " \
+    "d AS date_of_sale, stock_availability, employee_name, erp_module FROM sales)"
+
+
+def erp(spark, d):
+    """The sales table in its declared types."""
+    return conform(sales(spark, d, *ERP_SALES.names), ERP_SALES)
+
+
+@query("src_table_erp", f"{ERP_TYPED} SELECT * FROM erp")
 def src_table_erp(spark, d):
-    return sales(spark, d, *ERP_COLUMNS).withColumn("date_of_sale", X.as_date("date_of_sale"))
+    return erp(spark, d)
+
+
+@query(
+    "src_table_month",
+    f"""{ERP_TYPED} SELECT date_of_sale, category, count(*) AS lines, CAST(sum(total_amount) AS DOUBLE) AS total_sales FROM erp
+    WHERE date_of_sale BETWEEN (SELECT max(date_of_sale) FROM erp) - INTERVAL 29 DAY AND (SELECT max(date_of_sale) FROM erp) GROUP BY 1, 2""",
+)
+def src_table_month(spark, d):
+    """The typed table in month folders; of the last thirty days one or two are read."""
+    path = scratch_path(spark, "erp-sales")
+    files.write_sales(erp(spark, d), path)
+    last = files.last_month(spark, path).agg(F.max("date_of_sale")).first()[0]
+    if last is None:
+        return kpi.group(files.read_sales(spark, path), ["date_of_sale", "category"], lines=X.rows(), total_sales=X.total("total_amount"))
+    recent = files.read_sales(spark, path, last - dt.timedelta(days=29), last)
+    return kpi.group(recent, ["date_of_sale", "category"], lines=X.rows(), total_sales=X.total("total_amount"))
 
 
 @query(
@@ -68,16 +96,34 @@ def src_csv(spark, d):
     return files.read_csv(spark, path).select(*(F.col(c) for c in ERP_COLUMNS))
 
 
+PROFILE_KEY = ("transaction_id", "product_name", "quantity_sold", "total_amount", "employee_name")
+
+
 @query(
     "src_profile",
-    " UNION ALL ".join(
-        f"""SELECT '{c}' AS column_name, '{kind}' AS data_type, count(*) AS row_count,
-        count(*) FILTER ({c} IS NULL) AS null_count, count(DISTINCT {c}) AS distinct_count FROM sales"""
-        for c, kind in (("category", "string"), ("quantity_sold", "int"), ("total_amount", "decimal(12,2)"), ("location", "string"))
+    f"{ERP_TYPED}, drawn AS (SELECT * FROM (SELECT *, row_number() OVER (ORDER BY md5(concat_ws('|', {', '.join(PROFILE_KEY)}))) AS k FROM erp) WHERE k <= 3) "
+    + " UNION ALL ".join(
+        f"""SELECT '{f.name}' AS column_name, '{f.dataType.simpleString()}' AS data_type, count(*) AS row_count,
+        count(*) FILTER ({f.name} IS NULL) AS null_count, count(DISTINCT {f.name}) AS distinct_count,
+        (SELECT string_agg(coalesce(CAST({f.name} AS VARCHAR), 'null'), ' | ' ORDER BY k) FROM drawn) AS samples FROM erp"""
+        for f in ERP_SALES
     ),
 )
 def src_profile(spark, d):
-    return clean.profile(sales(spark, d, "category", "quantity_sold", "total_amount", "location"))
+    return clean.profile(erp(spark, d), sample_by=PROFILE_KEY)
+
+
+@query(
+    "src_profile_sketch",
+    f"{ERP_TYPED} " + " UNION ALL ".join(
+        f"SELECT '{f.name}' AS column_name, count(*) AS row_count, count(*) FILTER ({f.name} IS NULL) AS null_count, true AS near FROM erp" for f in ERP_SALES
+    ),
+)
+def src_profile_sketch(spark, d):
+    """Distinct values by sketch, held against the exact ones: within a fifth of them (four standard errors)."""
+    exact = clean.profile(erp(spark, d), samples=1).select("column_name", F.col("distinct_count").alias("exact"))
+    told = clean.profile(erp(spark, d), approximate=True, samples=1).join(exact, "column_name")
+    return told.select("column_name", "row_count", "null_count", (F.abs(F.col("distinct_count") - F.col("exact")) <= 0.2 * F.col("exact")).alias("near"))
 
 
 @query("src_records", "SELECT sale_date AS date, CAST(daily_total AS DOUBLE) AS sales FROM daily")

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from tillspark.operators import kpi, series
 from tillspark.plans.registry import query, rounded
+from tillspark.sources import files
 from tillspark.sources.star import event_sales, order_amounts, sales
 
 PRICE_LIMITS = (850, 1700, 2600, 5000)  # about the quintiles of the test tables' unit prices
@@ -365,3 +368,19 @@ def view_top_customers(spark, d):
 )
 def win_rank(spark, d):
     return kpi.employee_ranking(sales(spark, d, "employee_name", "total_amount"))
+
+
+@query(
+    "agg_distinct_sketch",
+    """SELECT year(d) AS year, quarter(d) AS quarter, count(*) AS lines, CAST(sum(total_amount) AS DOUBLE) AS total_sales,
+    count(DISTINCT customer_name) AS unique_customers, true AS near FROM sales GROUP BY 1, 2""",
+)
+def agg_distinct_sketch(spark, d):
+    """Customers of each quarter out of one table of daily sketches, held against the exact count: within four standard errors."""
+    lines = sales(spark, d, "customer_name", "date_of_sale", "total_amount")
+    table = files.write_table(kpi.daily_sketches(lines), name="daily-sketches")
+    by = [F.year("sale_date").alias("year"), F.quarter("sale_date").alias("quarter")]
+    exact = lines.groupBy(F.year("date_of_sale").alias("year"), F.quarter("date_of_sale").alias("quarter")).agg(F.count_distinct("customer_name").alias("unique_customers"))
+    told = kpi.united(table, by).join(exact, ["year", "quarter"])
+    bound = F.greatest(4 * 0.01625 * F.col("unique_customers"), F.lit(1.0))
+    return told.select("year", "quarter", "lines", "total_sales", "unique_customers", (F.abs(F.col("about_distinct") - F.col("unique_customers")) <= bound).alias("near"))

@@ -165,16 +165,20 @@ VIEWS = {
 
 @query(
     "snk_view",
-    """SELECT 'daily' AS view_name, count(DISTINCT d) AS lines FROM sales
-    UNION ALL SELECT 'stores', count(DISTINCT store_id) FROM sales
-    UNION ALL SELECT 'customers', count(DISTINCT customer_name) FROM sales""",
+    """WITH t AS (SELECT count(DISTINCT d) AS days, count(DISTINCT year(d) * 12 + month(d)) AS months, count(DISTINCT product_category) AS categories,
+      count(DISTINCT customer_name) AS customers, count(DISTINCT store_id) AS stores, count(DISTINCT dayofweek(d)) AS weekdays, count(DISTINCT product_name || '|' || product_category) AS products FROM sales),
+    z AS (SELECT avg(CAST(daily_total AS DOUBLE)) AS m, stddev_pop(CAST(daily_total AS DOUBLE)) AS sd FROM daily)
+    SELECT 'vw_daily_sales_overview' AS view_name, days AS lines FROM t UNION ALL SELECT 'vw_monthly_sales_trends', months FROM t
+    UNION ALL SELECT 'vw_product_category_performance', categories FROM t UNION ALL SELECT 'vw_customer_purchase_patterns', customers FROM t
+    UNION ALL SELECT 'vw_store_performance', stores FROM t UNION ALL SELECT 'vw_sales_by_day_of_week', weekdays FROM t
+    UNION ALL SELECT 'vw_sales_by_hour', (SELECT count(DISTINCT hour(ts)) FROM events)
+    UNION ALL SELECT 'vw_top_selling_products', products FROM t UNION ALL SELECT 'vw_top_customers', customers FROM t
+    UNION ALL SELECT 'vw_sales_anomalies', (SELECT count(*) FROM daily, z WHERE abs((CAST(daily_total AS DOUBLE) - m) / sd) > 2.5)""",
 )
 def snk_view(spark, d):
-    """Publish all ten dashboard views over the fact, then count the rows of three of them through SQL."""
+    """Publish the ten dashboard views, nine over the sales fact and hours over the events, and count each through SQL."""
     columns = ("product_name", "product_category", "store_id", "price", *LINES)
-    files.publish_views(sales(spark, d, *columns), VIEWS)
-    return spark.sql(
-        """SELECT 'daily' AS view_name, count(*) AS lines FROM vw_daily_sales_overview
-        UNION ALL SELECT 'stores', count(*) FROM vw_store_performance
-        UNION ALL SELECT 'customers', count(*) FROM vw_customer_purchase_patterns"""
-    )
+    hours = "vw_sales_by_hour"
+    named = files.publish_views(sales(spark, d, *columns), {n: v for n, v in VIEWS.items() if n != hours})
+    named += files.publish_views(event_sales(spark, d), {hours: VIEWS[hours]})
+    return spark.sql(" UNION ALL ".join(f"SELECT '{n}' AS view_name, count(*) AS lines FROM {n}" for n in named))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -71,6 +72,31 @@ def write_sales(sales: DataFrame, path: str, ts: str = "date_of_sale") -> None:
     spread.write.mode("overwrite").partitionBy("sale_month").parquet(path)
 
 
+def read_sales(spark: SparkSession, path: str, first: dt.date | None = None, last: dt.date | None = None, ts: str = "date_of_sale") -> DataFrame:
+    """Sales of the days ``first`` to ``last`` from the month folders of ``write_sales``; folders of other months are not opened."""
+    lines = spark.read.parquet(path)
+    month, day = F.col("sale_month"), F.to_date(ts)
+    if first is not None:
+        lines = lines.filter((month >= first.strftime("%Y-%m")) & (day >= F.lit(first)))
+    if last is not None:
+        lines = lines.filter((month <= last.strftime("%Y-%m")) & (day <= F.lit(last)))
+    return lines
+
+
+def sales_on(spark: SparkSession, path: str, days: DataFrame, ts: str = "date_of_sale") -> DataFrame:
+    """Sales of the days of a table (column ``sale_date``): its months prune the folders when the join runs."""
+    spine = days.select(F.to_date("sale_date").alias("_day"), F.date_format("sale_date", "yyyy-MM").alias("_month")).distinct()
+    lines = spark.read.parquet(path)
+    return lines.join(spine, (lines["sale_month"] == F.col("_month")) & (F.to_date(lines[ts]) == F.col("_day")), "left_semi")
+
+
+def last_month(spark: SparkSession, path: str) -> DataFrame:
+    """Sales of the newest month folder, whose name is found without reading a row."""
+    lines = spark.read.parquet(path)
+    newest = lines.select("sale_month").distinct().agg(F.max("sale_month")).first()[0]
+    return lines.filter(F.col("sale_month") == newest)
+
+
 def write_table(df: DataFrame, path: str | None = None, name: str = "table") -> DataFrame:
     """Write a result to the shared folder and return a frame that reads it."""
     path = path or scratch_path(df.sparkSession, name)
