@@ -124,7 +124,7 @@ def numeric_statistics(sales: DataFrame, labels: dict[str, str] | None = None) -
     """Mean, upper median, population spread and range of several metrics from one scan of the table."""
     labels = labels or METRIC_LABELS
     counts = ordering.value_counts(sales, list(labels))
-    median = ordering.order_statistics(counts, lambda n: {"median": F.floor(n / 2) + 1})
+    median = ordering.order_statistics(counts, lambda n: {"median": n // 2 + 1})
     return ordering.moments(counts).join(median.select("metric", "median"), "metric").select(
         X.recode("metric", labels).alias("metric"),
         "mean",

@@ -8,9 +8,11 @@ range-partitioned rows are checkpointed: range bounds come from a sample, and bo
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from math import ceil, floor, inf, nan
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tillspark.session import materialise
 
@@ -119,49 +121,96 @@ def _common_type(df: DataFrame, columns: Sequence[str]) -> str:
 
 
 def value_counts(df: DataFrame, columns: Sequence[str], keep_nulls: bool = False) -> DataFrame:
-    """How often each value of each column occurs: (metric, value, n).
+    """The values of each column in long form: (metric, value, n), with n = 1.
 
-    One scan feeds every statistic below. Repeated values, hot ones above all, shrink map-side before the shuffle.
+    The columns are written once, as every statistic below reads them some times over. Nothing is shuffled: each statistic adds up
+    within its map tasks, so neither values that are nearly all different nor hot ones move.
     """
     cast = _common_type(df, columns)
-    pairs = F.array(*(F.struct(F.lit(c).alias("metric"), F.col(c).cast(cast).alias("value")) for c in columns))
-    long = df.select(F.inline(pairs))
-    if not keep_nulls:
-        long = long.filter(F.col("value").isNotNull())
-    return materialise(long.groupBy("metric", "value").agg(F.count(F.lit(1)).alias("n")))
+    narrow = materialise(df.select(*(F.col(c).cast(cast).alias(f"c{i}") for i, c in enumerate(columns))))
+    pairs = F.array(*(F.struct(F.lit(c).alias("metric"), F.col(f"c{i}").alias("value"), F.lit(1).cast("bigint").alias("n")) for i, c in enumerate(columns)))
+    long = narrow.select(F.inline(pairs))
+    return long if keep_nulls else long.filter(F.col("value").isNotNull())
 
 
-def _sizes(counts: DataFrame) -> DataFrame:
-    """Rows per metric and in the metrics before it: one row per measured column."""
-    sizes = counts.groupBy("metric").agg(F.sum("n").alias("rows"))
-    first = Window.orderBy("metric").rowsBetween(Window.unboundedPreceding, -1)
-    return sizes.withColumn("start", F.coalesce(F.sum("rows").over(first), F.lit(0)))
+CELLS = 4096  # parts that an interval of values is cut into when a rank is looked for
 
 
-def _placed(counts: DataFrame) -> DataFrame:
-    """Value counts with ``rows`` of their metric and ``low``, the rows with smaller values, by a distributed running total."""
-    placed = running_total(counts, ["metric", "value"], "n", "before")
-    return placed.join(F.broadcast(_sizes(counts)), "metric").withColumn("low", F.col("before") - F.col("start"))
+def _cut(value: str, low: str, high: str) -> str:
+    """SQL number of the part of an interval, 0 to CELLS - 1, that a value lies in; it never falls as values rise."""
+    share = f"double({value} - {low}) / double({high} - {low})"
+    wide = f"(double({value}) / 2 - double({low}) / 2) / (double({high}) / 2 - double({low}) / 2)"  # where the difference overflows
+    return f"least({CELLS - 1}, int({CELLS} * if(double({high} - {low}) < double('inf'), {share}, {wide})))"
 
 
-def order_statistics(counts: DataFrame, ranks: Callable[[Column], dict[str, Column]]) -> DataFrame:
-    """Exact elements at given 1-based ranks, one row per metric.
+def order_statistics(counts: DataFrame, ranks: Callable[[int], dict[str, int]]) -> DataFrame:
+    """Exact elements at given 1-based ranks, one row per metric; a rank outside 1..n gives null. Nothing is sorted.
 
-    ``ranks`` maps the number of values to named ranks. A rank outside 1..n gives null.
+    ``counts`` has metric, value and n (``value_counts``, or rows with n = 1); ``ranks`` maps the number of values to named
+    ranks. The interval that holds a rank is cut into parts, whose rows are counted in one aggregation with their least and
+    greatest values; the part that holds the rank is the next interval, until it holds one value. Each round reads the table once
+    and brings back at most CELLS rows for each interval. Two or three rounds are the rule; values that differ by many orders of
+    magnitude take one for every factor of CELLS. NaN counts as the greatest value, as when sorting.
     """
-    picks = [
-        F.max(F.when((F.col("low") < r) & (r <= F.col("low") + F.col("n")), F.col("value"))).alias(name)
-        for name, r in ranks(F.col("rows")).items()
-    ]
-    return _placed(counts).groupBy("metric", "rows").agg(*picks)
+    value, kind = F.col("value"), counts.schema["value"].dataType
+    special = kind.typeName() in ("double", "float")
+    finite = value if not special else F.when(~F.isnan(value) & (F.abs(value) < inf), value)
+    known = counts.filter(value.isNotNull()).groupBy("metric").agg(
+        F.sum("n").alias("rows"), F.min(finite).alias("low"), F.max(finite).alias("high"), F.sum(F.when(finite.isNotNull(), F.col("n"))).alias("finite"),
+        F.sum(F.when(value == -inf, F.col("n")) if special else F.lit(0)).alias("under"), F.sum(F.when(value == inf, F.col("n")) if special else F.lit(0)).alias("over"),
+    ).collect()
+    found: dict[tuple[str, str], object] = {}
+    open_: dict[tuple, list[tuple]] = {}  # (metric, low, high, rows below) -> ranks looked for
+    for r in known:
+        under, within, over = r["under"] or 0, r["finite"] or 0, r["over"] or 0
+        for name, rank in ranks(r["rows"]).items():
+            if not 1 <= rank <= r["rows"]:
+                found[r["metric"], name] = None
+            elif rank <= under:
+                found[r["metric"], name] = -inf
+            elif rank > under + within:
+                found[r["metric"], name] = inf if rank <= under + within + over else nan
+            else:
+                open_.setdefault((r["metric"], r["low"], r["high"], under), []).append((name, rank))
+    while open_:
+        for (metric, low, high, _), wanted in list(open_.items()):
+            if low == high:
+                found.update({(metric, name): low for name, _ in wanted})
+        open_ = {k: v for k, v in open_.items() if k[1] != k[2]}
+        if not open_:
+            break
+        intervals = list(open_)
+        arms = []
+        for i, (metric, low, high, _) in enumerate(intervals):
+            a, b = (f"cast('{x!r}' as double)" if special else f"cast('{x}' as {kind.simpleString()})" for x in (low, high))
+            name = metric.replace("\\", "\\\\").replace("'", "\\'")
+            arms.append(f"when metric = '{name}' and value between {a} and {b} then named_struct('i', {i}, 'cell', {_cut('value', a, b)})")
+        placed = counts.filter(finite.isNotNull()).select(F.expr(f"case {' '.join(arms)} end").alias("at"), "value", "n").filter("at is not null")
+        cells = placed.groupBy("at.i", "at.cell").agg(F.sum("n").alias("n"), F.min("value").alias("low"), F.max("value").alias("high")).collect()
+        held: dict[int, list] = {}
+        for c in sorted(cells, key=lambda c: (c["i"], c["cell"])):
+            held.setdefault(c["i"], []).append(c)
+        narrower: dict[tuple, list[tuple]] = {}
+        for i, own in held.items():
+            metric, _, _, below = intervals[i]
+            for c in own:
+                inside = [(name, rank) for name, rank in open_[intervals[i]] if below < rank <= below + c["n"]]
+                if inside:
+                    narrower.setdefault((metric, c["low"], c["high"], below), []).extend(inside)
+                below += c["n"]
+        open_ = narrower
+    names = list(ranks(1))
+    rows = [(r["metric"], r["rows"], *(found[r["metric"], name] for name in names)) for r in known]
+    schema = T.StructType([T.StructField("metric", T.StringType()), T.StructField("rows", T.LongType()), *(T.StructField(name, kind) for name in names)])
+    return counts.sparkSession.createDataFrame(rows, schema)
 
 
 def quantiles(counts: DataFrame, probabilities: dict[str, float]) -> DataFrame:
     """Exact interpolated quantiles (linear between neighbours), one row per metric."""
 
-    def ranks(n: Column) -> dict[str, Column]:
-        low = {f"{name}_low": F.floor((n - 1) * F.lit(p)) + 1 for name, p in probabilities.items()}
-        high = {f"{name}_high": F.ceil((n - 1) * F.lit(p)) + 1 for name, p in probabilities.items()}
+    def ranks(n: int) -> dict[str, int]:
+        low = {f"{name}_low": floor((n - 1) * p) + 1 for name, p in probabilities.items()}
+        high = {f"{name}_high": ceil((n - 1) * p) + 1 for name, p in probabilities.items()}
         return {**low, **high}
 
     picked = order_statistics(counts, ranks)

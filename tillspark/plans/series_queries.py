@@ -250,7 +250,7 @@ def topk(spark, d):
 )
 def nth(spark, d):
     counts = ordering.value_counts(sales(spark, d, *NUMERIC_COLUMNS), NUMERIC_COLUMNS)
-    picked = ordering.order_statistics(counts, lambda n: {"upper_median": F.floor(n / 2) + 1})
+    picked = ordering.order_statistics(counts, lambda n: {"upper_median": n // 2 + 1})
     return picked.select("metric", X.double("upper_median").alias("upper_median"))
 
 
