@@ -58,3 +58,34 @@ def test_a_hot_value_and_several_columns(spark):
 def test_no_rows(spark):
     empty = ordering.value_counts(spark.createDataFrame([(None,)], "v double"), ["v"])
     assert ordering.order_statistics(empty, ranks).count() == 0 and ordering.quantiles(empty, {"q": 0.5}).count() == 0
+
+
+def test_rank_of_a_value_that_fills_several_ranges(spark):
+    from pyspark.sql import functions as F
+
+    r = np.random.default_rng(5)
+    values = [None if x == 0 else float(x) for x in r.integers(0, 6, 900)] + [2.5] * 1500 + [float(x) for x in range(10, 90)]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "id int, v double").repartition(5)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        ranked = ordering.rank(df, F.desc("v"), "v")
+        got = {x.id: x["rank"] for x in ranked.collect()}
+        sizes = [x["count"] for x in ordering._ranges(df, [F.desc("v"), F.xxhash64("id", "v")]).groupBy("_range").count().collect()]
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    down = sorted((v for v in values if v is not None), reverse=True) + [None] * values.count(None)
+    assert got == {i: down.index(v) + 1 for i, v in enumerate(values)} and ranked.columns == ["id", "v", "rank"]
+    assert len(sizes) == 4 and max(sizes) < 2 * len(values) / 4
+
+
+def test_fits_are_made_anew_once_a_table_is_written_again(spark, tmp_path):
+    from tillspark.plans import model_queries
+
+    made = []
+    spark.range(3).write.parquet(str(tmp_path / "t"))
+    for _ in range(2):
+        model_queries.once(spark, str(tmp_path), "x", lambda: made.append(1))
+    assert len(made) == 1
+    spark.range(4).write.mode("overwrite").parquet(str(tmp_path / "t"))
+    model_queries.once(spark, str(tmp_path), "x", lambda: made.append(1))
+    assert len(made) == 2

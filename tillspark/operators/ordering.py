@@ -59,12 +59,20 @@ def running_total(df: DataFrame, order: Sequence[Column | str], weight: str, out
 def rank(df: DataFrame, order: Column, value: str, out: str = "rank") -> DataFrame:
     """Competition rank by ``value``: equal values, nulls among them, share the rank of the first of them.
 
-    The rows are written first: what they are made of is computed once, though they are counted and then joined.
+    Rows lie in ranges of ``order`` and, within equal values, of their content, so a value held by many rows takes up several
+    ranges and no task holds all of it. A rank is the first place of the value in its range, or in an earlier range that the
+    value began in; only the first and the last value of a range can go on, two rows a range.
     """
-    rows = materialise(df)
-    counts = rows.groupBy(value).agg(F.count(F.lit(1)).alias("_n"))
-    ranks = running_total(counts, [order], "_n", "_before").select(F.col(value).alias("_of"), (F.col("_before") + 1).alias(out))
-    return rows.join(ranks, F.col(value).eqNullSafe(F.col("_of"))).drop("_of")
+    ties = [F.xxhash64(*df.columns)]
+    tagged = _ranges(df, [order, *ties])
+    placed = tagged.join(F.broadcast(_before(tagged, F.lit(1))), "_range").withColumn("_place", F.col("_offset") + F.col("_local") + 1)
+    same = Window.partitionBy("_range", value)
+    ends = placed.groupBy("_range").agg(F.array(F.min_by(F.struct(F.col(value).alias("of")), "_place"), F.max_by(F.struct(F.col(value).alias("of")), "_place")).alias("_ends"))
+    edges = placed.join(F.broadcast(ends.select("_range", F.explode(F.array_distinct("_ends")).alias("_end"))), "_range")
+    begun = edges.filter(F.col(value).eqNullSafe(F.col("_end.of"))).groupBy(F.struct(F.col(value).alias("of")).alias("_end")).agg(F.min("_place").alias("_begun"))
+    local = placed.withColumn("_first", F.min("_place").over(same))
+    known = local.join(F.broadcast(begun), F.col(value).eqNullSafe(F.col("_end.of")), "left")
+    return known.select(*df.columns, F.least("_first", F.coalesce("_begun", "_first")).alias(out))
 
 
 def tile(position: Column, rows: Column, tiles: int) -> Column:

@@ -11,6 +11,7 @@ from tillspark.plans.kpi_queries import daily
 from tillspark.plans.registry import query, rounded
 from tillspark.schemas import NUMERIC_COLUMNS
 from tillspark.session import scratch_path
+from tillspark.sources import star
 from tillspark.sources.star import sales
 
 # Rounds and trees of the registered models.
@@ -20,8 +21,8 @@ _FITTED: dict[tuple, object] = {}
 
 
 def once(spark, d, name, make):
-    """Fitted models are kept for the session, as several reports read the same ones."""
-    key = (spark.sparkContext.applicationId, d, name)
+    """Fitted models are kept for the session, as several reports read the same ones, until the tables are written again."""
+    key = (spark.sparkContext.applicationId, star.version(spark, d), name)
     if key not in _FITTED:
         _FITTED[key] = make()
     return _FITTED[key]

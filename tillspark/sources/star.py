@@ -91,3 +91,14 @@ def event_columns() -> list[Column]:
         F.lit(1).alias("quantity_sold"),
         F.col("value").cast("decimal(12,2)").alias("total_amount"),
     ]
+
+
+def version(spark: SparkSession, sf_dir: str) -> tuple:
+    """Name, size and time of every file of the tables: another value once one of them has been written again."""
+    root = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(sf_dir)
+    files = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listFiles(root, True)
+    found = []
+    while files.hasNext():
+        status = files.next()
+        found.append((status.getPath().toString(), status.getLen(), status.getModificationTime()))
+    return tuple(sorted(found))
