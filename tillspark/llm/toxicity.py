@@ -11,12 +11,14 @@ fitted on further labelled rows turns both into a score.
 
 from __future__ import annotations
 
+import gc
+import warnings
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tillspark.llm import tables
@@ -29,6 +31,7 @@ LEAST_KEPT = 0.05  # of a discount, and of a count after it
 HALF_TRUST = 30.0  # sights in both classes from which an expression's own ratio has half of the weight
 SHARED = 0.5  # part of the backoff that goes to the shared counts at once
 STRONGEST = 2  # expressions compared on their own
+CHUNK = 1 << 20  # bytes of text that a task works on at a time
 THRESHOLD = 0.3
 _START = np.uint64(0xA5A5A5A5A5A5A5A5)
 _PAIR = np.uint64(0xD6E8FEB86659FD93)
@@ -36,13 +39,15 @@ _PAIR = np.uint64(0xD6E8FEB86659FD93)
 
 @dataclass
 class Model:
-    """Sorted hashes with, for toxic (row 0) and ordinary (row 1): bigram mass, share left by contexts, unigram mass, chance of a
-    beginning against the shared counts; the share left by all unigrams; and the chances of words and bigrams by the shared
-    counts. The last place of each is for what is not among the hashes."""
+    """Sorted hashes with, for toxic (row 0) and ordinary (row 1): bigram counts and their discounts, bigrams and share left of
+    contexts, unigram mass, chance of a beginning against the shared counts; the share left by all unigrams; and the chances of
+    words and bigrams by the shared counts. The last place of each is for what is not among the hashes."""
 
     bigrams: np.ndarray
-    bigram_mass: np.ndarray
+    bigram_count: np.ndarray
+    discounts: np.ndarray
     contexts: np.ndarray
+    context_total: np.ndarray
     context_left: np.ndarray
     words: np.ndarray
     word_mass: np.ndarray
@@ -51,8 +56,15 @@ class Model:
     spare: np.ndarray
     shared_word: np.ndarray
     shared_bigram: np.ndarray
-    trust: tuple[np.ndarray, ...]  # of bigrams, words and beginnings
-    curve: np.ndarray | None = None
+    trust: tuple[np.ndarray, ...]  # of words and beginnings
+
+
+class Fitted:
+    """A model that has been sent to the workers once, and the curve over its features."""
+
+    def __init__(self, spark: SparkSession, model: Model):
+        self.sent = spark.sparkContext.broadcast(model)
+        self.curve = np.zeros(3)
 
 
 def fold(doc_id: str = "doc_id") -> Column:
@@ -93,12 +105,15 @@ def _bigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays(columns, names=["toxic", "context", "word", "head"])
 
 
-def _kept(count: np.ndarray, seen: dict[int, int]) -> np.ndarray:
-    """Counts less the discounts for 1, 2, and 3 and more, which follow from how many counts are 1, 2, 3 and 4."""
+def _discounts(seen: dict[int, int]) -> np.ndarray:
+    """What counts of 1, 2, and 3 and more lose, which follows from how many counts are 1, 2, 3 and 4."""
     n = [max(1, seen.get(k, 0)) for k in range(1, 5)]
     share = n[0] / (n[0] + 2 * n[1])
-    off = [min(max(k - (k + 1) * share * n[k] / n[k - 1], LEAST_KEPT), k - LEAST_KEPT) for k in (1, 2, 3)]
-    return count - np.array(off)[np.clip(count, 1, 3).astype(int) - 1]
+    return np.array([min(max(k - (k + 1) * share * n[k] / n[k - 1], LEAST_KEPT), k - LEAST_KEPT) for k in (1, 2, 3)])
+
+
+def _kept(count: np.ndarray, off: np.ndarray) -> np.ndarray:
+    return np.where(count > 0, count - off[np.clip(count, 1, 3) - 1], 0.0)
 
 
 def _look(keys: np.ndarray, codes: np.ndarray) -> np.ndarray:
@@ -115,19 +130,21 @@ def _counted(docs: DataFrame, *keys: np.ndarray) -> tuple[list[np.ndarray], int]
     cuts = np.cumsum([0, *(len(k) + 1 for k in keys)])
 
     def run(batches):
-        counts = np.zeros(cuts[-1] + 1, np.int64)
+        counts, every = np.zeros(cuts[-1] + 1, np.int32), 0
         for batch in batches:
-            for lo, hi in T.chunks(batch.column(0)):
+            for lo, hi in T.chunks(batch.column(0), CHUNK):
                 w = T.words(batch.column(0).slice(lo, hi - lo), T.PLAIN, HEAD)
                 one = _before(w)
                 for k, codes in enumerate((w.hash, _pair(one, w.hash), w.head)):
-                    found = _look(shared.value[k], codes)
-                    counts[cuts[k] : cuts[k + 1]] += np.bincount(found, minlength=cuts[k + 1] - cuts[k])
-                counts[-1] += len(w.hash)
+                    found, n = np.unique(_look(shared.value[k], codes), return_counts=True)
+                    counts[cuts[k] + found] += n.astype(np.int32)
+                every += len(w.hash)
+        counts[-1] = every
         found = list(tables.cells(counts))
         yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in found], pa.int32()), pa.array([x for _, x in found], pa.binary())], schema=tables.CELL_SCHEMA)
 
     counts = tables.gathered(docs.select("text").mapInArrow(run, "cell int, counts binary"), int(cuts[-1]) + 1)
+    shared.destroy()  # the counts have been gathered
     return [counts[a : b - 1] for a, b in zip(cuts[:-1], cuts[1:])], int(counts[-1])
 
 
@@ -142,49 +159,66 @@ def _model(docs: DataFrame, sample: DataFrame) -> Model:
         return {r["n"]: r["count"] for r in df.where("n <= 4").groupBy("n").count().collect()}
 
     def arrays(df: DataFrame, *columns: str) -> list[np.ndarray]:
+        """Hashes as 64-bit and counts as 32-bit numbers."""
         table = df.select(*columns).toArrow()  # bounded by the sample
-        return [table.column(c).to_numpy().astype(np.int64).view(np.uint64) for c in columns]
+        found = [table.column(c).to_numpy() for c in columns]
+        del table
+        pa.default_memory_pool().release_unused()
+        return [x.astype(np.int32) if c in ("n", "total") else x.astype(np.int64, copy=False).view(np.uint64) for c, x in zip(columns, found)]
+
+    def of(df: DataFrame, c: int) -> DataFrame:
+        return df.where(F.col("toxic") == c)
 
-    kept = []
+    kept = []  # of both classes: hashes, figures and counts of bigrams, contexts, words and beginnings
     for c in (1, 0):
-        mine, own = pairs.where(F.col("toxic") == c), words.where(F.col("toxic") == c)
-        context, word, n = arrays(mine, "context", "word", "n")
-        single, single_n = arrays(own, "word", "n")
-        ctx, total = arrays(totals.where(F.col("toxic") == c), "context", "total")
+        own, of_heads = of(words, c), of(heads, c)
+        ctx, total = arrays(of(totals, c), "context", "total")
         order = np.argsort(ctx)
-        ctx, total = ctx[order], total[order].astype(float)
-        at = np.searchsorted(ctx, context)
-        mass = _kept(n.astype(float), few(mine)) / total[at]
-        left = 1 - np.bincount(at, mass, minlength=len(ctx))
-        every = own.agg(F.sum("n")).first()[0] or 1
-        of_heads = heads.where(F.col("toxic") == c)
+        single, single_n = arrays(own, "word", "n")
         head, head_n = arrays(of_heads, "head", "n")
-        alone, begun = _kept(single_n.astype(float), few(own)) / every, _kept(head_n.astype(float), few(of_heads)) / every
-        kept.append((_pair(context, word), mass, ctx, left, single, alone, head, begun, context, word, n, single_n, head_n))
-    bigrams, contexts, vocabulary, beginnings = keys = [np.unique(np.concatenate([x[2 * k] for x in kept])) for k in range(4)]
-    filled = [np.full((2, len(k) + 1), float(k is contexts)) for k in keys]
-    for row, x in enumerate(kept):
-        for k in range(4):
-            filled[k][row, np.searchsorted(keys[k], x[2 * k])] = x[2 * k + 1]
-    known = np.unique(np.concatenate([vocabulary, *(x[8] for x in kept), *(x[9] for x in kept)]))
-    trust = []
-    for k, of in ((0, 10), (2, 11), (3, 12)):
-        sights = np.zeros(len(keys[k]) + 1)
-        for x in kept:
-            sights[np.searchsorted(keys[k], x[2 * k])] += x[of].astype(float)
-        trust.append(sights / (sights + HALF_TRUST))
+        every = own.agg(F.sum("n")).first()[0] or 1
+        alone, begun = _kept(single_n, _discounts(few(own))) / every, _kept(head_n, _discounts(few(of_heads))) / every
+        kept.append(([None, ctx[order], single, head], [None, total[order], alone, begun], [None, None, single_n, head_n]))
+    known = np.unique(np.concatenate([y for x in kept for y in x[0][1:3]]))
+    parts, off, left = [], [], []
+    for c, (own, values, counts) in zip((1, 0), kept):
+        context, word, counts[0] = arrays(of(pairs, c), "context", "word", "n")
+        off.append(_discounts(few(of(pairs, c))))
+        own[0], at = _pair(context, word), np.searchsorted(own[1], context)
+        parts.append([np.searchsorted(known, x).astype(np.int32) for x in (context, word)])
+        del context, word
+        left.append(1 - np.bincount(at, _kept(counts[0], off[-1]), minlength=len(own[1])) / values[1])
+        del at
+    bigrams, contexts, vocabulary, beginnings = keys = [np.unique(np.concatenate([x[0][k] for x in kept])) for k in range(4)]
+    filled = [np.full((2, len(k) + 1), k is contexts, np.float32) for k in keys[1:]]
+    context_left = np.ones_like(filled[0])
+    sights = [np.zeros(len(k) + 1, np.float32) for k in keys[2:]]
+    most = max((int(x[2][0].max(initial=0)) for x in kept), default=0)
+    bigram_count = np.zeros((2, len(bigrams) + 1), np.uint16 if most < 1 << 16 else np.uint32)
+    for row, (own, values, counts) in enumerate(kept):
+        at = np.searchsorted(bigrams, own[0])
+        bigram_count[row, at] = counts[0]
+        parts[row].insert(0, at.astype(np.int32))
+        for k in (1, 2, 3):
+            at = np.searchsorted(keys[k], own[k])
+            filled[k - 1][row, at] = values[k]
+            if k == 1:
+                context_left[row, at] = left[row]
+            else:
+                sights[k - 2][at] += counts[k]
+        own[:] = values[:] = counts[:] = [None] * 4
+    del at
+    trust = tuple(x / (x + np.float32(HALF_TRUST)) for x in sights)
     (of_words, of_bigrams, of_heads), every = _counted(docs, known, bigrams, beginnings)
     chance = np.append(of_words + 1, 1) / (every + len(known) + 1)
-    shared_bigram = np.zeros(len(bigrams) + 1)
-    for x in kept:
-        context, word = (np.searchsorted(known, y) for y in x[8:10])
-        at = np.searchsorted(bigrams, x[0])
+    shared_bigram = np.zeros(len(bigrams) + 1, np.float32)
+    for at, context, word in parts:
         shared_bigram[at] = (of_bigrams[at] + chance[word]) / (of_words[context] + 1)
     shared_word = chance[_look(known, np.append(vocabulary, np.uint64(0)))]
     shared_word[-1] = chance[-1]
-    spare, spare_heads = (1 - f.sum(axis=1, keepdims=True) for f in filled[2:])
-    lift = filled[3] * (every + len(beginnings) + 1) / np.append(of_heads + 1, 1) + spare_heads
-    return Model(bigrams, filled[0], contexts, filled[1], vocabulary, filled[2], beginnings, lift, spare, shared_word, shared_bigram, tuple(trust))
+    spare, spare_heads = (1 - f.sum(axis=1, keepdims=True, dtype=float) for f in filled[1:])
+    lift = filled[2] * (every + len(beginnings) + 1) / np.append(of_heads + 1, 1) + spare_heads
+    return Model(bigrams, bigram_count, np.array(off), contexts, filled[0], context_left, vocabulary, filled[1], beginnings, lift, spare, shared_word, shared_bigram, trust)
 
 
 def _features(texts: pa.Array, model: Model) -> np.ndarray:
@@ -199,10 +233,12 @@ def _features(texts: pa.Array, model: Model) -> np.ndarray:
     head = _look(model.heads, w.head)
     begun = model.spare * model.shared_word[word] * model.head_lift[:, head]
     single = SHARED * shared + (1 - SHARED) * (model.word_mass[:, word] + begun)
-    double = model.bigram_mass[:, bigram] + model.context_left[:, _look(model.contexts, one)] * single
-    ratio = np.zeros(len(w.hash))
-    of_bigrams, of_words, of_heads = model.trust
-    for chance, own in ((SHARED * shared + (1 - SHARED) * begun, of_heads[head]), (single, of_words[word]), (double, of_bigrams[bigram])):
+    context, seen = _look(model.contexts, one), model.bigram_count[:, bigram].astype(np.int64)
+    mass = np.stack([_kept(n, off) for n, off in zip(seen, model.discounts)]) / model.context_total[:, context]
+    double = mass + model.context_left[:, context] * single
+    ratio, sights = np.zeros(len(w.hash)), seen.sum(axis=0)
+    of_words, of_heads = model.trust
+    for chance, own in ((SHARED * shared + (1 - SHARED) * begun, of_heads[head]), (single, of_words[word]), (double, sights / (sights + HALF_TRUST))):
         ratio += own * (np.log(chance[0]) - np.log(chance[1]) - ratio)
     some = np.flatnonzero(w.counts > 0)
     out[some, 0] = np.add.reduceat(ratio, w.first[some]) / w.counts[some]
@@ -229,16 +265,15 @@ def _curve(x: np.ndarray, y: np.ndarray, shift: float) -> np.ndarray:
     return np.array([beta[0] - (slope * middle).sum() + shift, *slope])
 
 
-def _scored(df: DataFrame, model: Model, column: str, names: tuple[str, ...]) -> DataFrame:
+def _scored(df: DataFrame, model: Fitted, column: str, names: tuple[str, ...]) -> DataFrame:
     """``df`` with the features of ``column`` and the score (0.5 before the curve is fitted)."""
-    shared = df.sparkSession.sparkContext.broadcast(model)
+    shared, curve = model.sent, model.curve
 
     def run(batches):
         for batch in batches:
-            for lo, hi in T.chunks(batch.column(column)):
+            for lo, hi in T.chunks(batch.column(column), CHUNK):
                 part = batch.slice(lo, hi - lo)
                 f = _features(part.column(column), shared.value)
-                curve = shared.value.curve if shared.value.curve is not None else np.zeros(3)
                 score = 1 / (1 + np.exp(-np.clip(curve[0] + f @ curve[1:], -50, 50)))
                 yield T.with_arrow(part, dict(zip(names, map(pa.array, (f[:, 0], f[:, 1], score)))))
 
@@ -246,14 +281,15 @@ def _scored(df: DataFrame, model: Model, column: str, names: tuple[str, ...]) ->
     return df.mapInArrow(run, schema + "".join(f", `{n}` double" for n in names))
 
 
-def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Fitted:
     """Fit both models and the curve; labels of documents whose fold is 2 are never read.
 
     ``per_class`` bounds the labelled documents of a class that give class counts (folds 0 and 1) and that fit the curve
     (fold 3); shared counts come from all ``docs``. A document labelled more than once is toxic if one label says so.
     Without documents of both classes the scores are the toxic share of the labels.
     """
-    model = _model(docs, _sample(labels, docs, (0, 1), per_class))
+    gc.collect()  # lets go of the broadcast of an earlier fit that nothing refers to any more
+    model = Fitted(docs.sparkSession, _model(docs, _sample(labels, docs, (0, 1), per_class)))
     rest = _sample(labels, docs, (3,), per_class).select("toxic", "text")
     table = _scored(rest, model, "text", ("mean", "top", "score")).select("toxic", "mean", "top").toArrow()
     y = table.column("toxic").to_numpy().astype(float)
@@ -266,7 +302,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Model
     return model
 
 
-def score(docs: DataFrame, model: Model) -> DataFrame:
+def score(docs: DataFrame, model: Fitted) -> DataFrame:
     """doc_id, held_out, score, predicted and the two features of each document of ``docs`` (doc_id, text).
 
     A null or empty text has features 0. Repeated rows are rows of their own; other columns are not read; no rows give no
@@ -277,8 +313,15 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     return scored.select("doc_id", (fold() == 2).alias("held_out"), "score", predicted.alias("predicted"), "mean_ratio", "top_ratio")
 
 
-def reject(docs: DataFrame, model: Model) -> DataFrame:
-    """The rows of ``docs``, all columns unchanged, that score below the threshold."""
+def reject(docs: DataFrame, model: Fitted) -> DataFrame:
+    """The rows of ``docs``, all columns unchanged, that score below the threshold.
+
+    Where no labelled rows were left to fit the curve, scores say nothing about a text: then all rows stay, with a warning. A
+    null or empty text has features 0. Repeated rows are judged alike; no rows give no rows.
+    """
+    if not model.curve[1:].any():
+        warnings.warn("too few labels to tell toxic documents from others: none is rejected", stacklevel=2)
+        return docs
     prefix = T.fresh(docs, "toxic_")
     names = tuple(prefix + x for x in ("mean", "top", "score"))
     return _scored(docs, model, "text", names).where(F.col(names[2]) < THRESHOLD).select(*docs.columns)
