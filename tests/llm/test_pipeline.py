@@ -5,6 +5,7 @@ from collections import Counter
 import corpus_pipeline
 import pytest
 from conftest import SF_DIR
+from pyspark.sql import functions as F
 
 from tillspark.llm import mixing, toxicity
 
@@ -71,3 +72,25 @@ def test_shards(spark, kept):
 def test_run_is_the_stages(spark, kept):
     assert corpus_pipeline.run(spark, SF_DIR).count() == kept[5].count()
     assert corpus_pipeline.ORACLE_SQL is None
+
+
+@pytest.mark.parametrize("rows", [0, None])
+def test_awkward_and_empty_tables(spark, tmp_path, rows):
+    """Nulls, blanks, repeats, ties, a very long text and columns that clash with names of the operators; and no rows at all."""
+    from .conftest import messy_rows, with_clashes
+
+    docs = with_clashes(spark.createDataFrame(messy_rows()[:rows], "doc_id bigint, text string, source string")).withColumn("lang", F.lit(None).cast("string"))
+    labels = [(i, 1, int(i % 4 == 0)) for i in (10, 11, 12, 16, 17, 20, 21, 25)] + [(None, None, None), (999, 0, 1)]
+    items = [(1, messy_rows()[12][1][:400]), (2, None), (None, ""), (2, "one two")]
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame(labels[: None if rows is None else 0], "doc_id bigint, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    spark.createDataFrame(items[: None if rows is None else 0], "item_id bigint, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    at, sizes = spark.read.parquet(str(tmp_path / "documents.parquet")), []
+    for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        out = stage(spark, at, str(tmp_path))
+        out.write.parquet(str(tmp_path / name))
+        at = spark.read.parquet(str(tmp_path / name))
+        if k < len(corpus_pipeline.STAGES) - 1:
+            assert at.columns == docs.columns
+        sizes.append(at.count())
+    assert sizes == [0] * 5 if rows == 0 else sizes[0] >= sizes[1] >= sizes[2] > 0
