@@ -44,6 +44,11 @@ def ts_pacf(spark, d):
     return forecast.partial_autocorrelation(series.autocorrelation(total_series(spark, d)))
 
 
+@query("ts_pacf_by_category")
+def ts_pacf_by_category(spark, d):
+    return forecast.partial_autocorrelation(series.autocorrelation(category_series(spark, d), KEYS), KEYS)
+
+
 def sarima_grid(spark, d):
     return once(spark, d, "sarima", lambda: materialise(forecast.sarima_grid(category_series(spark, d), KEYS)))
 
