@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from tillspark.llm import decontaminate, jaccard, mixing, sharding, toxicity
 from tillspark.session import scratch_path
 
-BATCH = 2000  # documents that travel to Python together: some MB of text, where the default of 10,000 is many times that
+BATCH = 500  # documents that travel to Python together: a MB or two of text, where the default of 10,000 is many times that
 _RECORDS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
