@@ -100,3 +100,17 @@ def test_sketches_answer_for_any_days(spark, lines, tmp_path):
         assert row.lines == want[1] and abs(row.about_distinct - want[0]) <= max(2, 0.065 * want[0])
     nobody = kpi.united(kpi.daily_sketches(lines.withColumn("customer_name", F.lit(None).cast("string")))).first()
     assert nobody.about_distinct == 0 and nobody.lines == 400
+
+
+def test_points_are_spread_and_fits_plan_no_query_an_iteration(spark):
+    """A customer table of one part fills all cores; the number of planned queries does not grow with the iterations."""
+    rows = [(str(i), *(float((i * p) % 97) for p in (3, 5, 7, 11, 13, 17, 19))) for i in range(400)]
+    points = cluster.scaled(spark.createDataFrame(rows, ["customer_name", *cluster.FEATURES]).coalesce(1))
+    assert points.rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    starts = cluster.starting_centres(points, [(3, 1), (4, 1)])
+    store, counts = spark._jsparkSession.sharedState().statusStore(), []
+    for iterations in (1, 4):
+        before = store.executionsCount()
+        cluster.lloyd(points, starts, iterations)
+        counts.append(store.executionsCount() - before)
+    assert counts[0] == counts[1]

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+import pickle
+from collections.abc import Callable, Iterator, Sequence
 from functools import reduce
 from math import inf
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import RDD, StorageLevel
 from pyspark.ml import Pipeline
 from pyspark.ml.feature import PCA, StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -26,12 +28,13 @@ FEATURES = (
 
 MAX_ITERATIONS = 300  # of a K-Means fit; it stops earlier when the centres stand still
 STARTING_ROWS = 4096  # rows that starting centres are drawn from
+_ROWS = 2048  # rows that a task measures at once: their distances to all centres of all fits fit the cache
 
 
 def scaled(customers: DataFrame, features: Sequence[str] = FEATURES) -> DataFrame:
     """Centred and scaled feature vectors. The customer table is checkpointed before the scaler reads it, so the sales behind
     it are aggregated once, and the vectors are checkpointed because every fit below reads them."""
-    table = materialise(customers)
+    table = materialise(spread(customers))
     stages = [
         VectorAssembler(inputCols=list(features), outputCol="_raw"),
         StandardScaler(inputCol="_raw", outputCol="features", withMean=True),
@@ -39,6 +42,12 @@ def scaled(customers: DataFrame, features: Sequence[str] = FEATURES) -> DataFram
     return materialise(Pipeline(stages=stages).fit(table).transform(table).drop("_raw"))
 
 
+def spread(customers: DataFrame) -> DataFrame:
+    """The rows in as many parts as there are cores: an aggregation leaves its small result in a few, and each part is one task of
+    every K-Means iteration."""
+    return customers.repartition(customers.sparkSession.sparkContext.defaultParallelism)
+
+
 def starting_centres(points: DataFrame, jobs: Sequence[tuple[int, int]], size: int = STARTING_ROWS) -> list[np.ndarray]:
     """Centres for each (k, seed), drawn by k-means++ from at most ``size`` rows: those with the smallest hashes."""
     x = vector_to_array("features")
@@ -63,42 +72,77 @@ def lloyd(points: DataFrame, starts: Sequence[np.ndarray], iterations: int = MAX
 
     Every task adds up, for each centre of each fit, its rows; what comes back is one row a centre, whatever the number of rows. A
     centre without rows stays. A fit is done when no centre moves by more than ``tolerance``; the inertia belongs to the
-    centres it then has. ``points`` should have been written, as each iteration reads them.
+    centres it then has, and one last scan adds it up. ``points`` should have been written, as each iteration reads them.
     """
-    centres, cost = [np.array(c, float) for c in starts], np.full(len(starts), np.nan)
+    centres = [np.array(c, float) for c in starts]
+    if not centres:
+        return [], np.empty(0)
     active = list(range(len(centres)))
-    vectors = points.select(vector_to_array("features").alias("x"))
-    for step in range(iterations + 1):
+    blocks = _blocks(points).persist(StorageLevel.MEMORY_AND_DISK)
+    for _ in range(iterations):
         if not active:
             break
-        held = {f: centres[f] for f in active}
-
-        def add(batches: Iterator[pa.RecordBatch], held: dict[int, np.ndarray] = held) -> Iterator[pa.RecordBatch]:
-            sums = {f: np.zeros((len(c), c.shape[1] + 2)) for f, c in held.items()}  # sums, rows, inertia
-            for batch in batches:
-                x = np.array(batch.column("x").flatten()).reshape(batch.num_rows, -1)
-                for f, c in held.items():
-                    far = ((x[:, None, :] - c[None, :, :]) ** 2).sum(axis=2)
-                    near = far.argmin(axis=1)
-                    for k, own in enumerate(np.equal.outer(np.arange(len(c)), near)):
-                        sums[f][k] += [*x[own].sum(axis=0), own.sum(), far[own, k].sum()]
-            rows = [(f, k, i, v) for f, s in sums.items() for k, row in enumerate(s) for i, v in enumerate(row.tolist())]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.int32(), pa.int32(), pa.float64()))], names=["fit", "centre", "place", "value"])
-
-        summed = vectors.mapInArrow(add, "fit int, centre int, place int, value double").groupBy("fit", "centre", "place").agg(F.sum("value").alias("value")).toArrow()
-        width = centres[0].shape[1]
-        total = {f: np.zeros((len(c), width + 2)) for f, c in held.items()}
-        for f, k, i, v in zip(*(summed.column(c).to_pylist() for c in ("fit", "centre", "place", "value"))):
-            total[f][k, i] = v
-        for f in list(active):
-            rows = total[f][:, [width]]
-            moved = np.where(rows > 0, total[f][:, :width] / np.maximum(rows, 1), centres[f])
-            cost[f] = total[f][:, -1].sum()
-            if step == iterations or np.sqrt(((moved - centres[f]) ** 2).sum(axis=1)).max() <= tolerance:
+        held, edges = np.concatenate([centres[f] for f in active]), np.cumsum([0, *(len(centres[f]) for f in active)]).tolist()
+        total = _gathered(blocks, _near_sums, held, edges, held.shape[1] + 1)
+        for f, x, y in list(zip(active, edges, edges[1:])):
+            rows = total[x:y, -1:]
+            moved = np.where(rows > 0, total[x:y, :-1] / np.maximum(rows, 1), centres[f])
+            if np.sqrt(((moved - centres[f]) ** 2).sum(axis=1)).max() <= tolerance:
                 active.remove(f)
             else:
                 centres[f] = moved
-    return centres, cost
+    edges = np.cumsum([0, *(len(c) for c in centres)]).tolist()
+    cost = _gathered(blocks, _near_costs, np.concatenate(centres), edges, 1)[:, 0]
+    blocks.unpersist()
+    return centres, np.add.reduceat(cost, edges[:-1])
+
+
+def _blocks(points: DataFrame) -> RDD:
+    """The vectors as matrices (columns x rows), which every iteration reads without a new query."""
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                x = np.array(batch.column("x").flatten()).reshape(batch.num_rows, -1)
+                yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(np.ascontiguousarray(x.T))], pa.binary())], names=["block"])
+
+    vectors = points.select(vector_to_array("features").alias("x"))
+    return vectors.mapInArrow(pack, "block binary").rdd.map(lambda row: pickle.loads(row.block))
+
+
+def _gathered(blocks: RDD, sums: Callable, centres: np.ndarray, edges: list[int], width: int) -> np.ndarray:
+    """Sums over all rows, one line a centre. ``centres`` holds those of all fits; ``edges`` says where a fit's begin."""
+
+    def add(total: np.ndarray | float, x: np.ndarray) -> np.ndarray:
+        own = np.zeros((len(centres), width))
+        for i in range(0, x.shape[1], _ROWS):
+            sums(own, np.ascontiguousarray(x[:, i : i + _ROWS]), centres, edges)
+        return total + own
+
+    depth = 1 if blocks.getNumPartitions() <= 256 else 2
+    return np.zeros((len(centres), width)) + blocks.treeAggregate(0.0, add, np.add, depth)
+
+
+def _nearest(x: np.ndarray, centres: np.ndarray, edges: list[int]) -> Iterator[tuple[int, int, np.ndarray]]:
+    """For each fit its edges and the nearest centre of every row (``x``: columns x rows). The square of the row itself is left
+    out of the distance, as it is the same for all centres."""
+    far = (centres**2).sum(axis=1)[:, None] - 2 * (centres @ x)
+    for a, b in zip(edges, edges[1:]):
+        yield a, b, far[a:b].argmin(axis=0)
+
+
+def _near_sums(total: np.ndarray, x: np.ndarray, centres: np.ndarray, edges: list[int]) -> None:
+    """Adds each row, and 1, to its nearest centre of every fit."""
+    for a, b, near in _nearest(x, centres, edges):
+        own = (near == np.arange(b - a)[:, None]).astype(float)
+        total[a:b, :-1] += own @ x.T
+        total[a:b, -1] += own.sum(axis=1)
+
+
+def _near_costs(total: np.ndarray, x: np.ndarray, centres: np.ndarray, edges: list[int]) -> None:
+    """Adds each row's squared distance to its nearest centre of every fit."""
+    for a, b, near in _nearest(x, centres, edges):
+        total[a:b, 0] += np.bincount(near, ((x - centres[a:b][near].T) ** 2).sum(axis=0), b - a)
 
 
 def elbow(points: DataFrame, max_k: int = 10, starts: int = 10, seed: int = 42) -> DataFrame:
