@@ -34,18 +34,19 @@ _ROWS = 2048  # rows that a task measures at once: their distances to all centre
 def scaled(customers: DataFrame, features: Sequence[str] = FEATURES) -> DataFrame:
     """Centred and scaled feature vectors. The customer table is checkpointed before the scaler reads it, so the sales behind
     it are aggregated once, and the vectors are checkpointed because every fit below reads them."""
-    table = materialise(spread(customers))
+    table = materialise(customers)
     stages = [
         VectorAssembler(inputCols=list(features), outputCol="_raw"),
         StandardScaler(inputCol="_raw", outputCol="features", withMean=True),
     ]
-    return materialise(Pipeline(stages=stages).fit(table).transform(table).drop("_raw"))
+    # spread after scaling: other parts would change the last digits of the means, and so the hashes that choose starting rows
+    return materialise(spread(Pipeline(stages=stages).fit(table).transform(table).drop("_raw")))
 
 
-def spread(customers: DataFrame) -> DataFrame:
+def spread(points: DataFrame) -> DataFrame:
     """The rows in as many parts as there are cores: an aggregation leaves its small result in a few, and each part is one task of
     every K-Means iteration."""
-    return customers.repartition(customers.sparkSession.sparkContext.defaultParallelism)
+    return points.repartition(points.sparkSession.sparkContext.defaultParallelism)
 
 
 def starting_centres(points: DataFrame, jobs: Sequence[tuple[int, int]], size: int = STARTING_ROWS) -> list[np.ndarray]:
