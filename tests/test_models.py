@@ -172,3 +172,19 @@ def test_stream_drops_what_comes_after_the_watermark(spark, tmp_path):
     table = {str(r.sale_date): r for r in run().collect()}
     assert table["2024-01-01"].total_sales == 9.0 and table["2024-01-02"].total_sales == 10.0
     assert table["2024-01-03"].anomaly_status == "Anomaly"
+
+
+def test_compared_models_are_fitted_at_once(spark):
+    """Each fit waits until the others have begun, which fits one after another never do."""
+    import threading
+
+    met = threading.Barrier(2, timeout=20)
+
+    class Waiting(model.GBTRegressor):
+        def fit(self, dataset, params=None):
+            met.wait()
+            return super().fit(dataset, params)
+
+    estimators = {name: Waiting(labelCol=model.TARGET, maxIter=1, maxDepth=1, seed=1) for name in ("a", "b")}
+    found = model.fit(sales(spark, SF_DIR, *ML_COLUMNS), estimators)
+    assert {r.model for r in found.compare().collect()} == {"a", "b"}
