@@ -4,21 +4,36 @@ from __future__ import annotations
 
 import numpy as np
 
+_BELOW = (np.uint64(1) << np.arange(64, dtype=np.uint64)) - np.uint64(1)  # the bits of a word before each of its bits
 
-def _joined(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Ranks of the pairs (a, b)."""
-    order = np.lexsort((b, a))
-    new = np.ones(len(a), np.int64)
-    new[1:] = (a[order[1:]] != a[order[:-1]]) | (b[order[1:]] != b[order[:-1]])
-    out = np.empty(len(a), np.int64)
+
+def _ranked(keys: np.ndarray) -> np.ndarray:
+    """Ranks of numbers, from 1."""
+    order = np.argsort(keys)
+    ordered = keys[order]
+    new = np.ones(len(keys), np.int64)
+    new[1:] = ordered[1:] != ordered[:-1]
+    out = np.empty(len(keys), np.int64)
     out[order] = np.cumsum(new)
     return out
 
 
-def _shifted(a: np.ndarray, by: int) -> np.ndarray:
-    out = np.zeros_like(a)
-    out[: max(0, len(a) - by)] = a[by:]
-    return out
+def _window_ranks(text: np.ndarray, depth: int) -> np.ndarray:
+    """Ranks of the first ``depth`` symbols of each suffix (zeros follow the text). As many known ranks as fit 63 bits are read
+    as one number a step; the last ones may overlap those before, which agree with them."""
+    ranks, have = text.astype(np.int64), 1
+    while True:
+        width = int(ranks.max(initial=0)).bit_length() or 1
+        count = min(max(63 // width, 2), -(-depth // have))  # two always fit: ranks are below 2**31
+        reach = min(count * have, depth)
+        keys = ranks.copy()
+        for k in range(1, count):
+            by = min(k * have, reach - have)
+            keys <<= width
+            keys[: max(0, len(keys) - by)] |= ranks[by:]
+        ranks, have = _ranked(keys), reach
+        if have == depth:
+            return ranks
 
 
 class FMIndex:
@@ -30,15 +45,9 @@ class FMIndex:
 
     def __init__(self, text: np.ndarray, depth: int):
         self.depth = depth
-        power, have, order, size = text.astype(np.int64), 0, None, 1
-        while size <= depth:  # ranks by 1, 2, 4, ... symbols, joined to ranks by depth symbols
-            if depth & size:
-                order = power if order is None else _joined(power, _shifted(order, size))
-                have += size
-            size *= 2
-            if size <= depth:
-                power = _joined(power, _shifted(power, size // 2))
-        self.suffixes = np.argsort(order, kind="stable")
+        self.ranks = _window_ranks(text, depth)  # equal where the next ``depth`` symbols are
+        width = len(text).bit_length()
+        self.suffixes = np.argsort(self.ranks << width | np.arange(len(text)))
         last = text[self.suffixes - 1]
         counts = np.bincount(text)
         self.first = np.append(0, np.cumsum(counts))
@@ -56,9 +65,8 @@ class FMIndex:
         top = len(self.bits) - 1
         for k, (packed, ones, zeros) in enumerate(zip(self.bits, self.ones, self.zeros)):
             word = at >> 6
-            low = (np.uint64(1) << (at & 63).astype(np.uint64)) - np.uint64(1)
-            before = ones[word] + np.bitwise_count(packed[word] & low)
-            at = np.where((symbols >> (top - k)) & 1, zeros + before, at - before)
+            before = ones[word] + np.bitwise_count(packed[word] & _BELOW[at & 63])
+            at = np.where(symbols & (1 << top - k), zeros + before, at - before)
         return at
 
     def extend(self, symbols: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

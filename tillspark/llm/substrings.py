@@ -4,7 +4,7 @@ A repeated passage has repeated anchors: of every window of words, the part of e
 occur once in the whole corpus are set aside; stretches of windows around the others are dealt to shards by anchor, so that
 equal windows meet in one shard, after each task has kept the first of its equal stretches only. A shard builds an FM-index
 over its stretches (wavelet matrix, suffixes ordered to the depth of a window) and searches every window of the documents
-that stream through it backwards; windows whose interval starts with an earlier place are reported. The documents then drop
+that stream through it backwards, equal windows once; windows whose interval starts with an earlier place are reported. The documents then drop
 the words that reported windows cover.
 """
 
@@ -34,6 +34,17 @@ _PACKET = pa.schema([("part", pa.int32()), *((c, pa.binary()) for c in ("doc", "
 _PACKET_SQL = "part int, doc binary, text_hash binary, start binary, length binary, words binary"
 
 
+def _smallest(x: np.ndarray, span: int) -> np.ndarray:
+    """Place of the smallest (of equal ones the first) of each ``span`` consecutive numbers, by joining shorter spans."""
+    best, place, have = x, np.arange(len(x)), 1
+    while have < span:
+        by = min(have, span - have)
+        right = best[by:] < best[:-by]
+        place = np.where(right, place[by:], place[:-by])
+        best, have = np.minimum(best[:-by], best[by:]), have + by
+    return place
+
+
 def _stretches(w: T.Words, window: int, anchor: int):
     """Runs of windows that share an anchor: anchor, word at which the run starts, number of windows."""
     none = np.empty(0, np.int64)
@@ -41,9 +52,8 @@ def _stretches(w: T.Words, window: int, anchor: int):
     if len(w.hash) < window:
         return none.astype(np.uint64), none, none
     grams = T.windows(w, anchor)
-    views = np.lib.stride_tricks.sliding_window_view(grams[: len(grams) - anchor + 1], span)
-    spot = views.argmin(axis=1) + np.arange(len(views))
-    at = np.flatnonzero(w.left()[: len(views)] >= window)
+    spot = _smallest(grams[: len(grams) - anchor + 1], span)
+    at = np.flatnonzero(w.left()[: len(spot)] >= window)
     if not len(at):
         return none.astype(np.uint64), none, none
     spot = spot[at]
@@ -171,16 +181,19 @@ def _found(doc, code, start, length, words, window: int) -> Iterator[pa.RecordBa
         owner = np.repeat(np.arange(len(doc)), length)
         nth = np.arange(length.sum()) - np.repeat(np.cumsum(length) - length, length)
         at = put[owner] + nth
-        for lo in range(0, len(at), SEARCHED):
-            own, k, here = owner[lo : lo + SEARCHED], nth[lo : lo + SEARCHED], at[lo : lo + SEARCHED]
-            again, low, _ = index.search(text, here, window)
-            own, k = own[again], k[again]
-            earliest = index.suffixes[low]
-            other = np.searchsorted(put, earliest, "right") - 1
-            place = start[other] + earliest - put[other]
-            earlier = (doc[other] < doc[own]) | ((doc[other] == doc[own]) & (place < start[own] + k))
-            own, k = own[earlier], k[earlier]
-            hits.append((doc[own], code[own], start[own] + k, np.ones(len(own), np.int64)))
+        _, one, which = np.unique(index.ranks[at], return_index=True, return_inverse=True)  # equal windows have one answer
+        earliest = np.full(len(one), -1)
+        for lo in range(0, len(one), SEARCHED):
+            again, low, _ = index.search(text, at[one[lo : lo + SEARCHED]], window)
+            earliest[lo + again] = index.suffixes[low]
+        earliest = earliest[which]
+        again = np.flatnonzero(earliest >= 0)
+        own, k, earliest = owner[again], nth[again], earliest[again]
+        other = np.searchsorted(put, earliest, "right") - 1
+        place = start[other] + earliest - put[other]
+        earlier = (doc[other] < doc[own]) | ((doc[other] == doc[own]) & (place < start[own] + k))
+        own, k = own[earlier], k[earlier]
+        hits.append((doc[own], code[own], start[own] + k, np.ones(len(own), np.int64)))
     doc, code, start, length = (np.concatenate(x) for x in zip(*hits))
     order = np.lexsort((start, code, doc))
     doc, code, start, length = doc[order], code[order], start[order], length[order]
