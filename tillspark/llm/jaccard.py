@@ -7,7 +7,9 @@ overlaps by these differences: only where they leave the answer open are members
 
 Index level: every class lists its prefix (the shingles that any linked set must meet, rarest first). A list of the index
 holds one entry a cluster, in blocks ordered by set size; a pair of blocks is skipped when their sizes, or the shingles left
-behind their positions, rule out every link.
+behind their positions, rule out every link. Of the pairs that are left, parities of the shingles tell how much the sets
+differ at least; only sets of pairs for which that is not too much are moved. Sets are not kept: a step that needs those of some
+classes reads one text of each again, told from the others by flags.
 """
 
 from __future__ import annotations
@@ -17,7 +19,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, StructField, StructType
 
@@ -29,7 +31,8 @@ from tillspark.session import materialise
 SIZE = 5  # words in a shingle
 SHARE = (75, 100)  # least intersection by union
 BITS = 20  # of the table of shingle frequencies
-FILTER_BITS = 23  # of the tables that mark which sets are looked at again
+FILTER_BITS = 23  # of the tables that mark which sets and texts are looked at again
+SKETCH_BITS = 1 << 16  # parities of a set at most, else 2 to 4 a shingle
 DOUBT_BITS = 26  # of the table that marks documents which may have to go
 BLOCK = 32  # entries in a block of an index list
 ROUNDS = 4  # hashes under which leaders meet
@@ -122,39 +125,80 @@ def _signed(docs: DataFrame, rule: Rule) -> DataFrame:
         none = [None] * len(found)
         yield _rows(_SIGNED, none, none, none, none, none, [k for k, _ in found], [x for _, x in found])
 
-    hashed = docs.withColumn("text_hash", F.xxhash64("text"))
-    return hashed.mapInArrow(run, "doc_id bigint, text_hash bigint, n bigint, fp bigint, keys array<bigint>, cell int, counts binary")
+    return docs.withColumn("text_hash", F.xxhash64("text")).mapInArrow(run, "doc_id bigint, text_hash bigint, n bigint, fp bigint, keys array<bigint>, cell int, counts binary")
+
+
+def _hashed(docs: DataFrame) -> DataFrame:
+    return docs.select("text", F.xxhash64("text").alias("text_hash"))
+
+
+def _texts(classes: DataFrame, key: Column, bitmap: np.ndarray, without: np.ndarray | None = None) -> np.ndarray:
+    """Flags of the texts (one a class) of the classes that ``_chosen`` gives for the same tables."""
+    shared = classes.sparkSession.sparkContext.broadcast((bitmap, without))
+
+    def run(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column("text_hash").filter(pa.array(_wanted(batch.column("key"), batch.column("fp"), *shared.value)))], names=["text_hash"])
+
+    return tables.marked(classes.select(key.alias("key"), "fp", "text_hash").mapInArrow(run, "text_hash bigint"), FILTER_BITS)
+
+
+def _wanted(keys: pa.Array, names: pa.Array, bitmap: np.ndarray, without: np.ndarray | None) -> np.ndarray:
+    wanted = tables.hit(bitmap, keys.to_numpy(zero_copy_only=False).view(np.uint64))
+    if without is not None:
+        wanted &= ~tables.hit(without, names.to_numpy(zero_copy_only=False).view(np.uint64))
+    return wanted
+
+
+def _sketch(s: np.ndarray) -> bytes:
+    """Parities of the numbers of shingles on each of some places: where two sets differ by k shingles, at most k differ."""
+    bits = min(max(256, 1 << (2 * len(s) - 1).bit_length()), SKETCH_BITS)
+    places = T.mix(s >> np.uint64(16)) & np.uint64(bits - 1)
+    return np.packbits(np.bincount(places.astype(np.int64), minlength=bits) & 1).tobytes()
+
+
+def _differing(x: bytes, y: bytes) -> int:
+    """How many parities differ after the longer sketch is folded to the length of the other."""
+    a, b = (np.frombuffer(z, np.uint8) for z in sorted((x, y), key=len))
+    while len(b) > len(a):
+        b = b[: len(b) // 2] ^ b[len(b) // 2 :]
+    return int(np.bitwise_count(a ^ b).sum())
 
 
 _SET = pa.schema([("fp", pa.int64()), ("key", pa.int64()), ("items", pa.binary())])
+_SKETCH = pa.schema([("fp", pa.int64()), ("n", pa.int64()), ("sketch", pa.binary())])
 
 
-def _chosen(docs: DataFrame, rule: Rule, bitmap: np.ndarray, turn: int | None = None, without: np.ndarray | None = None) -> DataFrame:
-    """fp, key and shingles of the classes whose fp (or key of a turn) the bitmap marks, each once a task.
+def _chosen(
+    docs: DataFrame, classes: DataFrame, rule: Rule, bitmap: np.ndarray, turn: int | None = None, without: np.ndarray | None = None, sketched: bool = False
+) -> DataFrame:
+    """fp, key and shingles of the classes whose fp (or key of a turn) the bitmap marks, each once a task; or fp, n and sketch.
 
-    The flags are of hashes, so some more classes come along, and ``without`` keeps some more away than it names.
+    The flags are of hashes, so some more classes come along, and ``without`` keeps some more away than it names. Only texts
+    that may have such a set are cut into words.
     """
-    shared = docs.sparkSession.sparkContext.broadcast((bitmap, without))
+    texts = _texts(classes, F.col("fp") if turn is None else F.col("keys")[turn], bitmap, without)
+    shared = docs.sparkSession.sparkContext.broadcast((texts, bitmap, without))
+    schema = _SKETCH if sketched else _SET
 
     def run(batches):
         seen: set[int] = set()
-        for _, sets in _sets(batches, "text", rule.size):
+        texts, *flags = shared.value
+        some = (b.filter(pa.array(tables.hit(texts, b.column("text_hash").to_numpy().view(np.uint64)))) for b in batches)
+        for _, sets in _sets(some, "text", rule.size):
             sets = [s for s in sets if len(s)]
             names = [_name(s) for s in sets]
             keys = names if turn is None else [_key(s, turn) for s in sets]
-            bitmap, without = shared.value
-            wanted = tables.hit(bitmap, np.array(keys, np.int64).view(np.uint64))
-            if without is not None:
-                wanted &= ~tables.hit(without, np.array(names, np.int64).view(np.uint64))
+            wanted = _wanted(pa.array(keys, pa.int64()), pa.array(names, pa.int64()), *flags)
             rows = []
             for s, name, key, ok in zip(sets, names, keys, wanted):
                 if ok and name not in seen:
                     seen.add(name)
-                    rows.append((name, key, _pack(s)))
+                    rows.append((name, len(s), _sketch(s)) if sketched else (name, key, _pack(s)))
             if rows:
-                yield _rows(_SET, *zip(*rows))
+                yield _rows(schema, *zip(*rows))
 
-    return docs.mapInArrow(run, "fp bigint, key bigint, items binary")
+    return _hashed(docs).mapInArrow(run, "fp bigint, n bigint, sketch binary" if sketched else "fp bigint, key bigint, items binary")
 
 
 def _both(a: np.ndarray, b: np.ndarray) -> int:
@@ -202,7 +246,7 @@ def _round(docs: DataFrame, classes: DataFrame, members: DataFrame | None, rule:
             salt = np.where(tables.hit(hot.value, keys), fps % np.uint64(SPLIT), 0).astype(np.int32)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(salt)], schema=schema)
 
-    sets = _chosen(docs, rule, tables.marked(sizes.select("key"), FILTER_BITS), turn, without)
+    sets = _chosen(docs, classes, rule, tables.marked(sizes.select("key"), FILTER_BITS), turn, without)
     dealt = sets.mapInArrow(salted, "fp bigint, key bigint, items binary, salt int").repartition("key", "salt")
     return dealt.sortWithinPartitions("key", "salt", "fp").mapInArrow(lambda b: _led(b, rule), "fp bigint, leader bigint, extra bigint")
 
@@ -223,7 +267,7 @@ def _clusters(docs: DataFrame, classes: DataFrame, rule: Rule) -> DataFrame:
     return members
 
 
-_PACKET = pa.schema([(c, pa.binary()) for c in ("tokens", "owner", "position", "cluster", "n")])
+_PACKET = pa.schema([(c, pa.binary()) for c in ("tokens", "counts", "position", "cluster", "n")])
 
 
 def _prefixes(docs: DataFrame, rule: Rule, table: np.ndarray) -> DataFrame:
@@ -246,11 +290,20 @@ def _prefixes(docs: DataFrame, rule: Rule, table: np.ndarray) -> DataFrame:
     return docs.mapInArrow(run, "fp bigint, n int, prefix binary")
 
 
+def _short(x: np.ndarray) -> bytes:
+    """Numbers in as few bytes as the largest takes."""
+    return x.astype(np.min_scalar_type(int(x.max()))).tobytes()
+
+
+def _long(data: bytes, count: int) -> np.ndarray:
+    return np.frombuffer(data, f"u{len(data) // count}").astype(np.int32)
+
+
 def _packets(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.RecordBatch]:
     """The index entries of some classes, packed by the part of the index that they belong to."""
     schema = pa.schema([("part", pa.int32()), *_PACKET])
     for batch in batches:
-        for lo in range(0, len(batch), 4096):  # so that owner fits 16 bits
+        for lo in range(0, len(batch), 4096):
             rows = batch.slice(lo, 4096)
             prefixes = [_unpack(p) for p in rows.column("prefix").to_pylist()]
             if not prefixes:
@@ -267,10 +320,10 @@ def _packets(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.Recor
             out = []
             for p in np.flatnonzero(np.diff(cuts)).tolist():
                 at = order[cuts[p] : cuts[p + 1]]
-                mine, local = np.unique(owner[at], return_inverse=True)
+                mine, held = np.unique(owner[at], return_counts=True)
                 out.append((
-                    p, short[at].tobytes(), local.astype(np.uint16).tobytes(), np.minimum(position[at], 0xFFFF).astype(np.uint16).tobytes(),
-                    cluster[mine].astype(np.int64).tobytes(), n[mine].astype(np.int32).tobytes(),
+                    p, short[at].tobytes(), _short(held), np.minimum(position[at], 0xFFFF).astype(np.uint16).tobytes(),
+                    cluster[mine].astype(np.int64).tobytes(), _short(n[mine]),
                 ))
             yield _rows(schema, *zip(*out))
 
@@ -288,11 +341,12 @@ def _candidates(batches: Iterator[pa.RecordBatch], rule: Rule) -> Iterator[pa.Re
     parts = [[] for _ in range(4)]
     for batch in batches:
         columns = (batch.column(c).to_pylist() for c in ("part", *(f.name for f in _PACKET)))
-        for part, tokens, owner, position, cluster, n in zip(*columns):
-            owner = np.frombuffer(owner, np.uint16)
+        for part, tokens, counts, position, cluster, n in zip(*columns):
+            cluster = np.frombuffer(cluster, np.int64)
+            counts = _long(counts, len(cluster))
             for k, x in enumerate((
-                np.frombuffer(tokens, np.uint32).astype(np.int64) | part << 32, np.frombuffer(cluster, np.int64)[owner],
-                np.frombuffer(n, np.int32)[owner], np.frombuffer(position, np.uint16),
+                np.frombuffer(tokens, np.uint32).astype(np.int64) | part << 32, np.repeat(cluster, counts),
+                np.repeat(_long(n, len(cluster)), counts), np.frombuffer(position, np.uint16),
             )):
                 parts[k].append(x)
     if not parts[0]:
@@ -359,11 +413,36 @@ def _candidates(batches: Iterator[pa.RecordBatch], rule: Rule) -> Iterator[pa.Re
         yield _rows(schema, held[:, 0], held[:, 1])
 
 
-def _overlaps(docs: DataFrame, pairs: DataFrame, rule: Rule) -> DataFrame:
-    """a, b, both, n_a, n_b: the exact size of the intersection of each pair of classes."""
-    named = pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct()
-    sets = _chosen(docs, rule, tables.marked(named, FILTER_BITS)).select("fp", "items")
-    sets = sets.join(named, "fp", "left_semi").dropDuplicates(["fp"])  # read twice below, from one exchange
+def _named(docs: DataFrame, classes: DataFrame, names: DataFrame, rule: Rule, sketched: bool = False) -> DataFrame:
+    """fp and shingles (or n and sketch) of the classes named, each once."""
+    found = _chosen(docs, classes, rule, tables.marked(names, FILTER_BITS), sketched=sketched)
+    found = found.select("fp", *(("n", "sketch") if sketched else ("items",)))
+    return found.join(names, "fp", "left_semi").dropDuplicates(["fp"])  # read twice by some, from one exchange
+
+
+def _close(docs: DataFrame, classes: DataFrame, members: DataFrame, pairs: DataFrame, rule: Rule) -> DataFrame:
+    """The pairs whose sketches leave it open that the clusters link: by their leaders, or by what members have beyond them."""
+    sketches = _named(docs, classes, pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct(), rule, sketched=True)
+    bounds = members.join(classes.select("fp", "n"), "fp").groupBy("leader").agg(F.max("extra").alias("extra"), F.min("n").alias("least"))
+    own = sketches.join(bounds, sketches["fp"] == bounds["leader"], "left")
+    own = own.select("fp", "n", F.coalesce("extra", F.lit(0)).alias("extra"), F.least("n", "least").alias("least"), "sketch")
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def run(batches):
+        for batch in batches:
+            differ = np.array([_differing(x, y) for x, y in zip(batch.column("sketch_a").to_pylist(), batch.column("sketch_b").to_pylist())], np.int64)
+            n, extra, least = (tuple(batch.column(f"{c}_{s}").to_numpy() for s in "ab") for c in ("n", "extra", "least"))
+            ok = rule.links((n[0] + n[1] - differ) // 2 + extra[0] + extra[1], *least)
+            yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(ok)) for c in "ab"], schema=schema)
+
+    side = lambda s: own.select(F.col("fp").alias(s), *(F.col(c).alias(f"{c}_{s}") for c in ("n", "extra", "least", "sketch")))
+    return pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(run, "a bigint, b bigint")
+
+
+def _overlaps(docs: DataFrame, classes: DataFrame, members: DataFrame, pairs: DataFrame, rule: Rule) -> DataFrame:
+    """a, b, both, n_a, n_b: the exact size of the intersection of each pair of classes, without pairs that can't matter."""
+    pairs = materialise(_close(docs, classes, members, pairs, rule))
+    sets = _named(docs, classes, pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct(), rule)
     one = sets.select(F.col("fp").alias("a"), F.col("items").alias("left"))
     two = sets.select(F.col("fp").alias("b"), F.col("items").alias("right"))
     schema = pa.schema([(c, pa.int64()) for c in ("a", "b", "both", "n_a", "n_b")])
@@ -393,17 +472,18 @@ def linked(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
     signed = materialise(_signed(docs, rule))
     rows = signed.where("cell is null").select("doc_id", "text_hash", "n", "fp", "keys")
     table = tables.gathered(signed.where("cell is not null"), 1 << BITS)
-    classes = materialise(rows.where("fp is not null").groupBy("fp").agg(F.min("doc_id").alias("least"), F.first("n").alias("n"), F.first("keys").alias("keys")))
+    first = (F.min("doc_id").alias("least"), F.min("text_hash").alias("text_hash"), F.first("n").alias("n"), F.first("keys").alias("keys"))
+    classes = materialise(rows.where("fp is not null").groupBy("fp").agg(*first))
     members = _clusters(docs, classes, rule)
 
     entries = (classes.agg(F.sum("n")).first()[0] or 0) * (rule.den - rule.num) // rule.den
     parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), int(entries // PART_ENTRIES) + 1)
     own = _prefixes(docs, rule, table).join(members, "fp", "left")
     own = own.select("n", "prefix", F.coalesce("leader", "fp").alias("cluster"))
-    packed = "part int, tokens binary, owner binary, position binary, cluster binary, n binary"
+    packed = "part int, tokens binary, counts binary, position binary, cluster binary, n binary"
     packets = own.mapInArrow(lambda b: _packets(b, 2 * parts), packed)
     pairs = packets.repartition(parts, "part").mapInArrow(lambda b: _candidates(b, rule), "a bigint, b bigint")
-    met = materialise(_overlaps(docs, materialise(pairs.distinct()), rule))
+    met = materialise(_overlaps(docs, classes, members, materialise(pairs.distinct()), rule))
 
     sure = rule.links(F.col("both"), F.col("n_a"), F.col("n_b"))
     links = met.where(sure).select("a", "b")
@@ -480,9 +560,7 @@ def _open_links(docs, classes, members, apart, groups, rule) -> DataFrame | None
     hosts = hosts.select("group", "part", F.lit(0).alias("kind"), "cluster", "fp")
     guests = own.select("cluster", "fp").join(x.select("group", "part", "guest"), F.col("cluster") == F.col("guest"))
     places = materialise(hosts.unionByName(guests.select("group", "part", F.lit(1).alias("kind"), "cluster", "fp")))
-    named = places.select("fp").distinct()
-    sets = _chosen(docs, rule, tables.marked(named, FILTER_BITS)).select("fp", "items")
-    sets = sets.join(named, "fp", "left_semi").dropDuplicates(["fp"])
+    sets = _named(docs, classes, places.select("fp").distinct(), rule)
     seated = places.join(sets, "fp").select("group", "part", "kind", "cluster", "items")
     seated = seated.repartition("group", "part").sortWithinPartitions("group", "part", "kind")
     return materialise(seated.mapInArrow(lambda b: _halls(b, rule), "a bigint, b bigint").distinct())
