@@ -29,6 +29,8 @@ TASK_WORDS = 400_000  # that a task works on
 SHARDS = 16  # that they are: small ones stay in the processor's caches
 TASK_STRETCHES = 200_000  # stretches that a task keeps before it sends them on
 SEARCHED = 100_000  # windows searched at a time
+CHUNK = 1 << 20  # bytes of text worked on at a time: a worker holds some hundred times as much in arrays
+PACKED = 1 << 18  # anchors that a task packs at a time, at least
 LAST = (1 << 63) - 1  # stands for a missing doc_id: last of all
 _PACKET = pa.schema([("part", pa.int32()), *((c, pa.binary()) for c in ("doc", "text_hash", "start", "length", "words"))])
 _PACKET_SQL = "part int, doc binary, text_hash binary, start binary, length binary, words binary"
@@ -72,15 +74,25 @@ def _codes(w: T.Words, start: np.ndarray, size: np.ndarray) -> np.ndarray:
 
 def _anchors(batches: Iterator[pa.RecordBatch], parts: int, window: int, anchor: int) -> Iterator[pa.RecordBatch]:
     """The anchors of some documents, packed by part."""
+
+    def packed(held: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        found = np.concatenate(held) if held else np.empty(0, np.uint64)
+        part = (found % np.uint64(parts)).astype(np.int64)
+        order = np.argsort(part, kind="stable")
+        cuts = np.searchsorted(part[order], np.arange(parts + 1))
+        rows = [(p, found[order[cuts[p] : cuts[p + 1]]].tobytes()) for p in np.flatnonzero(np.diff(cuts)).tolist()]
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in rows], pa.int32()), pa.array([x for _, x in rows], pa.binary())], names=["part", "anchors"])
+
+    held, count = [], 0
     for batch in batches:
-        for lo, hi in T.chunks(batch.column("text"), 4 * T.CHUNK):
+        for lo, hi in T.chunks(batch.column("text"), CHUNK):
             found, _, _ = _stretches(T.words(batch.column("text").slice(lo, hi - lo), T.EXACT), window, anchor)
-            part = (found % np.uint64(parts)).astype(np.int64)
-            order = np.argsort(part, kind="stable")
-            cuts = np.searchsorted(part[order], np.arange(parts + 1))
-            rows = [(p, found[order[cuts[p] : cuts[p + 1]]].tobytes()) for p in np.flatnonzero(np.diff(cuts)).tolist()]
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in rows], pa.int32()), pa.array([x for _, x in rows], pa.binary())], names=["part", "anchors"])
+            held, count = [*held, found], count + len(found)
+            if count >= PACKED:
+                yield from packed(held)
+                held, count = [], 0
+    yield from packed(held)
 
 
 def _repeated(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBatch]:
@@ -116,7 +128,7 @@ def _sent(batches, flags, parts: int, window: int, anchor: int) -> Iterator[pa.R
 
     waiting = 0
     for batch in batches:
-        for lo, hi in T.chunks(batch.column("text")):
+        for lo, hi in T.chunks(batch.column("text"), CHUNK):
             part_of = batch.slice(lo, hi - lo)
             w = T.words(part_of.column("text"), T.EXACT)
             found, start, length = _stretches(w, window, anchor)
@@ -222,7 +234,7 @@ def repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> Data
 
 
 def _cut(batches: Iterator[pa.RecordBatch], window: int, names: tuple[str, ...]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in (b.slice(lo, hi - lo) for b in batches for lo, hi in T.chunks(b.column("text"), CHUNK)):
         n_words, n_removed, kept = [], [], []
         for text, places in zip(batch.column("text").to_pylist(), batch.column("places").to_pylist()):
             found = (text or "").encode().split()  # bytes split at the ASCII blanks
