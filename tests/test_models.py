@@ -188,3 +188,15 @@ def test_compared_models_are_fitted_at_once(spark):
     estimators = {name: Waiting(labelCol=model.TARGET, maxIter=1, maxDepth=1, seed=1) for name in ("a", "b")}
     found = model.fit(sales(spark, SF_DIR, *ML_COLUMNS), estimators)
     assert {r.model for r in found.compare().collect()} == {"a", "b"}
+
+
+def test_rows_are_explained_without_sorting_them(monkeypatch):
+    """What a path of a few features gives each pattern does not depend on rows, so it is not found anew for each batch."""
+    paths = [(2.0, np.array([0, 1]), np.array([-np.inf, 0.0]), np.array([0.5, np.inf]), np.array([0.3, 0.6])), (1.0, np.array([], int), *np.empty((3, 0)))]
+    tables = attribution.path_tables(paths)
+    assert [None if t is None else t.shape for t in tables] == [(2, 4), None]
+    x = np.random.default_rng(1).normal(size=(50, 2))
+    monkeypatch.setattr(attribution, "_TABLED", 0)
+    by_rows = attribution.shapley(x, paths)
+    monkeypatch.setattr(np, "unique", None)
+    assert np.array_equal(attribution.shapley(x, paths, tables), by_rows)
