@@ -200,3 +200,17 @@ def test_rows_are_explained_without_sorting_them(monkeypatch):
     by_rows = attribution.shapley(x, paths)
     monkeypatch.setattr(np, "unique", None)
     assert np.array_equal(attribution.shapley(x, paths, tables), by_rows)
+
+
+def test_every_line_is_predicted(spark, fitted, monkeypatch):
+    """One row a line, with the figures of its category; also for lines without a category."""
+    from tillspark.plans import model_queries
+
+    lines = sales(spark, SF_DIR, *ML_COLUMNS).limit(300).withColumn("category", F.when(F.col("quantity_sold") > 10, F.col("category"))).localCheckpoint()
+    monkeypatch.setattr(model_queries, "fitted", lambda *_: fitted)
+    monkeypatch.setattr(model_queries, "sales", lambda *_: lines)
+    out = model_queries.ml_predict(spark, SF_DIR).toPandas()
+    assert len(out) == 300 and out["predicted_sales"].notna().all() and set(out["model_used"]) == {fitted.best()}
+    for _, own in out.groupby("category", dropna=False):
+        assert set(own["lines"]) == {len(own)} and own["category_predicted_sales"].iloc[0] == pytest.approx(own["predicted_sales"].sum())
+        assert own["total_sales"].iloc[0] == pytest.approx(float(own["total_amount"].sum()))
