@@ -214,3 +214,16 @@ def test_every_line_is_predicted(spark, fitted, monkeypatch):
     for _, own in out.groupby("category", dropna=False):
         assert set(own["lines"]) == {len(own)} and own["category_predicted_sales"].iloc[0] == pytest.approx(own["predicted_sales"].sum())
         assert own["total_sales"].iloc[0] == pytest.approx(float(own["total_amount"].sum()))
+
+
+def test_saved_pipeline_takes_lines_as_they_are(spark, tmp_path):
+    """It holds all steps, the choice and hashing of columns included."""
+    lines = model.clean.calendar_features(sales(spark, SF_DIR, *ML_COLUMNS))
+    preparation = model.Preparation(hashed=("product_name",), hash_width=16)
+    found = model.fit(sales(spark, SF_DIR, *ML_COLUMNS), model.regressors(rounds=2, trees=2), preparation)
+    found.pipeline("Second-Order Boosting").write().overwrite().save(str(tmp_path / "model"))
+    loaded = model.PipelineModel.load(str(tmp_path / "model"))
+    some = lines.filter("transaction_id < 200").localCheckpoint()
+    direct = sorted(r.prediction for r in found.model("Second-Order Boosting").transform(found.prepare.transform(preparation.columns(some))).collect())
+    assert sorted(r.prediction for r in loaded.transform(some.withColumn("price", F.col("price").cast("string"))).collect()) == direct
+    assert sorted(r.predicted_sales for r in model.predict(loaded, some, preparation, "any").collect()) == direct
